@@ -165,16 +165,14 @@ def label_events(posted: DataFrame, bureau_names: dict[str, str]) -> DataFrame:
 
 def exclusive_default(offices: DataFrame, requests: DataFrame) -> DataFrame:
     """Apply default-flag requests (id, is_default, seq): the last one set true clears every other office."""
-    winner = requests.filter("is_default").agg(
-        F.max_by("id", "seq").alias("_winner"), F.max("seq").alias("_won_at")
-    )
+    won = requests.filter("is_default").agg(F.max_by("id", "seq").alias("id"), F.max("seq").alias("seq")).first()
     last = requests.groupBy("id").agg(F.max_by("is_default", "seq").alias("_asked"), F.max("seq").alias("_asked_at"))
-    # winner is one row by construction.
-    joined = offices.join(last, "id", "left").join(F.broadcast(winner), how="left")
-    dropped_later = (F.col("_asked_at") > F.col("_won_at")) & ~F.col("_asked")
-    flag = F.when(
-        F.col("_winner").isNotNull(), (F.col("id") == F.col("_winner")) & ~F.coalesce(dropped_later, F.lit(False))
-    ).otherwise(F.col("is_default") & F.coalesce("_asked", F.lit(True)))
+    joined = offices.join(last, "id", "left")
+    if won["id"] is None:
+        flag = F.col("is_default") & F.coalesce("_asked", F.lit(True))
+    else:
+        dropped_later = (F.col("_asked_at") > won["seq"]) & ~F.col("_asked")
+        flag = (F.col("id") == won["id"]) & ~F.coalesce(dropped_later, F.lit(False))
     return joined.select(*[flag.alias(c) if c == "is_default" else F.col(c) for c in offices.columns])
 
 

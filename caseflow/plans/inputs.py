@@ -159,3 +159,92 @@ class Inputs:
         return self.conversations.select(
             F.col("conv_id").alias("file_id"), (F.col("turn") + 1).alias("page"), F.col("text")
         )
+
+    @property
+    def preparation(self) -> DataFrame:
+        """Prepared document fields for the cases that are not pending."""
+        k, cust = F.col("o_orderkey"), F.col("o_custkey")
+        blank = lambda n, value: F.when(k % n == 0, "").otherwise(value)
+        return self.orders.filter("o_orderstatus <> 'P'").select(
+            k.alias("case_id"),
+            blank(4, F.format_string("Prepared#%09d", cust)).alias("company"),
+            blank(3, F.concat(F.lit("prep-"), cust.cast("string"))).alias("representative"),
+            national_id_of(cust).alias("national_id"),
+            blank(5, F.format_string("114%06d", k % 1000000)).alias("precheck"),
+            blank(7, F.concat(F.lit("contact "), k.cast("string"))).alias("contact_address"),
+            blank(6, address_of(k)).alias("registration_address"),
+            blank(8, F.format_string("09%08d", k % 100000000)).alias("contact_phone"),
+            blank(9, F.concat((k % 900).cast("string"), F.lit(",000"))).alias("capital_text"),
+        )
+
+    @property
+    def approvals(self) -> DataFrame:
+        """Tax approvals of closed and open orders, city approvals of closed ones."""
+        k = F.col("o_orderkey")
+        closed = F.col("o_orderstatus") == "F"
+        agencies = F.when(closed, F.array(*map(F.lit, vocab.AGENCIES))).otherwise(F.array(F.lit("national_tax")))
+        rows = self.orders.filter("o_orderstatus <> 'P'").withColumn("agency", F.explode(agencies))
+        return rows.select(
+            k.alias("case_id"),
+            "agency",
+            pick(vocab.APPROVAL_STATUSES, F.col("o_custkey")).alias("status"),
+            F.when(k % 3 != 0, F.date_add(day("o_orderdate"), 10)).alias("approval_date"),
+            F.when(k % 4 != 0, F.concat(F.lit("No-"), k.cast("string"))).alias("document_number"),
+        )
+
+    @property
+    def proofs(self) -> DataFrame:
+        """Purchase-proof settings stored for open orders."""
+        k = F.col("o_orderkey")
+        blank = lambda n, value: F.when(k % n == 0, "").otherwise(value)
+        return self.orders.filter("o_orderstatus = 'O'").select(
+            k.alias("case_id"),
+            F.when(k % 3 != 0, k % 10).alias("office_id"),
+            F.when(k % 2 != 0, k % 7).alias("page4_office_id"),
+            blank(4, F.format_string("%09d", k)).alias("tax_registration_number"),
+            blank(5, national_id_of(k)).alias("responsible_person_id"),
+            blank(6, F.lit("02-1111")).alias("business_phone"),
+            blank(7, F.lit("北區")).alias("tax_bureau_name"),
+            blank(8, F.lit("竹北分局")).alias("branch_name"),
+        )
+
+    @property
+    def catalogue(self) -> DataFrame:
+        """Business catalogue: parts by code, the lowest part key wins a code."""
+        from caseflow.operators.dims import build_catalogue
+
+        raw = self.part.select(
+            F.col("p_partkey").alias("input_pos"),
+            F.format_string("E%06d", F.col("p_partkey") % 1000000).alias("code"),
+            F.upper(F.replace(F.col("p_name"), F.lit(" "), F.lit(""))).alias("name"),
+            F.col("p_type").alias("category"),
+            F.lower("p_type").alias("category_name"),
+        )
+        return build_catalogue(raw)
+
+    @property
+    def regional_offices(self) -> DataFrame:
+        """Branch offices by region (bureau), nation (county) and zone (district)."""
+        k = F.col("s_suppkey")
+        named = self.supplier.join(
+            self.nation, F.col("s_nationkey") == F.col("n_nationkey")
+        ).select(
+            (k % 500).alias("ordinal"),
+            F.col("n_regionkey").cast("string").alias("bureau_code"),
+            F.col("n_name").alias("county"),
+            F.concat(F.lit("office "), (k % 20).cast("string")).alias("office_name"),
+            F.concat(F.lit("zone "), (k % 10).cast("string"), F.lit(";")).alias("district"),
+            F.when(k % 10 == 3, F.when(k % 20 == 3, "east").otherwise("west")).otherwise("").alias("boundary"),
+        )
+        return named.groupBy("bureau_code", "county", "office_name", "district", "boundary").agg(
+            F.min("ordinal").alias("ordinal")
+        )
+
+    @property
+    def regional_addresses(self) -> DataFrame:
+        k = F.col("c_custkey")
+        hint = F.when(k % 4 == 0, "east side").when(k % 4 == 1, "west side").otherwise("")
+        return self.customer.join(self.nation, F.col("c_nationkey") == F.col("n_nationkey")).select(
+            k.alias("id"),
+            F.concat("n_name", F.lit(" zone "), (k % 13).cast("string"), F.lit("; road "), k.cast("string"), F.lit(" "), hint).alias("address"),
+        )

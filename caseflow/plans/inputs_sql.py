@@ -97,6 +97,52 @@ VIEWS = {
       FROM supplier""",
     "page_text": """
       SELECT conv_id AS file_id, turn + 1 AS page, text FROM conversations""",
+    "preparation": f"""
+      SELECT o_orderkey AS case_id,
+        CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE printf('Prepared#%09d', o_custkey) END AS company,
+        CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE 'prep-' || o_custkey END AS representative,
+        {national_id_of('o_custkey')} AS national_id,
+        CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE printf('114%06d', o_orderkey % 1000000) END AS precheck,
+        CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE 'contact ' || o_orderkey END AS contact_address,
+        CASE WHEN o_orderkey % 6 = 0 THEN '' ELSE {address_of('o_orderkey')} END AS registration_address,
+        CASE WHEN o_orderkey % 8 = 0 THEN '' ELSE printf('09%08d', o_orderkey % 100000000) END AS contact_phone,
+        CASE WHEN o_orderkey % 9 = 0 THEN '' ELSE (o_orderkey % 900) || ',000' END AS capital_text
+      FROM orders WHERE o_orderstatus <> 'P'""",
+    "approvals": f"""
+      SELECT o_orderkey AS case_id, agency, {pick(vocab.APPROVAL_STATUSES, 'o_custkey')} AS status,
+        CASE WHEN o_orderkey % 3 <> 0 THEN o_orderdate::DATE + 10 END AS approval_date,
+        CASE WHEN o_orderkey % 4 <> 0 THEN 'No-' || o_orderkey END AS document_number
+      FROM orders JOIN (VALUES ('city_government'), ('national_tax')) a(agency)
+        ON o_orderstatus = 'F' OR (o_orderstatus = 'O' AND agency = 'national_tax')""",
+    "proofs": f"""
+      SELECT o_orderkey AS case_id, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey % 10 END AS office_id,
+        CASE WHEN o_orderkey % 2 <> 0 THEN o_orderkey % 7 END AS page4_office_id,
+        CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE printf('%09d', o_orderkey) END AS tax_registration_number,
+        CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE {national_id_of('o_orderkey')} END AS responsible_person_id,
+        CASE WHEN o_orderkey % 6 = 0 THEN '' ELSE '02-1111' END AS business_phone,
+        CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE '北區' END AS tax_bureau_name,
+        CASE WHEN o_orderkey % 8 = 0 THEN '' ELSE '竹北分局' END AS branch_name
+      FROM orders WHERE o_orderstatus = 'O'""",
+    "catalogue": """
+      SELECT printf('E%06d', p_partkey % 1000000) AS code, upper(replace(p_name, ' ', '')) AS name,
+        p_type AS category, lower(p_type) AS category_name
+      FROM part QUALIFY row_number() OVER (PARTITION BY p_partkey % 1000000 ORDER BY p_partkey) = 1""",
+    "regional_offices": """
+      SELECT n_regionkey::VARCHAR AS bureau_code, n_name AS county, 'office ' || (s_suppkey % 20) AS office_name,
+        'zone ' || (s_suppkey % 10) || ';' AS district,
+        CASE WHEN s_suppkey % 10 = 3 THEN CASE WHEN s_suppkey % 20 = 3 THEN 'east' ELSE 'west' END ELSE '' END AS boundary,
+        min(s_suppkey % 500) AS ordinal
+      FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY ALL""",
+    "regional_addresses": """
+      SELECT c_custkey AS id, n_name || ' zone ' || (c_custkey % 13) || '; road ' || c_custkey || ' ' ||
+        CASE c_custkey % 4 WHEN 0 THEN 'east side' WHEN 1 THEN 'west side' ELSE '' END AS address
+      FROM customer JOIN nation ON c_nationkey = n_nationkey""",
+    "bureau_county": "SELECT * FROM (VALUES " + ", ".join(
+        f"({i}, '{code}', '{full}', '{short}', '{county}')"
+        for i, (code, full, short, county) in enumerate(
+            (code, full, short, county) for code, full, short, counties in vocab.BUREAUS for county in counties
+        )
+    ) + ") v(priority, bureau_code, bureau_name, short_name, county)",
     "due": """
       SELECT c.id, CASE WHEN b.case_id IS NOT NULL THEN b.total ELSE c.service_fee + c.government_fee END AS total_due
       FROM cases c LEFT JOIN (SELECT case_id, sum(amount)::BIGINT AS total FROM items GROUP BY case_id) b ON b.case_id = c.id""",
