@@ -17,6 +17,11 @@ def col(value) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, also where Spark would copy it into a filter."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def filled(value) -> Column:
     """The value, or null when it is blank."""
     return F.nullif(col(value), F.lit(""))
@@ -61,6 +66,10 @@ def roc_date(value) -> Column:
     text = F.regexp_replace(text, "^/+|/+$", "")
     text = F.regexp_replace(text, r"^(\d{3})(\d{2})(\d{2})$", "$1/$2/$3")
     text = F.regexp_replace(text, r"^(\d{4})(\d{2})(\d{2})$", "$1/$2/$3")
+    return let(text, _checked_roc_date)
+
+
+def _checked_roc_date(text: Column) -> Column:
     shape = r"^(\d{2,4})/(\d{1,2})/(\d{1,2})$"
     part = lambda i: F.regexp_extract(text, shape, i).try_cast("int")
     year = F.when(part(1) >= 1912, part(1)).otherwise(part(1) + 1911)
@@ -80,7 +89,10 @@ ROC_LOOSE_FORMS = [
 
 def roc_to_iso(value) -> Column:
     """ISO text of a ROC date at the start of the text; shape is checked, the calendar is not."""
-    text = clean_text(value, 30)
+    return let(clean_text(value, 30), _loose_roc_iso)
+
+
+def _loose_roc_iso(text: Column) -> Column:
     result = F.lit("")
     for form in reversed(ROC_LOOSE_FORMS):
         part = lambda i: F.regexp_extract(text, form, i).try_cast("int")
@@ -119,10 +131,13 @@ def id_text(value) -> Column:
 
 def national_id_ok(value) -> Column:
     """Letter, 1 or 2, eight digits, and a weighted sum divisible by ten."""
-    text = id_text(value)
+    return let(id_text(value), _checksum_holds)
+
+
+def _checksum_holds(text: Column) -> Column:
     letters = F.create_map(*[F.lit(x) for pair in vocab.ID_LETTER_VALUES.items() for x in pair])
     letter = letters[F.substring(text, 1, 1)]
-    digit = lambda at: F.substring(text, at, 1).try_cast("int")
+    digit = lambda at: F.ascii(F.substring(text, at, 1)) - 48
     total = F.floor(letter / 10) + letter % 10 * 9 + digit(10)
     for at in range(2, 10):
         total = total + digit(at) * (10 - at)
@@ -145,9 +160,11 @@ def digits(value) -> Column:
 
 
 def precheck_ok(value) -> Column:
-    text = digits(value)
-    year = F.substring(text, 1, 3).try_cast("int")
-    return text.rlike(r"^\d{9}$") & F.coalesce(year.between(80, 199), F.lit(False)) & (F.substring(text, 4, 6) != "000000")
+    def good(text: Column) -> Column:
+        year = F.substring(text, 1, 3).try_cast("int")
+        return text.rlike(r"^\d{9}$") & F.coalesce(year.between(80, 199), F.lit(False)) & (F.substring(text, 4, 6) != "000000")
+
+    return let(digits(value), good)
 
 
 def amount(value) -> Column:
@@ -205,7 +222,9 @@ def app_status(value) -> Column:
 
 def plausible_name(value, exclusions: list[str]) -> Column:
     text = F.regexp_replace(F.coalesce(col(value), F.lit("")), SPACE + "+", "")
-    return text.rlike("^[㐀-鿿]{2,4}$") & ~text.isin(exclusions) & ~text.rlike(vocab.NAME_STOP_TERMS)
+    return let(
+        text, lambda t: t.rlike("^[㐀-鿿]{2,4}$") & ~t.isin(exclusions) & ~t.rlike(vocab.NAME_STOP_TERMS)
+    )
 
 
 BARE = "[^A-Za-z0-9一-鿿]"
@@ -215,7 +234,10 @@ def comparable(left, right) -> Column:
     """Both non-empty once punctuation is gone, and one contains the other."""
     a = F.regexp_replace(F.coalesce(col(left), F.lit("")), BARE, "")
     b = F.regexp_replace(F.coalesce(col(right), F.lit("")), BARE, "")
-    return (a != "") & (b != "") & (F.contains(a, b) | F.contains(b, a))
+    return let(
+        F.struct(a.alias("a"), b.alias("b")),
+        lambda p: (p["a"] != "") & (p["b"] != "") & (F.contains(p["a"], p["b"]) | F.contains(p["b"], p["a"])),
+    )
 
 
 def compact_label(value) -> Column:

@@ -50,14 +50,14 @@ STATUS_RULES = "CASE " + " ".join(
 
 
 @query("b7_intake_validation", f"""
-  SELECT id, array_to_string(list_filter([
+  SELECT id, concat_ws(',',
       CASE WHEN tax_id <> '' AND NOT regexp_full_match(tax_id, '[0-9]{{8}}') THEN 'tax_id' END,
       CASE WHEN entity_type NOT IN {in_list(vocab.ENTITY_TYPES)} THEN 'entity_type' END,
       CASE WHEN trim(case_content) = '' THEN 'case_content' END,
       CASE WHEN status NOT IN {in_list(vocab.STATUSES)} THEN 'status' END,
       CASE WHEN tax_bureau_code = 'E01' THEN 'tax_bureau_code' END,
       CASE WHEN capital = 0 THEN 'capital' END,
-      CASE WHEN paid_amount = 0 THEN 'paid_amount' END], x -> x IS NOT NULL), ',') AS errors
+      CASE WHEN paid_amount = 0 THEN 'paid_amount' END) AS errors
   FROM cases""")
 def _(t):
     rows = t.cases.select(
