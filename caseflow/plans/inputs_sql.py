@@ -31,6 +31,13 @@ def national_id_of(key: str) -> str:
     )
 
 
+def national_id_sql_valid(code: str) -> str:
+    letters = "".join(vocab.ID_LETTER_VALUES)
+    value = f"({list(vocab.ID_LETTER_VALUES.values())})[strpos('{letters}', substr({code}, 1, 1))]"
+    digits = " + ".join(f"substr({code}, {i}, 1)::INT * {10 - i}" for i in range(2, 10))
+    return f"({value} // 10 + {value} % 10 * 9 + {digits} + substr({code}, 10, 1)::INT) % 10 = 0"
+
+
 VIEWS = {
     "cases": f"""
       SELECT o_orderkey AS id,
