@@ -46,3 +46,21 @@ def nfkc(text: Column) -> Column:
         return values.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
 
     return fold(text)
+
+
+def decode_bytes(content: Column, charset: Column) -> Column:
+    """Text of bytes in a charset that the JVM function does not offer; unknown charsets read as UTF-8."""
+
+    @F.pandas_udf("string")
+    def decode(data: pd.Series, names: pd.Series) -> pd.Series:
+        def one(raw, name):
+            if raw is None:
+                return None
+            try:
+                return bytes(raw).decode(name, errors="replace")
+            except LookupError:
+                return bytes(raw).decode("utf-8", errors="replace")
+
+        return pd.Series([one(raw, name) for raw, name in zip(data, names)], dtype="object")
+
+    return decode(content, charset)

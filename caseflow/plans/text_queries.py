@@ -253,7 +253,7 @@ CERTIFICATES = """
   WITH {CERTIFICATES}
   SELECT file_id, CASE WHEN form IN (0, 1) AND ok THEN number ELSE '' END AS precheck_number,
     CASE WHEN form IN (0, 1) THEN day_text ELSE '' END AS approval_date,
-    CASE WHEN form = 0 AND NOT (m = 2 AND n = 29 AND (y + 100) % 4 <> 1) THEN printf('1%02d/%02d/%02d', y % 100, m, n) ELSE '' END AS expiry_date,
+    CASE WHEN form = 0 AND try_cast(printf('%04d-%02d-%02d', y % 100 + 2011, m, n) AS DATE) IS NOT NULL THEN printf('1%02d/%02d/%02d', y % 100, m, n) ELSE '' END AS expiry_date,
     CASE form WHEN 0 THEN '測試股份有限公司' WHEN 1 THEN '甲乙有限公司' WHEN 2 THEN '申請書有限公司' ELSE '' END AS company_name
   FROM v""")
 def _(t):
@@ -262,7 +262,7 @@ def _(t):
 
 @query("i5_business_items", """
   SELECT o_orderkey AS file_id, code, name FROM orders JOIN (VALUES ('E599010', '配管工程業'), ('F113020', '電器批發業'),
-    ('ZZ99999', '除許可業務')) v(code, name) ON o_orderkey % 4 = 0""")
+    ('ZZ99999', '除許可業務外，得經營法令非禁止或限制之業務')) v(code, name) ON o_orderkey % 4 = 0""")
 def _(t):
     items = p.precheck_records(_certificates(t)).select("file_id", F.explode("business_items").alias("i"))
     return items.select("file_id", "i.code", "i.name")

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from caseflow.functions.udfs import decode_bytes
+
 TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings",
     "pages", "benchmark", "labels", "conversations",
@@ -77,8 +79,10 @@ def page_text_from_bytes(pages: DataFrame, content: str = "content") -> DataFram
     text = F.decode(F.col(content), "UTF-8")
     for name in known:
         text = F.when(charset == name, F.decode(F.col(content), name)).otherwise(text)
-    return pages.withColumn("charset", charset).withColumn("html", text).withColumn(
-        "needs_other_decoder", (charset != "") & ~charset.isin(known)
+    other = (charset != "") & ~charset.isin(known)
+    # Only the bytes in other charsets travel to Python.
+    return pages.withColumn("charset", charset).withColumn(
+        "html", F.coalesce(decode_bytes(F.when(other, F.col(content)), charset), text)
     )
 
 
