@@ -22,6 +22,20 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def once(value: Column) -> Column:
+    """A column for ``withColumn`` that is computed once per row.
+
+    Spark copies a plain column into every later filter and projection that names it; it does not look into
+    a generated one.
+    """
+    return F.explode(F.array(value))
+
+
+def if_filled(value: Column) -> Column:
+    """The value, or null when it is blank; for values that are costly to compute."""
+    return let(value, lambda v: F.when(v != "", v))
+
+
 def filled(value) -> Column:
     """The value, or null when it is blank."""
     return F.nullif(col(value), F.lit(""))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caseflow.functions import vocab
-from caseflow.functions.columns import app_status, col, filled, first_filled, let
+from caseflow.functions.columns import app_status, col, filled, first_filled, let, once
 from caseflow.functions.udfs import match_spans
 from caseflow.operators.ranking import first_row
 
@@ -15,7 +15,7 @@ LINK_CONTEXT_CHARS = 900
 
 def _decode_numeric(text: Column, form: str, base: int) -> Column:
     """Replace numeric entities by their characters; each distinct entity of the text is replaced once."""
-    codes = F.array_distinct(F.regexp_extract_all(text, F.lit(form), F.lit(1)))
+    codes = lambda t: F.array_distinct(F.regexp_extract_all(t, F.lit(form), F.lit(1)))
     opening = "&#" if base == 10 else "&#x"
 
     def char(code: Column) -> Column:
@@ -28,13 +28,14 @@ def _decode_numeric(text: Column, form: str, base: int) -> Column:
         quoted = F.regexp_replace(F.coalesce(char(code), F.lit("")), r"([\\$])", r"\\$1")
         return F.when(safe, F.regexp_replace(done, pattern, quoted)).otherwise(done)
 
-    return F.aggregate(codes, text, swap)
+    return let(text, lambda t: F.aggregate(codes(t), t, swap))
 
 
 def decode_entities(value) -> Column:
-    text = col(value)
-    text = F.when(text.rlike(r"&#\d"), _decode_numeric(text, r"&#(\d+);", 10)).otherwise(text)
-    text = F.when(text.rlike(r"(?i)&#x"), _decode_numeric(text, r"(?i)&#x([\da-f]+);", 16)).otherwise(text)
+    both = lambda t: F.when(
+        t.rlike("&#"), _decode_numeric(_decode_numeric(t, r"&#(\d+);", 10), r"(?i)&#x([\da-f]+);", 16)
+    ).otherwise(t)
+    text = let(col(value), both)
     for form, char in [("(?i)&nbsp;", " "), ("(?i)&amp;", "&"), ("(?i)&quot;", '"'), ("(?i)&apos;|&#39;", "'"), ("(?i)&lt;", "<"), ("(?i)&gt;", ">")]:
         text = F.regexp_replace(text, form, char)
     return text
@@ -48,7 +49,7 @@ def plain_text(html) -> Column:
     text = F.regexp_replace(text, r"(?i)<br\s*/?>", "\n")
     text = F.regexp_replace(text, r"(?i)</(?:p|div|li|tr|th|td|h\d)>", "\n")
     text = F.regexp_replace(text, r"<[^>]+>", " ")
-    text = let(text, decode_entities)
+    text = decode_entities(text)
     text = F.regexp_replace(text, r"[\t\r ]+", " ")
     text = F.regexp_replace(text, r" *\n+ *", "\n")
     return F.regexp_replace(text, r"^[\s　\x{a0}]+|[\s　\x{a0}]+$", "")
@@ -108,7 +109,7 @@ def detail_records(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     ``pages`` has page_id, url, html and fallback_name.
     """
-    pairs = pages.withColumn("_pairs", label_pairs(row_cells(F.col("html"))))
+    pairs = pages.withColumn("_pairs", once(label_pairs(row_cells(F.col("html")))))
     read = pairs.select(
         "page_id", "url", "fallback_name", *[pick_field(F.col("_pairs"), p).alias(c) for c, p in DETAIL_LABELS.items()]
     )
@@ -190,37 +191,47 @@ def link_candidates(pages: DataFrame, pattern: str = LINK_PATTERN, row_tag: str
     to the rows that name the tax id or the company.
     """
     tag = r"(?is)^<(?:a|button)(?![A-Za-z0-9_])([^>]*)>"
-    anchors = pages.filter(F.col("html").rlike(r"(?i)<(?:a|button)(?![A-Za-z0-9_])")).withColumn(
-        "_m", F.explode(match_spans(F.col("html"), ANCHOR))
-    )
-    inside = F.regexp_extract("_m.text", tag, 1)
-    attributes = anchors.withColumn("_inside", inside).withColumn("_attrs", tag_attributes(F.col("_inside")))
-    raw = F.concat_ws(
-        " ", *[filled(F.col("_attrs")[name]) for name in ("href", "onclick", "data-href")], filled("_inside")
+    url, entity = F.col("url"), F.col("entity_type")
+    has_anchor = F.col("html").rlike(r"(?i)<(?:a|button)(?![A-Za-z0-9_])")
+    # Pages without an anchor are not sent to Python.
+    spanned = pages.withColumn("_spans", match_spans(F.when(has_anchor, F.col("html")), ANCHOR))
+
+    def link_of(inside: Column) -> Column:
+        raw = let(
+            tag_attributes(inside),
+            lambda m: F.concat_ws(" ", *[filled(m[name]) for name in ("href", "onclick", "data-href")], filled(inside)),
+        )
+        return detail_link(raw, url, entity, pattern)
+
+    def context_of(m: Column) -> Column:
+        begin = F.greatest(m["start"] - LINK_CONTEXT_CHARS, F.lit(0))
+        return flat_text(F.substr(F.col("html"), begin + 1, m["stop"] + LINK_CONTEXT_CHARS - begin))
+
+    found = lambda link, score, place: F.struct(link.alias("link"), score.alias("score"), place.alias("place"))
+    holds = lambda text, c: (F.col(c) != "") & F.contains(text, F.col(c))
+    points = lambda text: 1 + F.when(holds(text, "tax_id"), 12).otherwise(0) + F.when(holds(text, "company_name"), 8).otherwise(0)
+    links = F.transform(
+        "_spans", lambda m: F.struct(let(F.regexp_extract(m["text"], tag, 1), link_of).alias("link"), m.alias("m"))
     )
-    begin = F.greatest(F.col("_m.start") - LINK_CONTEXT_CHARS, F.lit(0))
-    context = flat_text(F.substr(F.col("html"), begin + 1, F.col("_m.stop") + LINK_CONTEXT_CHARS - begin))
-    linked = attributes.withColumn("link", detail_link(raw, F.col("url"), F.col("entity_type"), pattern)).filter("link <> ''")
-    named = lambda c, points: F.when((F.col(c) != "") & F.contains(F.col("context"), F.col(c)), points).otherwise(0)
-    scored = linked.withColumn("context", context).select(
-        "page_id", "link", (1 + named("tax_id", 12) + named("company_name", 8)).alias("score"), F.col("_m.start").alias("place")
+    by_anchor = F.transform(
+        F.filter(links, lambda x: x["link"] != ""), lambda x: found(x["link"], let(context_of(x["m"]), points), x["m"]["start"])
     )
-    # Pages whose anchors gave nothing are read again by rows.
-    by_anchor = scored.select("page_id").distinct()
-    rest = pages.join(by_anchor, "page_id", "left_anti")
     row_html = rf"(?is)<{row_tag}(?![A-Za-z0-9_])[^>]*>.*?</{row_tag}>"
-    rows = rest.select("*", F.posexplode(F.regexp_extract_all("html", F.lit(row_html), F.lit(0))).alias("place", "_row"))
-    text = F.array_join(F.flatten(row_cells(F.col("_row"), row_tag, cell_tags)), " ")
-    missing = lambda c: (F.col(c) != "") & ~F.contains(F.col("_text"), F.col(c))
-    fallback = (
-        rows.withColumn("_text", text)
-        .filter(F.size(row_cells(F.col("_row"), row_tag, cell_tags)) > 0)
-        .filter(~(missing("tax_id") & missing("company_name")))
-        .withColumn("link", detail_link(F.col("_row"), F.col("url"), F.col("entity_type"), pattern))
-        .filter("link <> ''")
-        .select("page_id", "link", F.lit(5).alias("score"), "place")
+    unnamed = lambda text, c: (F.col(c) != "") & ~F.contains(text, F.col(c))
+    row_link = lambda r: F.when(
+        let(
+            F.array_join(F.flatten(row_cells(r, row_tag, cell_tags)), " "),
+            lambda text: (text != "") & ~(unnamed(text, "tax_id") & unnamed(text, "company_name")),
+        ),
+        detail_link(r, url, entity, pattern),
+    ).otherwise("")
+    by_row = F.filter(
+        F.transform(F.regexp_extract_all("html", F.lit(row_html), F.lit(0)), lambda r, i: found(row_link(r), F.lit(5), i)),
+        lambda x: x["link"] != "",
     )
-    return first_row(scored.unionByName(fallback), ["page_id", "link"], [-F.col("score"), F.col("place")])
+    read = spanned.withColumn("_links", once(by_anchor))
+    kept = read.select("page_id", F.explode(F.when(F.size("_links") > 0, F.col("_links")).otherwise(by_row)).alias("k"))
+    return first_row(kept.select("page_id", "k.*"), ["page_id", "link"], [-F.col("score"), F.col("place")])
 
 
 def tax_payload_rows(payloads: DataFrame, key: str) -> DataFrame:

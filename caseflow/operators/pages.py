@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from caseflow.functions import vocab
 from caseflow.functions.columns import (
-    col, digits, document_address, filled, first_valid_id, fold_width, let, plausible_name, precheck_ok, roc_date,
+    col, digits, document_address, first_valid_id, fold_width, if_filled, let, once, plausible_name, precheck_ok, roc_date,
 )
 from caseflow.functions.udfs import match_spans
 from caseflow.operators.ranking import first_row, numbered
@@ -151,7 +151,7 @@ def parse_page_range(value, page_count) -> Column:
     shape = r"^(\d+)(?:-(\d+))?$"
     text, limit = F.coalesce(col(value), F.lit("")), col(page_count).cast("long")
     segments = F.transform(F.split(text, ","), lambda s: F.trim(s))
-    bounds = F.transform(
+    bounds_of = lambda segments: F.transform(
         segments,
         lambda s: F.struct(
             F.regexp_extract(s, shape, 1).try_cast("long").alias("a"),
@@ -159,13 +159,21 @@ def parse_page_range(value, page_count) -> Column:
         ),
     )
     in_range = lambda s: (s["a"] >= 1) & (s["b"] >= s["a"]) & (s["b"] <= limit)
-    error = (
-        F.when(F.trim(text) == "", "blank")
-        .when(~F.forall(segments, lambda s: s.rlike(shape)), "format")
-        .when(~F.forall(bounds, lambda s: F.coalesce(in_range(s), F.lit(False))), "range")
-    )
-    pages = F.sort_array(F.array_distinct(F.flatten(F.transform(bounds, lambda s: F.sequence(s["a"], s["b"])))))
-    return F.struct(F.when(error.isNull(), pages).alias("pages"), error.alias("error"))
+
+    def checked(r: Column) -> Column:
+        return F.struct(
+            r["bounds"].alias("bounds"),
+            F.when(F.trim(text) == "", "blank")
+            .when(~F.forall(r["segments"], lambda s: s.rlike(shape)), "format")
+            .when(~F.forall(r["bounds"], lambda s: F.coalesce(in_range(s), F.lit(False))), "range").alias("error"),
+        )
+
+    def expanded(r: Column) -> Column:
+        pages = F.sort_array(F.array_distinct(F.flatten(F.transform(r["bounds"], lambda s: F.sequence(s["a"], s["b"])))))
+        return F.struct(F.when(r["error"].isNull(), pages).alias("pages"), r["error"].alias("error"))
+
+    parts = let(segments, lambda s: F.struct(s.alias("segments"), bounds_of(s).alias("bounds")))
+    return let(let(parts, checked), expanded)
 
 
 def ocr_routing(files: DataFrame, pages: DataFrame, best_scores: DataFrame, purpose: str = "address") -> DataFrame:
@@ -251,7 +259,7 @@ def labelled_line(lines: Column, label: str, extract: Callable[[Column], Column]
     def at(line: Column, i: Column) -> Column:
         rest = F.regexp_replace(line, f"^.*?(?:{label})", "")
         below = F.coalesce(F.get(lines, i + 1), F.lit(""))
-        return F.when(line.rlike(label), F.coalesce(filled(extract(rest)), filled(extract(below))))
+        return F.when(line.rlike(label), F.coalesce(if_filled(extract(rest)), if_filled(extract(below))))
 
     return F.get(F.filter(F.transform(lines, at), lambda v: v.isNotNull()), F.lit(0))
 
@@ -273,7 +281,7 @@ def _date(value: Column) -> Column:
 def _company(value: Column, titles: bool = True) -> Column:
     cleaned = F.regexp_replace(F.regexp_replace(fold_width(value), r"^[\s　:：;；,，.。\-_=]+", ""), SPACES, "")
     name = F.regexp_extract(cleaned, COMPANY_SHAPE, 1)
-    return F.when(name.rlike(COMPANY_FORM_TITLES), "").otherwise(name) if titles else name
+    return let(name, lambda n: F.when(n.rlike(COMPANY_FORM_TITLES), "").otherwise(n)) if titles else name
 
 
 def _business_name(value: Column) -> Column:
@@ -293,7 +301,7 @@ def business_items(lines: Column) -> Column:
         return F.zip_with(
             codes, after,
             lambda c, rest: F.struct(
-                c.alias("code"), F.coalesce(filled(_business_name(rest)), _business_name(below)).alias("name")
+                c.alias("code"), F.coalesce(if_filled(_business_name(rest)), _business_name(below)).alias("name")
             ),
         )
 
@@ -309,7 +317,7 @@ def business_items(lines: Column) -> Column:
 
 def precheck_records(files: DataFrame) -> DataFrame:
     """Number, dates, company and business items of pre-check certificates; ``files`` has file_id and text."""
-    with_lines = files.withColumn("_lines", text_lines(fold_width("text")))
+    with_lines = files.withColumn("_lines", once(text_lines(fold_width("text"))))
     lines, text = F.col("_lines"), F.col("text")
     either = lambda label, extract, loose=None: F.coalesce(
         labelled_line(lines, label, extract), labelled_text(text, label, loose or extract), F.lit("")
@@ -336,7 +344,8 @@ def identity_records(files: DataFrame) -> DataFrame:
         below = only_cjk(F.coalesce(F.get(every, i + 1), F.lit("")))
         plausible = lambda v: plausible_name(v, vocab.NAME_EXCLUSIONS_TEXT)
         usable = line.rlike(r"姓\s*名") & ~line.rlike(r"^(?:(?!姓\s*名).)*(?:地址|住址).*?姓\s*名")
-        return F.when(usable, F.when(plausible(same), same).when(plausible(below), below))
+        checked = lambda v: let(v, lambda x: F.when(plausible(x), x))
+        return F.when(usable, F.coalesce(checked(same), checked(below)))
 
     name = let(
         lines,
