@@ -43,13 +43,13 @@ def outcome_counts(records: DataFrame, category: str, outcome: str = "outcome")
 def cap_per_category(records: DataFrame, category: str, order: list[Column], most: int, existing: DataFrame | None = None) -> DataFrame:
     """At most ``most`` records per category in scan order, counting the ones an existing manifest holds."""
     if existing is None:
-        return top_rows(records, [category], order, most, "place").drop("place")
+        return top_rows(records, [category], order, most, "_place").drop("_place")
     # Categories are a handful.
     held = existing.groupBy(category).agg(F.count(F.lit(1)).alias("_held"))
-    ranked = top_rows(records, [category], order, most, "place")
+    ranked = top_rows(records, [category], order, most, "_place")
     return ranked.join(held, category, "left").filter(
-        F.col("place") + F.coalesce("_held", F.lit(0)) <= most
-    ).drop("place", "_held")
+        F.col("_place") + F.coalesce("_held", F.lit(0)) <= most
+    ).select(*records.columns)
 
 
 def slice_folders(records: DataFrame, folder: str, prefixes: list[str] = (), offset: int = 0, most: int = 0) -> DataFrame:

@@ -176,8 +176,8 @@ def _(t):
 
 @query("d14_side_scores", f"""
   WITH {CARDS}
-  SELECT page_id, (CASE WHEN id % 4 = 3 THEN 1 ELSE 2 END)::INT AS front_hits, 3::INT AS back_hits,
-    CASE WHEN id % 4 = 3 AND national_id <> '' THEN 'front' WHEN id % 4 <> 3 AND national_id <> '' THEN 'front' ELSE 'back' END AS side
+  SELECT page_id, (CASE WHEN id % 4 = 3 THEN 1 ELSE 2 END)::INT AS front_hits, 2::INT AS back_hits,
+    CASE WHEN national_id <> '' THEN 'front' WHEN id % 4 = 3 THEN 'back' ELSE 'unknown' END AS side
   FROM card""")
 def _(t):
     placed = layout.with_geometry(_card_tokens(t))
@@ -200,7 +200,7 @@ CARD_RECORDS = f"""{CARDS},
     CASE WHEN id % 2 = 0 AND id % 3 <> 1 THEN 'A123456789' ELSE '' END AS barcode FROM card),
   q AS (SELECT *, CASE WHEN barcode <> '' THEN barcode ELSE national_id END AS final_id FROM s),
   r AS (SELECT *, CASE WHEN requested <> 'auto' THEN requested
-    WHEN (CASE WHEN id % 4 = 3 THEN 1 ELSE 2 END) + (CASE WHEN final_id <> '' THEN 3 ELSE 0 END) > 6 THEN 'front' ELSE 'back' END AS side FROM q),
+    WHEN id % 4 <> 3 AND final_id <> '' THEN 'unknown' ELSE 'back' END AS side FROM q),
   records AS (
     SELECT id, page_id, side, CASE WHEN side <> 'back' THEN name ELSE '' END AS name, final_id AS national_id,
       CASE WHEN barcode <> '' THEN 'barcode' WHEN national_id <> '' THEN 'ocr' ELSE '' END AS national_id_source,
