@@ -104,13 +104,14 @@ def first_contained(
         marked = df.withColumn("_dim", table.scalar()).withColumn("_hit", F.get(hits, F.lit(0)))
         return marked.select(*df.columns, *[F.col("_hit")[c].alias(c) for c in columns])
     sizes = [r[0] for r in dim.select(F.length(name)).distinct().collect()]
-    pieces = [
-        F.when(
-            F.length(text) >= n,
-            F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i, n=n: F.substr(text, i, F.lit(n))),
-        ).otherwise(F.array().cast("array<string>"))
-        for n in sorted(sizes)
-    ]
+
+    def of_length(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.length(text) - n + 1)
+        return F.when(F.length(text) >= n, F.transform(starts, lambda i: F.substr(text, i, F.lit(n)))).otherwise(
+            F.array().cast("array<string>")
+        )
+
+    pieces = [of_length(n) for n in sorted(sizes)]
     offered = df.select(*keys, F.explode(F.array_distinct(F.concat(*pieces))).alias("_piece"))
     found = offered.join(dim, F.col("_piece") == F.col(name)).drop("_piece")
     best = first_row(found, keys, [F.col(priority), F.col(name)])
@@ -154,10 +155,9 @@ def resolve_branch(
     joined = located.join(bounded(table), ["bureau_code", "county"], "left").withColumn("_hits", hits)
     narrowed = F.col("_hits")
     at_boundary = (F.size("_hits") > 1) & F.contains(text, F.lit(boundary_district))
+    on_side = lambda side: F.filter("_hits", lambda o: o["boundary"] == side)
     for words, side in hints.items():
-        narrowed = F.when(
-            at_boundary & F.contains(text, F.lit(words)), F.filter(narrowed, lambda o, side=side: o["boundary"] == side)
-        ).otherwise(narrowed)
+        narrowed = F.when(at_boundary & F.contains(text, F.lit(words)), on_side(side)).otherwise(narrowed)
     names = F.coalesce(
         F.array_distinct(F.transform("_narrowed", lambda o: o["office_name"])), F.array().cast("array<string>")
     )

@@ -370,3 +370,22 @@ def approval_fields(text: Column) -> Column:
     number = F.regexp_extract(text, r"(?:發文字號|文號)\s*[:：]?\s*([^\s　，。]{3,60})", 1)
     date = F.when(text.rlike(chinese), iso(chinese)).when(text.rlike(numeric), iso(numeric)).otherwise("")
     return F.struct(number.alias("document_number"), date.alias("approval_date"))
+
+
+def provided_pages(files: DataFrame, read_pages: Callable, key: str = "file_id") -> DataFrame:
+    """Page texts of files by a caller's reader: ``read_pages(row)`` yields (page, text) of one file.
+
+    The reader runs inside the tasks that hold the files; one file's pages are in memory at a time.
+    """
+    import pandas as pd
+
+    def read(batches):
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                found = list(read_pages(row))
+                yield pd.DataFrame(
+                    {key: [getattr(row, key)] * len(found), "page": [p for p, _ in found], "text": [x for _, x in found]}
+                )
+
+    kind = dict(files.dtypes)[key]
+    return files.mapInPandas(read, f"{key} {kind}, page long, text string")

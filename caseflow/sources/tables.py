@@ -31,7 +31,7 @@ def load_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
-    """Good rows and quarantined lines of a JSON-lines file; blank lines are skipped by the reader."""
+    """Good rows and quarantined ones (with ``_corrupt_record``) of a JSON-lines file; the reader skips blank lines."""
     marked = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
     rows = (
         spark.read.schema(marked)
@@ -40,7 +40,7 @@ def read_json_lines(spark: SparkSession, path: str, schema: T.StructType) -> tup
         .json(path)
     )
     good = rows.filter(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
-    return good, rows.filter(F.col("_corrupt_record").isNotNull()).select("_corrupt_record")
+    return good, rows.filter(F.col("_corrupt_record").isNotNull())
 
 
 def parse_json_lines(lines: DataFrame, column: str, schema: T.StructType) -> DataFrame:
