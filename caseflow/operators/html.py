@@ -9,6 +9,7 @@ from caseflow.functions import vocab
 from caseflow.functions.columns import app_status, col, filled, first_filled, let, once
 from caseflow.functions.udfs import match_spans
 from caseflow.operators.ranking import first_row
+from caseflow.session import spread
 
 LINK_CONTEXT_CHARS = 900
 
@@ -109,7 +110,7 @@ def detail_records(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     ``pages`` has page_id, url, html and fallback_name.
     """
-    pairs = pages.withColumn("_pairs", once(label_pairs(row_cells(F.col("html")))))
+    pairs = spread(pages).withColumn("_pairs", once(label_pairs(row_cells(F.col("html")))))
     read = pairs.select(
         "page_id", "url", "fallback_name", *[pick_field(F.col("_pairs"), p).alias(c) for c, p in DETAIL_LABELS.items()]
     )
@@ -194,7 +195,7 @@ def link_candidates(pages: DataFrame, pattern: str = LINK_PATTERN, row_tag: str
     url, entity = F.col("url"), F.col("entity_type")
     has_anchor = F.col("html").rlike(r"(?i)<(?:a|button)(?![A-Za-z0-9_])")
     # Pages without an anchor are not sent to Python.
-    spanned = pages.withColumn("_spans", match_spans(F.when(has_anchor, F.col("html")), ANCHOR))
+    spanned = spread(pages).withColumn("_spans", match_spans(F.when(has_anchor, F.col("html")), ANCHOR))
 
     def link_of(inside: Column) -> Column:
         raw = let(

@@ -13,6 +13,7 @@ from caseflow.functions.columns import (
 )
 from caseflow.functions.udfs import match_spans
 from caseflow.operators.ranking import first_row, numbered
+from caseflow.session import spread
 
 SPACES = r"[\s　]+"
 PAGE_LIMIT = 25
@@ -317,7 +318,7 @@ def business_items(lines: Column) -> Column:
 
 def precheck_records(files: DataFrame) -> DataFrame:
     """Number, dates, company and business items of pre-check certificates; ``files`` has file_id and text."""
-    with_lines = files.withColumn("_lines", once(text_lines(fold_width("text"))))
+    with_lines = spread(files).withColumn("_lines", once(text_lines(fold_width("text"))))
     lines, text = F.col("_lines"), F.col("text")
     either = lambda label, extract, loose=None: F.coalesce(
         labelled_line(lines, label, extract), labelled_text(text, label, loose or extract), F.lit("")
@@ -351,7 +352,7 @@ def identity_records(files: DataFrame) -> DataFrame:
         lines,
         lambda every: F.get(F.filter(F.transform(every, lambda x, i: name_at(x, i, every)), lambda v: v.isNotNull()), F.lit(0)),
     )
-    return files.select(
+    return spread(files).select(
         "file_id", first_valid_id("text").alias("national_id"), F.coalesce(name, F.lit("")).alias("name")
     )
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caseflow.functions import vocab
-from caseflow.functions.columns import app_status, clean_text, first_filled, progress_url, roc_rank, roc_to_iso
+from caseflow.functions.columns import app_status, clean_text, first_filled, once, progress_url, roc_rank, roc_to_iso
 
 
 def receipt_links(cases: DataFrame, keys: list[str], receipt: str) -> DataFrame:
@@ -25,14 +25,14 @@ def annotate_candidates(candidates: DataFrame, cases: DataFrame) -> DataFrame:
     current = cases.select(
         F.col("id").alias("case_id"), "entity_type", "tax_id",
         F.coalesce("submitted_date", "received_date").cast("string").alias("target_date"),
+        F.col("official_receipt_no").alias("stored_receipt"),
     )
     links = receipt_links(cases, ["entity_type", "tax_id"], "official_receipt_no")
     joined = candidates.join(current, "case_id").join(links, ["entity_type", "tax_id", "receipt_no"], "left")
-    return joined.withColumns(
+    return joined.withColumn("received_iso", once(roc_to_iso("received_date"))).withColumns(
         {
-            "received_iso": roc_to_iso("received_date"),
             "is_current": F.col("linked_id") == F.col("case_id"),
-            "recommended": F.col("linked_id").isNull() & (roc_to_iso("received_date") == F.col("target_date")),
+            "recommended": F.col("linked_id").isNull() & (F.col("received_iso") == F.col("target_date")),
         }
     ).drop("lowest_linked_id", "linked_case_number")
 
@@ -48,16 +48,14 @@ def choose_candidates(candidates: DataFrame, cases: DataFrame, tie_break: list[s
     The stored receipt wins; else the only available one on the target date; else the only available one.
     One aggregate per case with map-side combine, so a case with very many candidates stays cheap.
     """
-    marked = annotate_candidates(candidates, cases).join(
-        cases.select(F.col("id").alias("case_id"), F.col("official_receipt_no").alias("_stored")), "case_id"
-    )
+    marked = annotate_candidates(candidates, cases)
     available = F.col("linked_id").isNull() | F.coalesce("is_current", F.lit(False))
     on_date = available & (F.col("received_iso") == F.col("target_date"))
-    exact = (F.col("_stored") != "") & (F.col("receipt_no") == F.col("_stored"))
+    exact = (F.col("stored_receipt") != "") & (F.col("receipt_no") == F.col("stored_receipt"))
     row = F.struct("receipt_no", "received_date", "official_status", "authority", *tie_break)
     order = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(candidate_order())], *tie_break)
-    first = lambda test: F.min_by(F.when(test, row), F.when(test, order))
-    picked = marked.groupBy("case_id").agg(
+    first = lambda test: F.min_by(F.when(test, row), F.when(test, F.col("_order")))
+    picked = marked.withColumn("_order", once(order)).groupBy("case_id").agg(
         first(exact).alias("_exact"),
         first(on_date).alias("_dated"), F.count_if(on_date).alias("_dated_n"),
         first(available).alias("_available"), F.count_if(available).alias("available_count"),

@@ -11,6 +11,7 @@ from caseflow.plans.inputs import AS_OF, national_id_of
 from caseflow.plans.inputs_sql import national_id_of as national_id_sql
 from caseflow.plans.inputs_sql import national_id_sql_valid
 from caseflow.plans.registry import query
+from caseflow.session import landed, spread
 
 
 def _words(t):
@@ -104,10 +105,12 @@ def _tokens(t, rows, source, key):
     cells = F.array(
         *[F.struct(text.alias("text"), *[box(v).alias(n) for n, v in zip(("x0", "y0", "x1", "y1"), b)]) for text, *b in rows]
     )
-    sheets = source.select(key.cast("string").alias("page_id"), F.posexplode(cells).alias("ord", "c"))
-    return sheets.select(
+    sheets = spread(source).select(key.cast("string").alias("page_id"), F.posexplode(cells).alias("ord", "c"))
+    rows = sheets.select(
         "page_id", F.col("ord").cast("long").alias("ord"), "c.text", (0.8 + F.col("ord") % 4 / 20).alias("score"), "c.x0", "c.y0", "c.x1", "c.y1"
     ).filter("text <> ''")
+    # The jobs read a token table several times; it lands once, as an OCR cache does.
+    return landed(rows, "tokens")
 
 
 def _card_tokens(t):

@@ -116,7 +116,7 @@ def test_links_by_path_call_and_row(spark):
             (1, "https://s.example/a/list.do?q=1", '<p>12345678 甲公司</p><a href="detail/QueryX.do">no</a><a href="../detail/QueryCase.do?x=1">go</a>', "公司", "12345678", "甲公司"),
             (2, "https://s.example/a/b.do", """<button onclick="go('123456789','17')">go</button>""", "公司", "", ""),
             (3, "https://s.example/a/b.do", """<button onclick="go('123456789','12345678A2','376590000A','02')">go</button>""", "行號", "", ""),
-            (4, "https://s.example/a/b.do", """<table><tr><td>其他</td><td>'987654321'</td></tr><tr><td>甲公司</td><td onclick="f('123456789')">x</td></tr></table>""", "公司", "5550", "甲公司"),
+            (4, "https://s.example/a/b.do", """<table><tr><td>其他</td><td>'987654321'</td></tr><tr><td>甲公司</td><td onclick=f('123456789')>x</td></tr></table>""", "公司", "5550", "甲公司"),
             (5, "https://s.example/", "<p>none</p>", "公司", "1", "x"),
         ],
         "page_id int, url string, html string, entity_type string, tax_id string, company_name string",
