@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caseflow.functions import vocab
 from caseflow.functions.columns import col
-from caseflow.operators.ranking import largest_group, numbered, top_rows
+from caseflow.operators.ranking import fits, numbered, top_rows
+from caseflow.session import checkpointed
 
 
 def file_category(name, rules: list[tuple[str, str]] = vocab.FILE_CATEGORIES) -> Column:
@@ -68,24 +69,81 @@ def slice_folders(records: DataFrame, folder: str, prefixes: list[str] = (), off
     return records.join(folders, folder, "left_semi")
 
 
+def _name_parts(name: Column) -> tuple[Column, Column]:
+    """Base and extension; a dot at the very start opens no extension."""
+    extension = F.regexp_extract(name, r"(?s)^.+(\.[^.]*)$", 1)
+    return F.substr(name, F.lit(1), F.length(name) - F.length(extension)), extension
+
+
 def unique_names(entries: DataFrame, name: str, place: str, **ranking) -> DataFrame:
-    """Give repeated names a suffix: a.pdf, a_2.pdf, ... in order of place.
+    """Give repeated names a number: a.pdf, a_2.pdf, ... as if taken one by one in order of place.
 
-    A suffixed name may already stand in the list. Every name is then moved to the next free number of its
-    family, round by round; a round only touches the names that still clash.
+    A numbered name may stand in the list itself. It keeps its number when it comes before the copy that
+    would take it, and is renumbered as a copy of its own name when it comes after.
     """
-    dot = F.when(F.col(name).rlike(r".\.[^.]*$"), F.length(name) - F.length(F.substring_index(name, ".", -1)) - 1).otherwise(F.length(name))
-    base, extension = F.substr(F.col(name), F.lit(1), dot), F.substr(F.col(name), dot + 1)
-    placed = numbered(entries, [name], [F.col(place)], "_no", **ranking)
-    suffixed = F.concat(base, F.lit("_"), F.col("_no").cast("string"), extension)
-    return placed.withColumn("unique_name", F.when(F.col("_no") == 1, F.col(name)).otherwise(suffixed)).drop("_no")
-
-
-def clashing_names(named: DataFrame, name: str) -> DataFrame:
-    """Generated names that are also names of their own in the list, and so still clash."""
-    generated = named.filter(F.col("unique_name") != F.col(name)).select("unique_name")
-    own = named.select(F.col(name).alias("unique_name")).distinct()
-    return generated.join(own, "unique_name", "left_semi").distinct()
+    placed = numbered(entries.withColumn("_name", F.col(name)).withColumn("_place", F.col(place)), ["_name"], [F.col("_place")], "_no", **ranking)
+    firsts = placed.filter("_no = 1").select("_name", F.col("_place").alias("_first"))
+    base, extension = _name_parts(F.col("_name"))
+    stem = lambda i: F.regexp_extract(base, r"(?s)^(.+)_([1-9]\d{0,8})$", i)
+    children = (
+        firsts.select(
+            F.col("_name").alias("child"), F.concat(stem(1), extension).alias("_name"), stem(2).try_cast("long").alias("k"), "_first"
+        )
+        .filter("k >= 2")
+        .join(firsts.select("_name"), "_name")
+    )
+    if fits(children, 0):
+        return _with_numbers(placed, name, F.col("_no") - 1, F.lit(0))
+    children = checkpointed(children)
+    held, lost = None, None
+    level = children.join(children.select(F.col("child").alias("_name")), "_name", "left_anti")
+    # One round per level of nested numbers (a, a_2, a_2_2, ...), which are few.
+    while not fits(level, 0):
+        settled = checkpointed(_settle(placed, level, lost, ranking))
+        kept = settled.select("_name", F.col("r.held").alias("_held"))
+        moved = settled.select(F.explode("r.lost").alias("_name"))
+        held = kept if held is None else held.unionByName(kept)
+        lost = moved if lost is None else lost.unionByName(moved)
+        level = children.join(level.select(F.col("child").alias("_name")), "_name", "left_semi")
+    marked = placed.join(lost.withColumn("_lost", F.lit(1)), "_name", "left").join(held, "_name", "left")
+    copy = F.col("_no") - 1 + F.coalesce("_lost", F.lit(0))
+    # The i-th kept number h moves every copy from h - i on by one.
+    starts = F.transform(F.sort_array("_held"), lambda h, i: h - i - 1)
+    return _with_numbers(marked, name, copy, F.coalesce(F.size(F.filter(starts, lambda b: b <= copy)), F.lit(0)))
+
+
+def _settle(placed: DataFrame, level: DataFrame, lost: DataFrame | None, ranking: dict) -> DataFrame:
+    """For the parents of a level: which listed numbers keep their place and which lose it to a copy."""
+    rows = placed.join(level.select("_name").distinct(), "_name", "left_semi")
+    if lost is not None:
+        rows = rows.join(lost.withColumn("_lost", F.lit(True)), "_name", "left")
+        rows = rows.filter((F.col("_no") > 1) | F.coalesce("_lost", F.lit(False)))
+    else:
+        rows = rows.filter("_no > 1")
+    marks = level.select("_name", F.col("_first").alias("_place"), "child", "k")
+    both = rows.select("_name", "_place", F.lit(None).cast("string").alias("child"), F.lit(None).cast("long").alias("k")).unionByName(marks)
+    order = [F.col("_place")]
+    among_all = numbered(both, ["_name"], order, "_among_all", **ranking).filter("child IS NOT NULL")
+    among_marks = numbered(marks, ["_name"], order, "_among_marks", **ranking).select("child", "_among_marks")
+    counted = among_all.join(among_marks, "child").withColumn("copies", F.col("_among_all") - F.col("_among_marks"))
+    listed = counted.groupBy("_name").agg(F.sort_array(F.collect_list(F.struct("k", "copies", "child"))).alias("c"))
+
+    def step(done: Column, c: Column) -> Column:
+        keeps = c["copies"] + F.size(done["held"]) < c["k"] - 1
+        return F.struct(
+            F.when(keeps, F.concat(done["held"], F.array(c["k"]))).otherwise(done["held"]).alias("held"),
+            F.when(keeps, done["lost"]).otherwise(F.concat(done["lost"], F.array(c["child"]))).alias("lost"),
+        )
+
+    start = F.struct(F.array().cast("array<bigint>").alias("held"), F.array().cast("array<string>").alias("lost"))
+    return listed.select("_name", F.aggregate("c", start, step).alias("r"))
+
+
+def _with_numbers(rows: DataFrame, name: str, copy: Column, moved: Column) -> DataFrame:
+    base, extension = _name_parts(F.col(name))
+    numbered_name = F.concat(base, F.lit("_"), (copy + 1 + moved).cast("string"), extension)
+    extra = [c for c in ("_name", "_place", "_no", "_lost", "_held") if c in rows.columns]
+    return rows.withColumn("unique_name", F.when(copy == 0, F.col(name)).otherwise(numbered_name)).drop(*extra)
 
 
 def agreement_report(compared: DataFrame, category: str = "category") -> DataFrame:

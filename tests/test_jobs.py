@@ -234,3 +234,16 @@ def test_empty_tables(spark):
     enriched = ledger.enrich(none, t.items.filter("case_id < 0"), t.history.filter("id < 0"))
     assert enriched.count() == 0 and ledger.reminders(enriched, D(2026, 1, 1)).count() == 0
     assert ledger.kpis(none).first()["active"] == 0
+
+
+def test_unique_names_on_random_lists(spark):
+    import random
+
+    rnd = random.Random(7)
+    lists = [[f"L{i}x{rnd.choice(['', '_2', '_3', '_2_2', '_4', '_3_2'])}.pdf" for _ in range(rnd.randint(2, 14))] for i in range(80)]
+    entries = [(i * 100 + p, n) for i, names in enumerate(lists) for p, n in enumerate(names)]
+    df = spark.createDataFrame(entries, "place long, name string")
+    expected = [n for names in lists for n in sequential_names(names)]
+    for limit in (1_000_000, 3):
+        got = [r["unique_name"] for r in dataset.unique_names(df, "name", "place", group_limit=limit).orderBy("place").collect()]
+        assert got == expected
