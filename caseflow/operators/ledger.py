@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from caseflow.functions import vocab
 from caseflow.functions.columns import days_between, first_filled
 from caseflow.operators.ranking import numbered
+from caseflow.session import spread
 
 
 def billing_totals(items: DataFrame) -> DataFrame:
@@ -52,7 +53,7 @@ def with_receivables(cases: DataFrame, items: DataFrame) -> DataFrame:
 def enrich(cases: DataFrame, items: DataFrame, history: DataFrame) -> DataFrame:
     """One wide row per case: year, receivables and event dates."""
     dates = event_dates(history).withColumnRenamed("case_id", "id")
-    return with_receivables(cases, items).join(dates, "id", "left").withColumn("year", F.year("received_date"))
+    return with_receivables(spread(cases), items).join(dates, "id", "left").withColumn("year", F.year("received_date"))
 
 
 def in_year(cases: DataFrame, year: int) -> DataFrame:

@@ -42,21 +42,21 @@ def _numbered_by_range(df: DataFrame, keys: list[str], order: list[Column], name
     placed = checkpointed(
         df.repartitionByRange(slices, *by)
         .sortWithinPartitions(*by)
-        .withColumn("_place", F.monotonically_increasing_id())
-        .withColumn("_slice", F.shiftright("_place", 33))
+        .withColumn("_row_id", F.monotonically_increasing_id())
+        .withColumn("_row_slice", F.shiftright("_row_id", 33))
     )
-    firsts = placed.groupBy("_slice", *keys).agg(
-        F.min("_place").alias("_first"), F.count(F.lit(1)).alias("_rows")
+    firsts = placed.groupBy("_row_slice", *keys).agg(
+        F.min("_row_id").alias("_first_id"), F.count(F.lit(1)).alias("_row_count")
     )
     # One row per (slice, group): a group has at most as many rows here as there are slices.
-    earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*keys).orderBy("_row_slice").rowsBetween(Window.unboundedPreceding, -1)
     starts = firsts.select(
-        "_slice", *keys, "_first", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before")
+        "_row_slice", *keys, "_first_id", F.coalesce(F.sum("_row_count").over(earlier), F.lit(0)).alias("_rows_before")
     )
     return (
-        placed.join(starts, ["_slice", *keys])
-        .withColumn(name, F.col("_place") - F.col("_first") + F.col("_before") + 1)
-        .drop("_slice", "_place", "_first", "_before")
+        placed.join(starts, ["_row_slice", *keys])
+        .withColumn(name, F.col("_row_id") - F.col("_first_id") + F.col("_rows_before") + 1)
+        .drop("_row_slice", "_row_id", "_first_id", "_rows_before")
         .select(*df.columns, name)
     )
 

@@ -13,6 +13,7 @@ from caseflow.plans.inputs import AS_OF, national_id_of, pick
 from caseflow.plans.inputs_sql import national_id_of as national_id_sql
 from caseflow.plans.inputs_sql import pick as pick_sql
 from caseflow.plans.registry import query
+from caseflow.session import spread
 
 
 def _roc_texts(t):
@@ -391,7 +392,7 @@ def _(t):
 
 def _file_results(t):
     k = F.col("l_suppkey")
-    return t.lineitem.select(
+    return spread(t.lineitem).select(
         F.col("l_orderkey").alias("case_id"),
         (F.col("l_linenumber").cast("long") * 100000000 + F.col("l_partkey") * 10000 + k).alias("file_ord"),
         (F.col("l_quantity") < 49).alias("done"),

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseflow.functions import vocab
+from caseflow.session import spread
 from caseflow.sources.tables import TABLES, load_table
 
 AS_OF = datetime.date(2001, 12, 31)
@@ -127,7 +128,7 @@ class Inputs:
             (F.year("l_shipdate") - 1911).cast("string"), F.lit("/"), F.date_format("l_shipdate", "MM/dd")
         )
         k = F.col("l_orderkey") * 10 + F.col("l_linenumber")
-        return self.lineitem.select(
+        return spread(self.lineitem).select(
             F.col("l_orderkey").alias("case_id"),
             F.when(F.col("l_linenumber") == 1, F.format_string("%09d", "l_orderkey"))
             .otherwise(F.format_string("%09d", F.col("l_partkey"))).alias("receipt_no"),
