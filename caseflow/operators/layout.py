@@ -344,10 +344,12 @@ def find_labels(tokens: DataFrame, labels: dict[str, list[str]] = vocab.FIELD_LA
     )
     texts = tokens.select("text").distinct().withColumn("_l", fields).select("text", "_l.*")
     compact = texts.withColumn("_t", compact_label("text")).withColumn("_e", compact_label("label"))
-    # A ratio is 2M / (a + b) and M is at most the shorter length: texts that cannot reach the minimum stay out.
+    # A ratio is 2M / (a + b); M is at most either length and the text's characters that the label has at all.
+    # Texts that cannot reach the minimum never go to Python.
     a, b = F.length("_t"), F.length("_e")
     contained = F.contains("_t", F.col("_e"))
-    reachable = 2 * F.least(a, b) >= (a + b) * vocab.LABEL_MATCH_MINIMUM
+    shared = a - F.length(F.expr("translate(_t, _e, '')"))
+    reachable = 2 * F.least(shared, b) >= (a + b) * vocab.LABEL_MATCH_MINIMUM
     exact = compact.filter(contained).select("text", "field", F.lit(1.0).alias("match_score"))
     fuzzy = compact.filter(~contained & reachable).select("text", "field", similarity(F.col("_t"), F.col("_e")).alias("match_score"))
     scored = (
