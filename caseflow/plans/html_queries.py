@@ -9,6 +9,7 @@ from caseflow.plans.inputs import pick
 from caseflow.plans.inputs_sql import pick as pick_sql
 from caseflow.plans.merge_queries import STATUS_RULES
 from caseflow.plans.registry import query
+from caseflow.session import spread
 from caseflow.sources.tables import page_text_from_bytes
 
 
@@ -31,7 +32,7 @@ def flat_sql(html: str) -> str:
 
 @query("h16_plain_text", f"SELECT page_id, {plain_sql('html')} AS text FROM pages")
 def _(t):
-    return t.pages.select("page_id", h.plain_text("html").alias("text"))
+    return spread(t.pages).select("page_id", h.plain_text("html").alias("text"))
 
 
 CELLS_SQL = f"""
