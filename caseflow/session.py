@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,12 +30,10 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder every executor sees: the cluster's checkpoint folder, a temporary one in local mode only."""
+    """Folder every executor sees: the cluster's checkpoint folder, or the warehouse where none is named."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-        folder = tempfile.mkdtemp(prefix="caseflow-checkpoint-")
+        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 
