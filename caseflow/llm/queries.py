@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseflow.llm import quality
+from caseflow.llm import classifier, quality, simhash
 from caseflow.llm.registry import documents, query
 from caseflow.llm.textstats import stop_forms
 
@@ -37,3 +37,18 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stop_words", "base_failed", "kept"
     )
+
+
+@query("op10_quality_classifier")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder).select("doc_id", "text")
+    forest = classifier.train(docs, spark.read.parquet(f"{folder}/labels.parquet"))
+    held = classifier.held_out(F.col("doc_id")).alias("held_out")
+    return classifier.scored(docs, forest).select("doc_id", held, "score", "predicted")
+
+
+@query("op7_simhash_near_dedup")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    found = simhash.near_duplicates(simhash.fingerprints(documents(spark, folder)))
+    digits = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
+    return found.select("doc_id", digits, "component_id")
