@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseflow.llm import classifier, quality, simhash
+from caseflow.llm import classifier, hilbert, quality, simhash
 from caseflow.llm.registry import documents, query
 from caseflow.llm.textstats import stop_forms
 
@@ -52,3 +52,14 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(simhash.fingerprints(documents(spark, folder)))
     digits = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
     return found.select("doc_id", digits, "component_id")
+
+
+@query("op3_hilbert_sharding")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    docs = documents(spark, folder).select(
+        "doc_id", "lang", "source", "n_chars", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32")
+    )
+    placed = hilbert.shards(docs, ["source", "lang", "n_chars", "doc_id"], ["doc_id", "text_crc32"])
+    none = F.lit(None).cast("int").alias("grown_shard")
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", none, "place")
