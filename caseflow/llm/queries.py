@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseflow.llm import classifier, hilbert, quality, simhash
+from caseflow.llm import classifier, hilbert, packing, quality, simhash
 from caseflow.llm.registry import documents, query
 from caseflow.llm.textstats import stop_forms
+from caseflow.llm.tokens import vocabulary
 
 OP1_SQL = """
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
@@ -63,3 +64,9 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     placed = hilbert.shards(docs, ["source", "lang", "n_chars", "doc_id"], ["doc_id", "text_crc32"])
     none = F.lit(None).cast("int").alias("grown_shard")
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", none, "place")
+
+
+@query("op4_best_fit_packing")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    items = packing.pieces(documents(spark, folder), vocabulary(), with_ids=False)
+    return packing.packed(items).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
