@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseflow.llm import classifier, hilbert, packing, quality, simhash
+from caseflow.llm import classifier, hilbert, packing, quality, repair, simhash
 from caseflow.llm.registry import documents, query
+from caseflow.llm.store import new_path
 from caseflow.llm.textstats import stop_forms
 from caseflow.llm.tokens import vocabulary
 
@@ -70,3 +71,10 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     items = packing.pieces(documents(spark, folder), vocabulary(), with_ids=False)
     return packing.packed(items).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@query("op9_repair_token_files")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    path = new_path(spark, "token-shards")
+    repair.write(documents(spark, folder), path, vocabulary())
+    return repair.read(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
