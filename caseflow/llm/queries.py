@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseflow.llm import classifier, hilbert, packing, quality, repair, simhash
+from caseflow.llm import classifier, hilbert, packing, pii, quality, repair, simhash
 from caseflow.llm.registry import documents, query
 from caseflow.llm.store import new_path
 from caseflow.llm.textstats import stop_forms
@@ -78,3 +78,16 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
     path = new_path(spark, "token-shards")
     repair.write(documents(spark, folder), path, vocabulary())
     return repair.read(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+@query("op5_pii_weak_supervision")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder).select("doc_id", "text")
+    found = pii.with_spans(docs, pii.train(pii.histogram(docs)))
+    base = F.filter("spans", lambda c: c["base"])
+
+    def count(kind: int):
+        return F.size(F.filter(base, lambda c: c["k"] == kind)).cast("long").alias(f"n_{pii.KINDS[kind]}")
+
+    counts = [count(kind) for kind in (pii.EMAIL, pii.IP, pii.CARD, pii.PHONE)]
+    return found.select("doc_id", *counts, F.sha2(pii.said(base), 256).alias("base_sha256"), pii.said(F.col("spans")).alias("spans"))
