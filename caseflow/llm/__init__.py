@@ -3,7 +3,9 @@
 
 def load_all() -> tuple[dict, dict]:
     """Every query of this subpackage, and the SQL of those that have one."""
+    import corpus_pipeline
     from caseflow.llm import queries  # noqa: F401
     from caseflow.llm.registry import ORACLES, QUERIES
 
-    return QUERIES, ORACLES
+    own = {} if corpus_pipeline.ORACLE_SQL is None else {"pipeline": corpus_pipeline.ORACLE_SQL}
+    return QUERIES | {"pipeline": corpus_pipeline.run}, ORACLES | own

@@ -78,7 +78,7 @@ def train(
     return fit(table, rows["label"].to_numpy(dtype=float))
 
 
-def scored(docs: DataFrame, forest: Forest, text: str = "text") -> DataFrame:
+def scored(docs: DataFrame, forest: Forest, text: str = "text", score: str = "score", predicted: str = "predicted") -> DataFrame:
     """``docs`` with ``score`` (0 to 1, higher: label 1 likelier) and ``predicted``."""
 
     @F.pandas_udf("double")
@@ -87,7 +87,7 @@ def scored(docs: DataFrame, forest: Forest, text: str = "text") -> DataFrame:
 
     with_x = with_features(docs, text, "_classifier_x")
     return (
-        with_x.withColumn("score", walk("_classifier_x"))
-        .withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+        with_x.withColumn(score, walk("_classifier_x"))
+        .withColumn(predicted, (F.col(score) >= 0.5).cast("int"))
         .drop("_classifier_x")
     )

@@ -299,14 +299,16 @@ def chance(c: Column, weights: dict[int, list[float]]) -> Column:
     return F.coalesce(1 / (1 + F.exp(-score)), F.lit(0.0))
 
 
-def with_spans(docs: DataFrame, weights: dict[int, list[float]], text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with ``spans``: array of (start, k, end, base) in the order of start and kind, base spans and added ones."""
+def with_spans(
+    docs: DataFrame, weights: dict[int, list[float]], text: str = "text", threshold: float = THRESHOLD, name: str = "spans"
+) -> DataFrame:
+    """``docs`` with ``name``: array of (start, k, end, base) in the order of start and kind, base spans and added ones."""
 
     def chosen(cs):
         kept = F.filter(cs, lambda c: c["base"] | ((c["known"] == 0) & (chance(c, weights) >= threshold)))
         return F.array_sort(F.transform(kept, lambda c: F.struct(c["start"], c["k"], c["end"], c["base"])))
 
-    return docs.withColumn("spans", once(let(candidates(F.coalesce(F.col(text), F.lit(""))), chosen)))
+    return docs.withColumn(name, once(let(candidates(F.coalesce(F.col(text), F.lit(""))), chosen)))
 
 
 def said(spans: Column) -> Column:

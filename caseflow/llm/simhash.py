@@ -166,3 +166,14 @@ def near_duplicates(prints: DataFrame, radius: int = RADIUS, tile_rows: int = TI
     salted = named.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     dealt = prints.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
     return dealt.join(salted, ["fp", "salt"]).select("doc_id", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` without their near-duplicates: of each component the row of the smallest id stays, once.
+
+    A row with a null id stands for its text's hash.
+    """
+    keyed = docs.withColumn("_simhash_key", F.coalesce(F.col(doc_id).cast("long"), F.xxhash64(text)))
+    found = near_duplicates(fingerprints(keyed, "_simhash_key", text))
+    first = found.filter("doc_id = component_id").select(F.col("doc_id").alias("_simhash_key"))
+    return keyed.join(first, "_simhash_key", "left_semi").dropDuplicates(["_simhash_key"]).drop("_simhash_key")
