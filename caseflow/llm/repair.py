@@ -126,20 +126,27 @@ def _frequent(code: np.ndarray, most: int, least_places: int) -> np.ndarray:
     return np.sort(values[often])
 
 
+def _slots(code: np.ndarray) -> np.ndarray:
+    """Places of pairs in a table of 2**18 slots: the high bits of a product with an odd constant."""
+    return (code * np.uint32(0x9E3779B1)) >> np.uint32(14)
+
+
 def _places(code: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(place in ``chosen``, position) of the pairs to replace; of overlapping ones the first, third and so on of a row."""
-    left, right = np.zeros(SYMBOLS, dtype=bool), np.zeros(SYMBOLS, dtype=bool)
-    left[chosen >> 16], right[chosen & 0xFFFF] = True, True
-    at = np.flatnonzero(left[code >> 16] & right[code & 0xFFFF])
-    rule = np.searchsorted(chosen, code[at])
-    hit = chosen[np.minimum(rule, len(chosen) - 1)] == code[at]
-    at, rule = at[hit], rule[hit]
+    """(place in ``chosen``, position) of the pairs to replace; of overlapping ones the first, third and so on of a row.
+
+    Of chosen pairs with the same slot only the last is replaced; the others are as frequent in the next round.
+    """
+    pair, place = np.zeros(1 << 18, dtype=np.uint32), np.zeros(1 << 18, dtype=np.int64)
+    slots = _slots(chosen)
+    pair[slots], place[slots] = chosen, np.arange(len(chosen))
+    slots = _slots(code)
+    at = np.flatnonzero((pair[slots] == code) & (code > 0))
     if not len(at):
-        return rule, at
+        return at, at
     starts = np.r_[True, np.diff(at) != 1]
     run = np.maximum.accumulate(np.where(starts, np.arange(len(at)), 0))
-    odd = (np.arange(len(at)) - run) % 2 == 0
-    return rule[odd], at[odd]
+    at = at[(np.arange(len(at)) - run) % 2 == 0]
+    return place[slots[at]], at
 
 
 SHARD = "part int, shard int, n_tokens long, doc_ids array<long>, token_starts array<long>, symbol_starts array<long>, blob binary"

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import os
 import re
+import string
+from array import array
 from collections.abc import Iterable, Iterator
 from itertools import islice
 
@@ -21,6 +23,7 @@ MOST_WORDS = 1_000_000
 MOST_CHUNKS = 200_000
 JOINED = 256
 CHARS_AT_ONCE = 1_000_000
+MARKS = string.punctuation
 
 # Unicode's white space, as the vocabulary's own splitting rule has it.
 BLANK = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -38,6 +41,19 @@ def _is_word(part: str) -> bool:
     return bool(word) and not (word[0].isspace() or word[-1].isspace())
 
 
+class _ByteLetters(dict):
+    """The letters that stand for a character's bytes in the vocabulary, by its code point, as the library gives them."""
+
+    def __init__(self):
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        self.byte_level = ByteLevel(add_prefix_space=False, use_regex=False)
+
+    def __missing__(self, point: int) -> str:
+        self[point] = letters = self.byte_level.pre_tokenize_str(chr(point))[0][0]
+        return letters
+
+
 class Encoder:
     """Ids as little-endian unsigned 32-bit integers in one bytes object per text."""
 
@@ -46,9 +62,12 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.model = self.library.model
         added = self.library.get_added_tokens_decoder()
         self.special = [token.content for token in added.values()]
         self.mark, self.mark_id = next((token.content, k) for k, token in added.items())
+        self.bytes_of = _ByteLetters()
+        self.line = self._piece("\n")
         self.words: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {}
 
@@ -65,13 +84,33 @@ class Encoder:
             out += [blob[i:j] for i, j in zip(np.r_[0, 4 * at + 4].tolist(), np.r_[4 * at, len(blob)].tolist())]
         return out
 
-    def _looked_up(self, parts: list[list[str]], table: dict[str, bytes], most: int, sendable, form) -> list[list[bytes | None]]:
-        """Ids of every part, None where a new part is not ``sendable``; ``form`` gives the string to encode."""
+    def _word_ids(self, words: list[str]) -> list[bytes]:
+        """Ids of new words. Letters are a piece of their own and go to the model at once, as do the ASCII marks after them."""
+        stems = [w.rstrip(MARKS) for w in words]
+        rest = [w for w, stem in zip(words, stems) if not stem[stem[:1] == "\n" :].isalpha()]
+        learnt = dict(zip(rest, self._encoded([w if w[0] == "\n" else " " + w for w in rest])))
+        out = []
+        for word, stem in zip(words, stems):
+            ids = learnt.get(word)
+            if ids is None:
+                ids = self.words.get(stem) if len(stem) < len(word) else None
+                if ids is None:
+                    ids = self.line + self._piece(stem[1:]) if stem[0] == "\n" else self._piece(" " + stem)
+                if len(stem) < len(word):
+                    ids += self._piece(word[len(stem) :])
+            out.append(ids)
+        return out
+
+    def _piece(self, piece: str) -> bytes:
+        return array("I", [token.id for token in self.model.tokenize(piece.translate(self.bytes_of))]).tobytes()
+
+    def _looked_up(self, parts: list[list[str]], table: dict[str, bytes], most: int, sendable, encoded) -> list[list[bytes | None]]:
+        """Ids of every part from the table or, if ``sendable``, from ``encoded``; else None."""
         found = [list(map(table.get, own)) for own in parts]
         lacking = [i for i, ids in enumerate(found) if None in ids]
         new = {w for i in lacking for w, ids in zip(parts[i], found[i]) if ids is None}
         new = [w for w in new if sendable(w)]
-        learnt = dict(zip(new, self._encoded([form(w) for w in new])))
+        learnt = dict(zip(new, encoded(new)))
         for i in lacking:
             found[i] = [learnt.get(w) if ids is None else ids for w, ids in zip(parts[i], found[i])]
         _grow(table, learnt, most)
@@ -81,10 +120,10 @@ class Encoder:
         """A few texts without special tokens."""
         # Each word follows one blank, which it leaves out, or one line feed, which it keeps; so does the first.
         words = [("\n" + t).replace("\n", " \n")[1:].split(" ") for t in texts]
-        found = self._looked_up(words, self.words, MOST_WORDS, _is_word, lambda w: w if w[0] == "\n" else " " + w)
+        found = self._looked_up(words, self.words, MOST_WORDS, _is_word, self._word_ids)
         spaced = [i for i, ids in enumerate(found) if None in ids]
         parts = [CHUNK.findall(texts[i]) for i in spaced]
-        by_chunks = self._looked_up(parts, self.chunks, MOST_CHUNKS, bool, str)
+        by_chunks = self._looked_up(parts, self.chunks, MOST_CHUNKS, bool, self._encoded)
         out = [b"" if None in ids else b"".join(ids)[4:] for ids in found]
         for i, ids in zip(spaced, by_chunks):
             out[i] = b"".join(ids)
