@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseflow.llm import classifier, hilbert, packing, pii, quality, repair, simhash
+from caseflow.llm import classifier, hilbert, packing, pieces, pii, quality, repair, simhash, tokencounts
 from caseflow.llm.registry import documents, query
 from caseflow.llm.store import new_path
 from caseflow.llm.textstats import stop_forms
@@ -91,3 +91,24 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 
     counts = [count(kind) for kind in (pii.EMAIL, pii.IP, pii.CARD, pii.PHONE)]
     return found.select("doc_id", *counts, F.sha2(pii.said(base), 256).alias("base_sha256"), pii.said(F.col("spans")).alias("spans"))
+
+
+@query("op8_token_counts")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return tokencounts.counts(documents(spark, folder), vocabulary("piece_bpe_32k.model"))
+
+
+@query("op2_sentencepiece")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    model = vocabulary("piece_bpe_32k.model")
+    rows = pieces.decode(pieces.encode(documents(spark, folder), model), model)
+    # Giant documents come in several rows; their key is the row number, others have a row of their own.
+    per_row = rows.select(
+        "doc_id", "row", F.size("ids").cast("long").alias("n"), F.aggregate("ids", F.lit(0).cast("long"), lambda a, k: a + k).alias("s"),
+        F.length("text").cast("long").alias("c"), (F.col("text") == F.col("decoded")).alias("same"),
+    )
+    whole = per_row.filter("row IS NULL").select("doc_id", F.col("n").alias("n_pieces"), F.col("s").alias("id_sum"), F.col("c").alias("n_chars"), F.col("same").alias("round_trip"))
+    giant = per_row.filter("row IS NOT NULL").groupBy("row", "doc_id").agg(
+        F.sum("n").alias("n_pieces"), F.sum("s").alias("id_sum"), F.sum("c").alias("n_chars"), F.bool_and("same").alias("round_trip")
+    )
+    return whole.unionByName(giant.drop("row"))
