@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseflow.llm import classifier, hilbert, packing, pieces, pii, quality, repair, simhash, tokencounts
+from caseflow.llm import bm25, classifier, hilbert, packing, pieces, pii, quality, repair, simhash, tokencounts
 from caseflow.llm.registry import documents, query
 from caseflow.llm.store import new_path
 from caseflow.llm.textstats import stop_forms
@@ -112,3 +112,24 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
         F.sum("n").alias("n_pieces"), F.sum("s").alias("id_sum"), F.sum("c").alias("n_chars"), F.bool_and("same").alias("round_trip")
     )
     return whole.unionByName(giant.drop("row"))
+
+
+OP6_SQL = """
+WITH w AS (SELECT doc_id, unnest(list_filter(string_split_regex(lower(coalesce(text, '')), '[\\x20\\x09-\\x0D!-/:-@\\[-`{-~]+'), lambda x: x <> '')) AS term
+           FROM documents),
+p AS (SELECT doc_id, term, count(*) AS tf FROM w GROUP BY ALL),
+l AS (SELECT doc_id, count(*) AS len FROM w GROUP BY ALL),
+s AS (SELECT count(*) AS n, (SELECT count(*) FROM w) / count(*) AS mean FROM documents),
+f AS (SELECT term, count(*) AS df FROM p GROUP BY ALL),
+q AS (SELECT doc_id AS query_id, term, tf AS qtf FROM p WHERE doc_id % 50 = 0),
+x AS (SELECT query_id, p.doc_id, round(sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * p.tf * 2.2 / (p.tf + 1.2 * (0.25 + 0.75 * len / mean))), 6) AS score
+      FROM q JOIN p USING (term) JOIN f USING (term) JOIN l ON l.doc_id = p.doc_id CROSS JOIN s GROUP BY ALL)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank, doc_id, score
+FROM x QUALIFY rank <= 10
+"""
+
+
+@query("op6_bm25_top_k", OP6_SQL)
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    return bm25.search(docs, docs.filter("doc_id % 50 = 0"), k=10)
