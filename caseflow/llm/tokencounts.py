@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from caseflow.llm.unigram import LOW, MOST_WORDS, UNIT, Vocabulary, vocabulary
 
-MOST_NODES = 600_000
+MOST_NODES = 300_000
 
 
 class Trie:

@@ -19,8 +19,8 @@ import numpy as np
 
 END = b"\0\0\0\0"  # id 0, which ends a document
 #: A full table stays as it is: it holds the frequent entries, and a worker's memory is bounded.
-MOST_WORDS = 1_000_000
-MOST_CHUNKS = 200_000
+MOST_WORDS = 300_000
+MOST_CHUNKS = 100_000
 JOINED = 256
 CHARS_AT_ONCE = 1_000_000
 MARKS = string.punctuation

@@ -18,7 +18,7 @@ SIGN = "▁"
 UNIT = re.compile(" *[^ ]+| +")
 SCALE = 1_000_000
 LOW = -(1 << 60)
-MOST_WORDS = 1_000_000
+MOST_WORDS = 300_000
 
 
 class Vocabulary:
