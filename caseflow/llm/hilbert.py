@@ -14,8 +14,6 @@ no special treatment: they lie together where their metadata does.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -73,11 +71,10 @@ def with_place(docs: DataFrame, dims: list[str], bits: int = BITS, name: str = "
     """``docs`` with the place on the curve (long)."""
 
     @F.pandas_udf("long")
-    def place(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        for columns in batches:
-            yield pd.Series(hilbert_places(np.stack([c.to_numpy() for c in columns], axis=1), bits))
+    def place(cells: pd.Series) -> pd.Series:
+        return pd.Series(hilbert_places(np.stack(cells.to_numpy()), bits) if len(cells) else [], dtype="int64")
 
-    return docs.withColumn(name, place(*_cells(docs, dims, bits)))
+    return docs.withColumn(name, place(F.array(*_cells(docs, dims, bits))))
 
 
 def shards(docs: DataFrame, dims: list[str], ties: list[str], count: int = 8, bits: int = BITS, ranges: int | None = None) -> DataFrame:
