@@ -99,14 +99,16 @@ def compress(ids: np.ndarray, rounds: int = ROUNDS, rules_a_round: int = RULES_A
         if not len(chosen):
             break
         rule, at = _places(code, chosen)
-        used, rule = np.unique(rule, return_inverse=True)
+        used = np.flatnonzero(np.bincount(rule, minlength=len(chosen)))
+        renamed = np.zeros(len(chosen), dtype=np.uint16)
+        renamed[used] = first + len(rules) + np.arange(len(used))
         pairs = np.stack([chosen[used] >> 16, chosen[used] & 0xFFFF], axis=1).astype(np.uint16)
         sizes = np.r_[np.ones(first, np.int64), lengths][pairs]
         before = len(stream)
         kept = np.ones(before, dtype=bool)
         kept[at + 1] = False
         stream = stream.copy()
-        stream[at] = first + len(rules) + rule
+        stream[at] = renamed[rule]
         stream = stream[kept]
         rules, lengths = np.concatenate([rules, pairs]), np.concatenate([lengths, sizes.sum(axis=1)])
         if before - len(stream) < LEAST_GAIN * before:
@@ -136,7 +138,7 @@ def _places(code: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
     Of chosen pairs with the same slot only the last is replaced; the others are as frequent in the next round.
     """
-    pair, place = np.zeros(1 << 18, dtype=np.uint32), np.zeros(1 << 18, dtype=np.int64)
+    pair, place = np.zeros(1 << 18, dtype=np.uint32), np.zeros(1 << 18, dtype=np.int32)
     slots = _slots(chosen)
     pair[slots], place[slots] = chosen, np.arange(len(chosen))
     slots = _slots(code)

@@ -22,7 +22,7 @@ END = b"\0\0\0\0"  # id 0, which ends a document
 MOST_WORDS = 300_000
 MOST_CHUNKS = 100_000
 JOINED = 256
-CHARS_AT_ONCE = 1_000_000
+CHARS_AT_ONCE = 50_000
 MARKS = string.punctuation
 
 # Unicode's white space, as the vocabulary's own splitting rule has it.
@@ -67,9 +67,10 @@ class Encoder:
         self.special = [token.content for token in added.values()]
         self.mark, self.mark_id = next((token.content, k) for k, token in added.items())
         self.bytes_of = _ByteLetters()
-        self.line = self._piece("\n")
+        self.line = self._whole("\n")
         self.words: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -84,47 +85,64 @@ class Encoder:
             out += [blob[i:j] for i, j in zip(np.r_[0, 4 * at + 4].tolist(), np.r_[4 * at, len(blob)].tolist())]
         return out
 
-    def _word_ids(self, words: list[str]) -> list[bytes]:
-        """Ids of new words. Letters are a piece of their own and go to the model at once, as do the ASCII marks after them."""
-        stems = [w.rstrip(MARKS) for w in words]
-        rest = [w for w, stem in zip(words, stems) if not stem[stem[:1] == "\n" :].isalpha()]
-        learnt = dict(zip(rest, self._encoded([w if w[0] == "\n" else " " + w for w in rest])))
-        out = []
-        for word, stem in zip(words, stems):
-            ids = learnt.get(word)
-            if ids is None:
-                ids = self.words.get(stem) if len(stem) < len(word) else None
+    def _word_ids(self, words: Iterable[str]) -> dict[str, bytes]:
+        """Ids of new words. Letters are a piece of their own and go to the model at once, as do the ASCII marks after them.
+
+        What is no word, as it has a blank at an end, is left out.
+        """
+        learnt, others = {}, []
+        known, piece, tails = self.words.get, self._piece, self.tails
+        for word in words:
+            stem = word.rstrip(MARKS)
+            if stem.isalpha():
+                ids = None if stem is word else known(stem)
                 if ids is None:
-                    ids = self.line + self._piece(stem[1:]) if stem[0] == "\n" else self._piece(" " + stem)
-                if len(stem) < len(word):
-                    ids += self._piece(word[len(stem) :])
-            out.append(ids)
-        return out
-
-    def _piece(self, piece: str) -> bytes:
-        return array("I", [token.id for token in self.model.tokenize(piece.translate(self.bytes_of))]).tobytes()
-
-    def _looked_up(self, parts: list[list[str]], table: dict[str, bytes], most: int, sendable, encoded) -> list[list[bytes | None]]:
-        """Ids of every part from the table or, if ``sendable``, from ``encoded``; else None."""
+                    ids = piece("Ġ" + stem if stem.isascii() else "Ġ" + stem.translate(self.bytes_of))
+            elif stem[1:].isalpha() and stem[0] == "\n":
+                ids = self.line + piece(stem[1:] if stem.isascii() else stem[1:].translate(self.bytes_of))
+            else:
+                if _is_word(word):
+                    others.append(word)
+                continue
+            if len(stem) < len(word):
+                tail = word[len(stem) :]
+                ids += tails[tail] if tail in tails else self._tail(tail)
+            learnt[word] = ids
+        learnt.update(zip(others, self._encoded([w if w[0] == "\n" else " " + w for w in others])))
+        return learnt
+
+    def _tail(self, marks: str) -> bytes:
+        ids = self._piece(marks)
+        _grow(self.tails, {marks: ids}, MOST_CHUNKS)
+        return ids
+
+    def _piece(self, letters: str) -> bytes:
+        """Ids of a piece in the vocabulary's letters, in which ASCII marks and letters stand for themselves."""
+        return array("I", [token.id for token in self.model.tokenize(letters)]).tobytes()
+
+    def _looked_up(self, parts: list[list[str]], table: dict[str, bytes], most: int, learn) -> list[list[bytes | None]]:
+        """Ids of every part from the table or from ``learn``; None where neither has them."""
         found = [list(map(table.get, own)) for own in parts]
-        lacking = [i for i, ids in enumerate(found) if None in ids]
-        new = {w for i in lacking for w, ids in zip(parts[i], found[i]) if ids is None}
-        new = [w for w in new if sendable(w)]
-        learnt = dict(zip(new, encoded(new)))
+        lacking = [i for i, ids in enumerate(found) if not all(ids)]
+        learnt = learn({w for i in lacking for w, ids in zip(parts[i], found[i]) if ids is None})
         for i in lacking:
             found[i] = [learnt.get(w) if ids is None else ids for w, ids in zip(parts[i], found[i])]
         _grow(table, learnt, most)
         return found
 
+    def _chunk_ids(self, chunks: Iterable[str]) -> dict[str, bytes]:
+        chunks = list(chunks)
+        return dict(zip(chunks, self._encoded(chunks)))
+
     def _some(self, texts: list[str]) -> list[bytes]:
         """A few texts without special tokens."""
         # Each word follows one blank, which it leaves out, or one line feed, which it keeps; so does the first.
         words = [("\n" + t).replace("\n", " \n")[1:].split(" ") for t in texts]
-        found = self._looked_up(words, self.words, MOST_WORDS, _is_word, self._word_ids)
-        spaced = [i for i, ids in enumerate(found) if None in ids]
+        found = self._looked_up(words, self.words, MOST_WORDS, self._word_ids)
+        spaced = [i for i, ids in enumerate(found) if not all(ids)]
         parts = [CHUNK.findall(texts[i]) for i in spaced]
-        by_chunks = self._looked_up(parts, self.chunks, MOST_CHUNKS, bool, self._encoded)
-        out = [b"" if None in ids else b"".join(ids)[4:] for ids in found]
+        by_chunks = self._looked_up(parts, self.chunks, MOST_CHUNKS, self._chunk_ids)
+        out = [b"".join(ids)[4:] if all(ids) else b"" for ids in found]
         for i, ids in zip(spaced, by_chunks):
             out[i] = b"".join(ids)
         return out
