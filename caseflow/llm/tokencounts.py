@@ -1,6 +1,6 @@
 """Token counts by dynamic programming on a trie that pre-tokens share.
 
-A task inserts the distinct pre-tokens (blanks and a word) that it meets into one trie. A node holds the best sum of a
+A worker inserts the distinct pre-tokens (blanks and a word) that its tasks meet into one trie. A node holds the best sum of a
 segmentation of the string down to it and the number of pieces in it, so a prefix that many words share is scored once; the
 number at a word's last node is its count. A document's count is the sum over its words. Nothing is shuffled.
 
@@ -59,11 +59,21 @@ class Trie:
         return pieces[-1]
 
 
+_TRIES: dict[str, tuple[Trie, dict[str, int]]] = {}
+
+
+def trie_of(model: str) -> tuple[Trie, dict[str, int]]:
+    """The worker's own trie and the counts of whole words; they serve all tasks of the worker."""
+    if model not in _TRIES:
+        _TRIES[model] = Trie(vocabulary(model)), {}
+    return _TRIES[model]
+
+
 def counts(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_words, n_tokens) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, known = Trie(vocabulary(model)), {}
+        trie, known = trie_of(model)
         for batch in batches:
             n_words, n_tokens = [], []
             for t in batch.column(1):
