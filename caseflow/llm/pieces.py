@@ -156,7 +156,7 @@ def encode(docs: DataFrame, model: str, chunk: int = CHUNK, doc_id: str = "doc_i
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocabulary(model)
         for batch in batches:
-            ids = pa.array([words.encode(t.as_py()) for t in batch.column(1)], pa.list_(pa.int32()))
+            ids = pa.array(list(words.encode_all(t.as_py() for t in batch.column(1))), pa.list_(pa.int32()))
             none = pa.array([None] * len(ids), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), none, none, batch.column(1), ids], names=["doc_id", "row", "chunk", "text", "ids"])
 
@@ -182,7 +182,7 @@ def encode(docs: DataFrame, model: str, chunk: int = CHUNK, doc_id: str = "doc_i
         for batch in batches:
             own_id, row, number, own, ahead, enters, leaves = [c.to_pylist() for c in batch.columns]
             texts = [(o + a[:e])[s:] for o, a, s, e in zip(own, ahead, enters, leaves)]
-            ids = pa.array([words.encode(t) for t in texts], pa.list_(pa.int32()))
+            ids = pa.array(list(words.encode_all(texts)), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(own_id, pa.int64()), pa.array(row, pa.int64()), pa.array(number, pa.int64()), pa.array(texts, pa.string()), ids],
                 names=["doc_id", "row", "chunk", "text", "ids"],

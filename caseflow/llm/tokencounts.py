@@ -1,8 +1,8 @@
 """Token counts by dynamic programming on a trie that pre-tokens share.
 
-A worker inserts the distinct pre-tokens (blanks and a word) that its tasks meet into one trie. A node holds the best sum of a
-segmentation of the string down to it and the number of pieces in it, so a prefix that many words share is scored once; the
-number at a word's last node is its count. A document's count is the sum over its words. Nothing is shuffled.
+The distinct pre-tokens (blanks and a word) of many documents form a trie. It is walked depth-first, that is over the sorted
+words, with the best sum and the number of pieces of every prefix on the way down, so a prefix that many words share is scored
+once; the number at a word's end is its count. A document's count is the sum over its words. Nothing is shuffled.
 
 Defined results: a null or empty text has no tokens; null and repeated ids and repeated rows are counted like any other; an
 empty table gives an empty one; columns other than id and text are ignored.
@@ -10,82 +10,54 @@ empty table gives an empty one; columns other than id and text are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caseflow.llm.unigram import LOW, MOST_WORDS, UNIT, Vocabulary, vocabulary
-
-MOST_NODES = 300_000
-
-
-class Trie:
-    """``best`` and ``pieces`` of each node; a full trie stays as it is, and what lies beyond it is scored aside."""
-
-    def __init__(self, words: Vocabulary, most_nodes: int = MOST_NODES):
-        self.words = words
-        self.most_nodes = most_nodes
-        self.children: dict[int, int] = {}
-        self.best = [0]
-        self.pieces = [0]
-        self.scored = 0
-
-    def count(self, word: str) -> int:
-        """Pieces in the best segmentation of ``word``."""
-        node, best, pieces = 0, [0], [0]
-        for end, character in enumerate(word, 1):
-            key = (node << 21) | ord(character)
-            node = self.children.get(key, -1) if node >= 0 else -1
-            if node >= 0:
-                best.append(self.best[node])
-                pieces.append(self.pieces[node])
-                continue
-            top, number = LOW, 0
-            for start, score in self.words.edges(word, end):
-                if best[start] + score > top:
-                    top = best[start] + score
-                    step = 1 if end - start > 1 or character in self.words.ids else len(character.encode())
-                    number = pieces[start] + step
-            best.append(top)
-            pieces.append(number)
-            self.scored += 1
-            if key >= 0 and len(self.best) < self.most_nodes:
-                node = self.children[key] = len(self.best)
-                self.best.append(top)
-                self.pieces.append(number)
-        return pieces[-1]
-
-
-_TRIES: dict[str, tuple[Trie, dict[str, int]]] = {}
-
-
-def trie_of(model: str) -> tuple[Trie, dict[str, int]]:
-    """The worker's own trie and the counts of whole words; they serve all tasks of the worker."""
-    if model not in _TRIES:
-        _TRIES[model] = Trie(vocabulary(model)), {}
-    return _TRIES[model]
+from caseflow.llm.unigram import CHARS_AT_ONCE, MOST_WORDS, UNIT, Vocabulary, vocabulary
+
+_KNOWN: dict[str, dict[str, int]] = {}
+
+
+def terminal_counts(words: Vocabulary, distinct: Iterable[str]) -> dict[str, int]:
+    """Pieces in the best segmentation of each of the distinct pre-tokens."""
+    return {word: pieces[-1] for word, _, _, pieces in words.paths(sorted(distinct))}
+
+
+def _counted(texts: list[str], words: Vocabulary, known: dict[str, int]) -> Iterator[tuple[int, int]]:
+    """(pre-tokens, tokens) of each text; ``known`` grows up to ``MOST_WORDS``."""
+    units = [UNIT.findall(" " + t) if t else [] for t in texts]
+    found = [list(map(known.get, own)) for own in units]
+    learnt = terminal_counts(words, {u for own, counts in zip(units, found) for u, n in zip(own, counts) if n is None})
+    known.update(islice(learnt.items(), max(0, MOST_WORDS - len(known))))
+    for own, counts in zip(units, found):
+        yield len(own), sum(n or learnt[u] for u, n in zip(own, counts))
 
 
 def counts(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_words, n_tokens) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, known = trie_of(model)
+        words, known = vocabulary(model), _KNOWN.setdefault(model, {})
         for batch in batches:
-            n_words, n_tokens = [], []
+            n_words, n_tokens, some, size = [], [], [], 0
+
+            def flush():
+                for own, tokens in _counted(some, words, known):
+                    n_words.append(own)
+                    n_tokens.append(tokens)
+                some.clear()
+
             for t in batch.column(1):
-                t = t.as_py()
-                words = UNIT.findall(" " + t) if t else []
-                found = list(map(known.get, words))
-                if None in found:
-                    learnt = {w: trie.count(w) for w in {w for w, n in zip(words, found) if n is None}}
-                    found = [learnt[w] if n is None else n for w, n in zip(words, found)]
-                    known.update(islice(learnt.items(), max(0, MOST_WORDS - len(known))))
-                n_words.append(len(words))
-                n_tokens.append(sum(found))
+                some.append(t.as_py() or "")
+                size += len(some[-1])
+                if size >= CHARS_AT_ONCE:
+                    flush()
+                    size = 0
+            flush()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_tokens, pa.int64())], names=["doc_id", "n_words", "n_tokens"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))

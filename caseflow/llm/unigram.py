@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterable, Iterator
 from itertools import islice
 
 import numpy as np
@@ -19,6 +20,7 @@ UNIT = re.compile(" *[^ ]+| +")
 SCALE = 1_000_000
 LOW = -(1 << 60)
 MOST_WORDS = 300_000
+CHARS_AT_ONCE = 4_000_000
 
 
 class Vocabulary:
@@ -47,6 +49,8 @@ class Vocabulary:
                 self.byte_ids[value], self.bytes[k], self.scores[k] = k, bytes([value]), self.byte_score
         self.longest = max(map(len, self.ids))
         self.piece_scores = {piece: int(self.scores[k]) for piece, k in self.ids.items()}
+        # Score of a piece, None for what only begins one.
+        self.table = dict.fromkeys(piece[:k] for piece in self.ids for k in range(1, len(piece))) | self.piece_scores
         self.known: dict[str, bytes] = {}
 
     def edges(self, text: str, end: int, least: int = 0):
@@ -59,33 +63,81 @@ class Vocabulary:
         if text[end - 1] not in self.piece_scores:
             yield end - 1, self.byte_score * len(text[end - 1].encode())
 
-    def segment(self, text: str) -> list[int]:
-        """Ids of the best segmentation of a string, by one pass over it."""
-        best, back = [0] * (len(text) + 1), [0] * (len(text) + 1)
-        for end in range(1, len(text) + 1):
-            top, at = LOW, end - 1
-            for start, score in self.edges(text, end):
-                if best[start] + score > top:
-                    top, at = best[start] + score, start
-            best[end], back[end] = top, at
-        ids, end = [], len(text)
+    def paths(self, words: Iterable[str]) -> Iterator[tuple[str, list[int], list[int], list[int]]]:
+        """(word, best sums, starts of the last pieces, numbers of pieces) per end, for words in ascending order.
+
+        The words are walked as a depth-first walk of their trie: the lists are those of the path to the present word, so a
+        prefix that several words share is scored once. They are only valid until the next word is asked for.
+        """
+        table, lowest = self.table.get, self.byte_score
+        before, best, back, pieces, open_starts = "", [0], [0], [0], [()]
+        for word in words:
+            shared, most = 0, min(len(before), len(word))
+            while shared < most and before[shared] == word[shared]:
+                shared += 1
+            for path in (best, back, pieces, open_starts):
+                del path[shared + 1 :]
+            for end in range(shared + 1, len(word) + 1):
+                top, at, step, live = LOW, end - 1, 1, []
+                for start in (*open_starts[-1], end - 1):
+                    score = table(word[start:end], 0)
+                    if score == 0:  # neither a piece nor the beginning of one
+                        continue
+                    live.append(start)
+                    if score is not None and best[start] + score > top:
+                        top, at = best[start] + score, start
+                if word[end - 1] not in self.piece_scores:
+                    size = len(word[end - 1].encode())
+                    if best[end - 1] + lowest * size > top:
+                        top, at, step = best[end - 1] + lowest * size, end - 1, size
+                best.append(top)
+                back.append(at)
+                pieces.append(pieces[at] + step)
+                open_starts.append(live)
+            before = word
+            yield word, best, back, pieces
+
+    def _ids(self, word: str, back: list[int]) -> list[int]:
+        ids, end = [], len(word)
         while end:
             start = back[end]
-            k = self.ids.get(text[start:end])
-            ids.append([k] if k is not None else [self.byte_ids[b] for b in text[start:end].encode()])
+            k = self.ids.get(word[start:end])
+            ids.append([k] if k is not None else [self.byte_ids[b] for b in word[start:end].encode()])
             end = start
         return [k for own in reversed(ids) for k in own]
 
+    def segment(self, text: str) -> list[int]:
+        """Ids of the best segmentation of a string, by one pass over it."""
+        return next(self._ids(word, back) for word, _, back, _ in self.paths([text]))
+
+    def learn(self, texts: Iterable[str]) -> dict[str, bytes]:
+        """Ids of the texts' units (blanks and a word) that are not known yet."""
+        new = sorted({u for t in texts for u in UNIT.findall(t) if u not in self.known})
+        learnt = {word: np.array(self._ids(word, back), dtype="<u4").tobytes() for word, _, back, _ in self.paths(new)}
+        if len(self.known) < MOST_WORDS:
+            self.known.update(islice(learnt.items(), MOST_WORDS - len(self.known)))
+        return learnt
+
+    def encode_all(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
+        """Ids of each string; no piece goes from a word into the next, so the units are segmented once each, many together."""
+        some, size = [], 0
+        for text in texts:
+            some.append(text)
+            size += len(text)
+            if size >= CHARS_AT_ONCE:
+                yield from self._several(some)
+                some, size = [], 0
+        yield from self._several(some)
+
+    def _several(self, texts: list[str]) -> Iterator[np.ndarray]:
+        learnt, known = self.learn(texts), self.known.get
+        for text in texts:
+            units = UNIT.findall(text)
+            found = [learnt[u] if ids is None else ids for u, ids in zip(units, map(known, units))] if learnt else map(known, units)
+            yield np.frombuffer(b"".join(found), dtype="<u4")
+
     def encode(self, text: str) -> np.ndarray:
-        """Ids of a string; no piece goes from a word into the next, so its units (blanks and a word) are segmented once each."""
-        units = UNIT.findall(text)
-        found = list(map(self.known.get, units))
-        if None in found:
-            learnt = {u: np.array(self.segment(u), dtype="<u4").tobytes() for u in {u for u, ids in zip(units, found) if ids is None}}
-            found = [learnt[u] if ids is None else ids for u, ids in zip(units, found)]
-            if len(self.known) < MOST_WORDS:
-                self.known.update(islice(learnt.items(), MOST_WORDS - len(self.known)))
-        return np.frombuffer(b"".join(found), dtype="<u4")
+        return next(self.encode_all([text]))
 
     def decode(self, ids: np.ndarray) -> str:
         """The string that the ids stand for, with the blank before the text."""
