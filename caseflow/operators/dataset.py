@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from caseflow.functions import vocab
 from caseflow.functions.columns import col
-from caseflow.operators.ranking import fits, numbered, top_rows
+from caseflow.operators.ranking import numbered, top_rows
 from caseflow.session import checkpointed
 
 
@@ -25,11 +25,14 @@ def mark_duplicates(records: DataFrame, category: str, digest: str, place: str,
     The first places are an aggregate; they join back on (category, digest, place), which is unique, so a
     digest that very many files share spreads over the shuffle.
     """
-    usable = ~F.col(category).isin(list(excluded)) & F.col(digest).isNotNull()
-    firsts = records.filter(usable).groupBy(category, digest).agg(F.min(place).alias(place)).withColumn("_first", F.lit(True))
-    joined = records.join(firsts, [category, digest, place], "left")
+    # A missing category is a value of its own.
+    left_out = F.coalesce(F.col(category).isin(list(excluded)), F.lit(False))
+    firsts = records.filter(~left_out & F.col(digest).isNotNull()).groupBy(category, digest).agg(F.min(place).alias("_place"))
+    firsts = firsts.select(F.col(category).alias("_category"), F.col(digest).alias("_digest"), "_place", F.lit(True).alias("_first"))
+    same = F.col(category).eqNullSafe(F.col("_category")) & (F.col(digest) == F.col("_digest")) & (F.col(place) == F.col("_place"))
+    joined = records.join(firsts, same, "left").drop("_category", "_digest", "_place")
     outcome = (
-        F.when(F.col(category).isin(list(excluded)), "excluded_categories")
+        F.when(left_out, "excluded_categories")
         .when(F.col(digest).isNull(), "unreadable_files")
         .when(F.col("_first"), "kept")
         .otherwise("duplicates")
@@ -75,13 +78,15 @@ def _name_parts(name: Column) -> tuple[Column, Column]:
     return F.substr(name, F.lit(1), F.length(name) - F.length(extension)), extension
 
 
-def unique_names(entries: DataFrame, name: str, place: str, **ranking) -> DataFrame:
+def unique_names(entries: DataFrame, name: str, place: str, slice_rows: int = 1_000_000) -> DataFrame:
     """Give repeated names a number: a.pdf, a_2.pdf, ... as if taken one by one in order of place.
 
     A numbered name may stand in the list itself. It keeps its number when it comes before the copy that
-    would take it, and is renumbered as a copy of its own name when it comes after.
+    would take it, and is renumbered as a copy of its own name when it comes after. ``place`` is a whole number; a name that very
+    many rows share is numbered in slices of ``slice_rows`` places.
     """
-    placed = numbered(entries.withColumn("_name", F.col(name)).withColumn("_place", F.col(place)), ["_name"], [F.col("_place")], "_no", **ranking)
+    named = entries.withColumn("_name", F.col(name)).withColumn("_place", F.col(place))
+    placed = numbered(named, ["_name"], [F.col("_place")], "_no", _slice(slice_rows))
     firsts = placed.filter("_no = 1").select("_name", F.col("_place").alias("_first"))
     base, extension = _name_parts(F.col("_name"))
     stem = lambda i: F.regexp_extract(base, r"(?s)^(.+)_([1-9]\d{0,8})$", i)
@@ -92,14 +97,14 @@ def unique_names(entries: DataFrame, name: str, place: str, **ranking) -> DataFr
         .filter("k >= 2")
         .join(firsts.select("_name"), "_name")
     )
-    if fits(children, 0):
+    if children.isEmpty():
         return _with_numbers(placed, name, F.col("_no") - 1, F.lit(0))
     children = checkpointed(children)
     held, lost = None, None
     level = children.join(children.select(F.col("child").alias("_name")), "_name", "left_anti")
     # One round per level of nested numbers (a, a_2, a_2_2, ...), which are few.
-    while not fits(level, 0):
-        settled = checkpointed(_settle(placed, level, lost, ranking))
+    while not level.isEmpty():
+        settled = checkpointed(_settle(placed, level, lost, slice_rows))
         kept = settled.select("_name", F.col("r.held").alias("_held"))
         moved = settled.select(F.explode("r.lost").alias("_name"))
         held = kept if held is None else held.unionByName(kept)
@@ -112,7 +117,11 @@ def unique_names(entries: DataFrame, name: str, place: str, **ranking) -> DataFr
     return _with_numbers(marked, name, copy, F.coalesce(F.size(F.filter(starts, lambda b: b <= copy)), F.lit(0)))
 
 
-def _settle(placed: DataFrame, level: DataFrame, lost: DataFrame | None, ranking: dict) -> DataFrame:
+def _slice(rows: int) -> Column:
+    return F.floor(F.col("_place") / rows)
+
+
+def _settle(placed: DataFrame, level: DataFrame, lost: DataFrame | None, slice_rows: int) -> DataFrame:
     """For the parents of a level: which listed numbers keep their place and which lose it to a copy."""
     rows = placed.join(level.select("_name").distinct(), "_name", "left_semi")
     if lost is not None:
@@ -123,8 +132,8 @@ def _settle(placed: DataFrame, level: DataFrame, lost: DataFrame | None, ranking
     marks = level.select("_name", F.col("_first").alias("_place"), "child", "k")
     both = rows.select("_name", "_place", F.lit(None).cast("string").alias("child"), F.lit(None).cast("long").alias("k")).unionByName(marks)
     order = [F.col("_place")]
-    among_all = numbered(both, ["_name"], order, "_among_all", **ranking).filter("child IS NOT NULL")
-    among_marks = numbered(marks, ["_name"], order, "_among_marks", **ranking).select("child", "_among_marks")
+    among_all = numbered(both, ["_name"], order, "_among_all", _slice(slice_rows)).filter("child IS NOT NULL")
+    among_marks = numbered(marks, ["_name"], order, "_among_marks", _slice(slice_rows)).select("child", "_among_marks")
     counted = among_all.join(among_marks, "child").withColumn("copies", F.col("_among_all") - F.col("_among_marks"))
     listed = counted.groupBy("_name").agg(F.sort_array(F.collect_list(F.struct("k", "copies", "child"))).alias("c"))
 
@@ -165,7 +174,7 @@ def policy_report(runs: DataFrame, full: DataFrame) -> DataFrame:
     ``runs`` has policy, category, area_basis_points, tokens, duration_ms, baseline_fields, matched_fields;
     ``full`` has tokens and duration_ms of the full-page runs.
     """
-    totals = full.agg(F.sum("tokens").alias("t"), F.sum("duration_ms").alias("d")).first()
+    totals = full.agg(F.struct(F.sum("tokens").alias("t"), F.sum("duration_ms").alias("d")).alias("s")).scalar()
     rolled = runs.groupingSets(
         [[F.col("policy")], [F.col("policy"), F.col("category")]], F.col("policy"), F.col("category")
     ).agg(
@@ -178,6 +187,6 @@ def policy_report(runs: DataFrame, full: DataFrame) -> DataFrame:
         "policy", F.when(F.col("_level") == 1, "all").otherwise(F.col("category")).alias("category"), "pages",
         share(F.col("matched_fields"), F.col("baseline_fields")).alias("field_agreement"),
         F.round(F.col("_area") / F.col("pages") / 10000, 4).alias("mean_area_ratio"),
-        share(F.col("_tokens"), F.lit(totals["t"])).alias("token_ratio"),
-        share(F.col("_ms"), F.lit(totals["d"])).alias("duration_ratio"),
+        share(F.col("_tokens"), totals["t"]).alias("token_ratio"),
+        share(F.col("_ms"), totals["d"]).alias("duration_ratio"),
     )

@@ -9,14 +9,10 @@ from caseflow.functions import vocab
 from caseflow.functions.columns import (
     col, filled, first_filled, postal_key, roc_parts, tax_address,
 )
-from caseflow.operators.ranking import first_row, fits, top_rows
+from caseflow.operators.ranking import first_row, lookup, top_rows
 
-DIMENSION_ROWS = 10_000
-
-
-def bounded(dim: DataFrame, rows: int = DIMENSION_ROWS) -> DataFrame:
-    """The dimension marked for broadcast when it is small; otherwise left to a shuffle join."""
-    return F.broadcast(dim) if fits(dim, rows) else dim
+# Rows that share one office, bureau or code are spread over so many tasks.
+KEY_COPIES = 16
 
 
 def build_catalogue(raw: DataFrame) -> DataFrame:
@@ -48,7 +44,8 @@ def name_entries(entries: DataFrame, catalogue: DataFrame, column: str = "entry"
     """Entries split into code and name; a missing name is looked up, an unknown code is kept."""
     split = entries.withColumn("_e", split_entry(column)).select(*entries.columns, "_e.*")
     names = catalogue.select(F.col("code"), F.col("name").alias("_catalogue_name"))
-    return split.join(names, "code", "left").select(
+    wanting = (F.col("code") != "") & (F.col("name") == "")
+    return lookup(split, names, ["code"], [column], wanting).select(
         *entries.columns, "code", first_filled("name", "_catalogue_name").alias("name")
     )
 
@@ -88,34 +85,24 @@ def bureau_dimension(spark) -> DataFrame:
     )
 
 
-def first_contained(
-    df: DataFrame, keys: list[str], text: Column, dim: DataFrame, name: str, priority: str, dim_limit: int = DIMENSION_ROWS
-) -> DataFrame:
-    """Add the dimension row whose ``name`` occurs in ``text``; the lowest priority wins, not the position.
+def first_contained(df: DataFrame, keys: list[str], text: Column, dim: DataFrame, name: str, priority: str, gram: int = 2) -> DataFrame:
+    """Add the dimension row whose ``name`` occurs in ``text``; the lowest priority wins, then the lowest name, not the position.
 
-    A small dimension becomes one array value that each row filters, so nothing is joined or shuffled.
-    A larger one is matched by equality: each text offers its pieces of the lengths that names have.
+    A name is met by its first ``gram`` characters: each distinct text offers its pieces of that length (and shorter ones, for
+    names that are shorter), and only names that begin with one of them are searched for. Blank names never occur.
     """
-    columns = [c for c in dim.columns]
-    if fits(dim, dim_limit):
-        # Bounded: dim has at most dim_limit rows here.
-        table = dim.agg(F.sort_array(F.collect_list(F.struct(priority, *[c for c in columns if c != priority]))).alias("t"))
-        hits = F.filter("_dim", lambda d: F.contains(text, d[name]))
-        marked = df.withColumn("_dim", table.scalar()).withColumn("_hit", F.get(hits, F.lit(0)))
-        return marked.select(*df.columns, *[F.col("_hit")[c].alias(c) for c in columns])
-    sizes = [r[0] for r in dim.select(F.length(name)).distinct().collect()]
-
-    def of_length(n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.length(text) - n + 1)
-        return F.when(F.length(text) >= n, F.transform(starts, lambda i: F.substr(text, i, F.lit(n)))).otherwise(
-            F.array().cast("array<string>")
-        )
-
-    pieces = [of_length(n) for n in sorted(sizes)]
-    offered = df.select(*keys, F.explode(F.array_distinct(F.concat(*pieces))).alias("_piece"))
-    found = offered.join(dim, F.col("_piece") == F.col(name)).drop("_piece")
-    best = first_row(found, keys, [F.col(priority), F.col(name)])
-    return df.join(best, keys, "left").select(*df.columns, *columns)
+    texts = df.select(text.alias("_text")).distinct()
+    pieces = F.array_distinct(F.concat(*[_pieces(F.col("_text"), n) for n in range(1, gram + 1)]))
+    offered = texts.select("_text", F.explode(pieces).alias("_piece"))
+    named = dim.withColumn("_piece", F.substring(name, 1, gram)).filter(F.col(name) != "")
+    found = offered.join(named, "_piece").filter(F.contains(F.col("_text"), F.col(name))).drop("_piece")
+    best = first_row(found, ["_text"], [F.col(priority), F.col(name)])
+    return lookup(df.withColumn("_text", text), best, ["_text"], keys).select(*df.columns, *dim.columns)
+
+
+def _pieces(text: Column, n: int) -> Column:
+    """Substrings of length ``n``; the last ones are shorter."""
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), lambda i: F.substr(text, i, F.lit(n)))
 
 
 def bureau_of(address) -> Column:
@@ -146,13 +133,15 @@ def resolve_branch(
 ) -> DataFrame:
     """Branch office of each address that already has bureau_code and county.
 
-    Offices are folded to one row per (bureau, county), so an address meets one row and filters its districts.
+    Offices are folded to one row per (bureau, county), so an address meets one row and filters its districts; the rows of a
+    large bureau are spread.
     """
     table = offices.groupBy("bureau_code", "county").agg(
         F.sort_array(F.collect_set(F.struct("ordinal", "office_name", "district", "boundary"))).alias("_offices")
     )
     hits = F.filter("_offices", lambda o: F.contains(text, o["district"]))
-    joined = located.join(bounded(table), ["bureau_code", "county"], "left").withColumn("_hits", hits)
+    spread_by = [c for c in located.columns if c not in ("bureau_code", "county")]
+    joined = lookup(located, table, ["bureau_code", "county"], spread_by, copies=KEY_COPIES).withColumn("_hits", hits)
     narrowed = F.col("_hits")
     at_boundary = (F.size("_hits") > 1) & F.contains(text, F.lit(boundary_district))
     on_side = lambda side: F.filter("_hits", lambda o: o["boundary"] == side)
@@ -177,7 +166,7 @@ def office_options(asked: DataFrame, bureaus: DataFrame, offices: DataFrame) ->
     ).distinct()
     wanted = asked.select("bureau_text").distinct().withColumn("_name", F.regexp_replace("bureau_text", "^臺北$", "台北"))
     listed = offices.groupBy("bureau_code", "office_name").agg(F.min("ordinal").alias("ordinal"))
-    return wanted.join(bounded(names), "_name").join(bounded(listed), "bureau_code").select(
+    return wanted.join(names, "_name").join(listed, "bureau_code").select(
         "bureau_text", "office_name", "ordinal"
     )
 
@@ -261,7 +250,7 @@ def proof_eligibility(cases: DataFrame, approvals: DataFrame, proofs: DataFrame,
         F.col("responsible_person_id").alias("_person"),
     )
     complete = offices.select(F.col("id").alias("_office"), missing_office_fields().alias("_missing"))
-    joined = cases.join(tax, "id", "left").join(stored, "id", "left").join(complete, "_office", "left")
+    joined = lookup(cases.join(tax, "id", "left").join(stored, "id", "left"), complete, ["_office"], ["id"], copies=KEY_COPIES)
     blank = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
     reason = (
         F.when(~F.coalesce(F.col("_tax").isin("received", "archived"), F.lit(False)), "approval")
@@ -295,4 +284,4 @@ def postal_codes(addresses: DataFrame, zips: DataFrame, column: str = "address")
         .when(F.col("zipcode").rlike(r"^\d{5}$"), F.col("zipcode"))
         .otherwise("")
     )
-    return keyed.join(landed, "_key", "left").withColumn("postal_code", code).drop("_key", "zipcode6", "zipcode")
+    return lookup(keyed, landed, ["_key"], addresses.columns).withColumn("postal_code", code).drop("_key", "zipcode6", "zipcode")

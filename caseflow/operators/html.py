@@ -9,27 +9,24 @@ from caseflow.functions import vocab
 from caseflow.functions.columns import app_status, col, filled, first_filled, let, once
 from caseflow.functions.udfs import match_spans
 from caseflow.operators.ranking import first_row
-from caseflow.session import spread
 
 LINK_CONTEXT_CHARS = 900
 
 
 def _decode_numeric(text: Column, form: str, base: int) -> Column:
-    """Replace numeric entities by their characters; each distinct entity of the text is replaced once."""
-    codes = lambda t: F.array_distinct(F.regexp_extract_all(t, F.lit(form), F.lit(1)))
-    opening = "&#" if base == 10 else "&#x"
+    """Numeric entities as their characters, in one pass: what a replacement gives is not read again."""
 
-    def char(code: Column) -> Column:
-        number = F.conv(code, base, 16)
-        return F.decode(F.unhex(F.lpad(number, 8, "0")), "UTF-32")
+    def char(entity: Column) -> Column:
+        code = F.regexp_extract(entity, form, 1)
+        number = F.conv(code, base, 10).try_cast("bigint")
+        decoded = F.decode(F.unhex(F.lpad(F.conv(code, base, 16), 8, "0")), "UTF-32")
+        return F.when(number.between(1, 0x10FFFF), F.coalesce(decoded, entity)).otherwise(entity)
 
-    def swap(done: Column, code: Column) -> Column:
-        safe = F.conv(code, base, 10).try_cast("bigint").between(1, 0x10FFFF)
-        pattern = F.concat(F.lit(f"(?i){opening}"), code, F.lit(";"))
-        quoted = F.regexp_replace(F.coalesce(char(code), F.lit("")), r"([\\$])", r"\\$1")
-        return F.when(safe, F.regexp_replace(done, pattern, quoted)).otherwise(done)
+    def joined(t: Column) -> Column:
+        entities = F.transform(F.regexp_extract_all(t, F.lit(form), F.lit(0)), char)
+        return F.array_join(F.zip_with(F.split(t, form, -1), entities, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
 
-    return let(text, lambda t: F.aggregate(codes(t), t, swap))
+    return let(text, joined)
 
 
 def decode_entities(value) -> Column:
@@ -110,7 +107,7 @@ def detail_records(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     ``pages`` has page_id, url, html and fallback_name.
     """
-    pairs = spread(pages).withColumn("_pairs", once(label_pairs(row_cells(F.col("html")))))
+    pairs = pages.withColumn("_pairs", once(label_pairs(row_cells(F.col("html")))))
     read = pairs.select(
         "page_id", "url", "fallback_name", *[pick_field(F.col("_pairs"), p).alias(c) for c, p in DETAIL_LABELS.items()]
     )
@@ -149,13 +146,20 @@ def resolve_url(link: Column, base: Column) -> Column:
     """Absolute form of a link found on the page at ``base``."""
     site = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]+)", 1)
     folder = F.regexp_extract(base, r"^[a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]+((?:/[^/?#]*)*/)?", 1)
-    parent = F.regexp_replace(folder, r"[^/]+/$", "")
-    return (
-        F.when(link.rlike("(?i)^https?://"), link)
-        .when(link.startswith("/"), F.concat(site, link))
-        .when(link.startswith("../"), F.concat(site, first_filled(parent, F.lit("/")), F.substring(link, 4, 100_000)))
-        .otherwise(F.concat(site, first_filled(folder, F.lit("/")), F.regexp_replace(link, r"^\./", "")))
-    )
+    path = F.when(link.startswith("/"), link).otherwise(F.concat(first_filled(folder, F.lit("/")), link))
+
+    def step(done: Column, part: Column) -> Column:
+        up = F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))
+        return F.when(part == "..", up).when(part == ".", done).otherwise(F.concat(done, F.array(part)))
+
+    def resolved(p: Column) -> Column:
+        # The first part is the nothing before the first slash; a last . or .. leaves a folder.
+        plain = F.regexp_replace(F.regexp_extract(p, r"^[^?#]*", 0), r"/(\.\.?)$", "/$1/")
+        parts = let(F.split(plain, "/", -1), lambda s: F.slice(s, F.lit(2), F.size(s)))
+        folded = F.aggregate(parts, F.array().cast("array<string>"), step)
+        return F.concat(site, F.lit("/"), F.array_join(folded, "/"), F.regexp_extract(p, r"[?#].*$", 0))
+
+    return F.when(link.rlike("(?i)^https?://"), link).otherwise(let(path, resolved))
 
 
 def detail_link(raw: Column, base: Column, entity: Column, pattern: str = LINK_PATTERN) -> Column:
@@ -195,7 +199,7 @@ def link_candidates(pages: DataFrame, pattern: str = LINK_PATTERN, row_tag: str
     url, entity = F.col("url"), F.col("entity_type")
     has_anchor = F.col("html").rlike(r"(?i)<(?:a|button)(?![A-Za-z0-9_])")
     # Pages without an anchor are not sent to Python.
-    spanned = spread(pages).withColumn("_spans", match_spans(F.when(has_anchor, F.col("html")), ANCHOR))
+    spanned = pages.withColumn("_spans", match_spans(F.when(has_anchor, F.col("html")), ANCHOR))
 
     def link_of(inside: Column) -> Column:
         raw = let(

@@ -32,10 +32,10 @@ def with_geometry(tokens: DataFrame) -> DataFrame:
     )
 
 
-def reading_order(tokens: DataFrame, **ranking) -> DataFrame:
-    """Position of each token on its page: rows by centre over height (halves to even), then left to right."""
+def reading_order(tokens: DataFrame) -> DataFrame:
+    """A page is one sheet. Position of each token on its page: rows by centre over height (halves to even), then left to right."""
     order = [F.bround(F.col("cy") / F.col("h")), F.col("cx"), F.col("ord")]
-    return numbered(with_geometry(tokens), ["page_id"], order, "reading_no", **ranking)
+    return numbered(with_geometry(tokens), ["page_id"], order, "reading_no")
 
 
 def near_pairs(tokens: DataFrame, anchors: DataFrame, reach: float) -> DataFrame:
@@ -334,6 +334,9 @@ def file_cards(cards: DataFrame, as_of, requested: str = "combined") -> DataFram
 # ---- property fields -------------------------------------------------------------------------------------------
 
 
+LABEL_COPIES = 16
+
+
 def find_labels(tokens: DataFrame, labels: dict[str, list[str]] = vocab.FIELD_LABELS) -> DataFrame:
     """Best label token per page and field by match score, then by OCR score, then by position.
 
@@ -351,12 +354,15 @@ def find_labels(tokens: DataFrame, labels: dict[str, list[str]] = vocab.FIELD_LA
     shared = a - F.length(F.expr("translate(_t, _e, '')"))
     reachable = 2 * F.least(shared, b) >= (a + b) * vocab.LABEL_MATCH_MINIMUM
     exact = compact.filter(contained).select("text", "field", F.lit(1.0).alias("match_score"))
-    fuzzy = compact.filter(~contained & reachable).select("text", "field", similarity(F.col("_t"), F.col("_e")).alias("match_score"))
+    fuzzy = compact.filter(~contained & reachable).select("text", "field", once(similarity(F.col("_t"), F.col("_e"))).alias("match_score"))
     scored = (
         exact.unionByName(fuzzy).filter(F.col("match_score") >= vocab.LABEL_MATCH_MINIMUM)
         .groupBy("text", "field").agg(F.max("match_score").alias("match_score"))
     )
-    hits = tokens.join(scored, "text")
+    # Every page has the same printed labels: their few scores are repeated per salt, the tokens are dealt over the salts.
+    salted = scored.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(LABEL_COPIES - 1))))
+    dealt = tokens.withColumn("_salt", F.pmod(F.xxhash64("page_id", "ord"), F.lit(LABEL_COPIES)).cast("int"))
+    hits = dealt.join(salted, ["text", "_salt"]).drop("_salt")
     best = hits.groupBy("page_id", "field").agg(
         F.max_by(F.struct("match_score", *TOKEN), F.struct("match_score", "score", -F.col("ord"))).alias("l")
     )
@@ -407,15 +413,19 @@ def property_fields(tokens: DataFrame, labels: dict[str, list[str]] = vocab.FIEL
 
 
 def keep_region(tokens: DataFrame, pages: DataFrame, ratios: dict[str, float] = vocab.BOTTOM_RATIOS) -> DataFrame:
-    """Tokens in the upper part of the page that their category is read in; ``pages`` has page_id and category."""
-    limit = F.create_map(*[F.lit(x) for pair in ratios.items() for x in pair])
-    return with_geometry(tokens).join(pages, "page_id").filter(F.col("cy") <= limit[F.col("category")] * 1000).select(*tokens.columns)
+    """Tokens in the upper part of the page that their category is read in; ``pages`` has page_id and category.
+
+    A page of a category without a ratio is read whole.
+    """
+    limit = F.create_map(*[F.lit(x) for pair in ratios.items() for x in pair])[F.col("category")]
+    inside = F.coalesce(F.col("cy") <= limit * 1000, F.lit(True))
+    return with_geometry(tokens).join(pages, "page_id").filter(inside).select(*tokens.columns)
 
 
 def boxes_kept(records: DataFrame, ratios: dict[str, float] = vocab.BOTTOM_RATIOS) -> DataFrame:
     """Box counts per page before and after the region rule, on the array column det_boxes_1000."""
     limit = F.create_map(*[F.lit(x) for pair in ratios.items() for x in pair])[F.col("category")]
-    inside = F.filter("det_boxes_1000", lambda b: (b[1] + b[3]) / 2 <= limit * 1000)
+    inside = F.filter("det_boxes_1000", lambda b: F.coalesce((b[1] + b[3]) / 2 <= limit * 1000, F.lit(True)))
     return records.select(
         "page_id", "category", F.size("det_boxes_1000").alias("all_boxes"), F.size(inside).alias("selected_boxes")
     )

@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 from caseflow.functions import vocab
 from caseflow.functions.columns import days_between, first_filled
-from caseflow.operators.ranking import numbered
-from caseflow.session import spread
+from caseflow.operators.ranking import lookup, numbered
+
+
+# Intake rows of one year are spread over so many tasks.
+YEAR_COPIES = 16
 
 
 def billing_totals(items: DataFrame) -> DataFrame:
@@ -53,7 +56,7 @@ def with_receivables(cases: DataFrame, items: DataFrame) -> DataFrame:
 def enrich(cases: DataFrame, items: DataFrame, history: DataFrame) -> DataFrame:
     """One wide row per case: year, receivables and event dates."""
     dates = event_dates(history).withColumnRenamed("case_id", "id")
-    return with_receivables(spread(cases), items).join(dates, "id", "left").withColumn("year", F.year("received_date"))
+    return with_receivables(cases, items).join(dates, "id", "left").withColumn("year", F.year("received_date"))
 
 
 def in_year(cases: DataFrame, year: int) -> DataFrame:
@@ -121,20 +124,21 @@ def last_sequence(cases: DataFrame) -> DataFrame:
     )
 
 
-def assign_case_numbers(intake: DataFrame, cases: DataFrame, position: str = "input_pos", **ranking) -> DataFrame:
-    """Give each intake row the next ``YYYY-NNN`` of its year, in input order."""
+def assign_case_numbers(intake: DataFrame, cases: DataFrame, position: str = "input_pos", slice_rows: int = 1_000_000) -> DataFrame:
+    """Give each intake row the next ``YYYY-NNN`` of its year, in input order; ``position`` is a whole number."""
     rows = intake.withColumn("year_text", F.year("received_date").cast("string"))
-    placed = numbered(rows, ["year_text"], [F.col(position)], "place", **ranking)
+    placed = numbered(rows, ["year_text"], [F.col(position)], "place", F.floor(F.col(position) / slice_rows))
     used = last_sequence(cases)
     number = F.coalesce(F.col("last_sequence"), F.lit(0)) + F.col("place")
-    return placed.join(F.broadcast(used), "year_text", "left").withColumn(
+    return lookup(placed, used, ["year_text"], [position], copies=YEAR_COPIES).withColumn(
         "case_number", F.concat("year_text", F.lit("-"), F.format_string("%03d", number))
     ).drop("last_sequence", "place", "year_text")
 
 
-def timeline(history: DataFrame, **ranking) -> DataFrame:
+def timeline(history: DataFrame) -> DataFrame:
+    """Position of each event in its case, newest first; a busy case is numbered day by day."""
     order = [F.col("event_date").desc(), F.col("id").desc()]
-    return numbered(history, ["case_id"], order, "position", **ranking)
+    return numbered(history, ["case_id"], order, "position", -F.unix_date("event_date"))
 
 
 def reminders(enriched: DataFrame, as_of: datetime.date) -> DataFrame:

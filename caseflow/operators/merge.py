@@ -165,14 +165,14 @@ def label_events(posted: DataFrame, bureau_names: dict[str, str]) -> DataFrame:
 
 def exclusive_default(offices: DataFrame, requests: DataFrame) -> DataFrame:
     """Apply default-flag requests (id, is_default, seq): the last one set true clears every other office."""
-    won = requests.filter("is_default").agg(F.max_by("id", "seq").alias("id"), F.max("seq").alias("seq")).first()
+    best = requests.filter("is_default").agg(F.struct(F.max_by("id", "seq").alias("id"), F.max("seq").alias("seq")).alias("won"))
+    won = best.scalar()
     last = requests.groupBy("id").agg(F.max_by("is_default", "seq").alias("_asked"), F.max("seq").alias("_asked_at"))
     joined = offices.join(last, "id", "left")
-    if won["id"] is None:
-        flag = F.col("is_default") & F.coalesce("_asked", F.lit(True))
-    else:
-        dropped_later = (F.col("_asked_at") > won["seq"]) & ~F.col("_asked")
-        flag = (F.col("id") == won["id"]) & ~F.coalesce(dropped_later, F.lit(False))
+    dropped_later = (F.col("_asked_at") > won["seq"]) & ~F.col("_asked")
+    flag = F.when(won["id"].isNull(), F.col("is_default") & F.coalesce("_asked", F.lit(True))).otherwise(
+        (F.col("id") == won["id"]) & ~F.coalesce(dropped_later, F.lit(False))
+    )
     return joined.select(*[flag.alias(c) if c == "is_default" else F.col(c) for c in offices.columns])
 
 
@@ -204,9 +204,12 @@ def check_intake(rows: DataFrame) -> DataFrame:
 
 def accept_all_or_nothing(checked: DataFrame, max_rows: int | None = None) -> DataFrame:
     """The checked rows when none has an error (and the batch is 1 to max_rows long), else no row."""
-    summary = checked.agg(F.count_if(F.size("errors") > 0).alias("bad"), F.count(F.lit(1)).alias("n")).first()
-    within = summary["n"] >= 1 and (max_rows is None or summary["n"] <= max_rows)
-    return checked.filter(F.lit(summary["bad"] == 0 and within)).drop("errors")
+    counts = F.struct(F.count_if(F.size("errors") > 0).alias("bad"), F.count(F.lit(1)).alias("n"))
+    summary = checked.agg(counts.alias("s")).scalar()
+    good = (summary["bad"] == 0) & (summary["n"] >= 1)
+    if max_rows is not None:
+        good = good & (summary["n"] <= max_rows)
+    return checked.filter(good).drop("errors")
 
 
 def backfill_columns(df: DataFrame, defaults: dict[str, tuple[str, object]]) -> DataFrame:

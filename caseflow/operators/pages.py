@@ -13,25 +13,12 @@ from caseflow.functions.columns import (
 )
 from caseflow.functions.udfs import match_spans
 from caseflow.operators.ranking import first_row, numbered
-from caseflow.session import spread
 
 SPACES = r"[\s　]+"
+# The intake refuses longer files; ``ocr_routing`` tells them, no text is cut.
 PAGE_LIMIT = 25
 
 
-def file_texts(pages: DataFrame, page_limit: int = PAGE_LIMIT) -> tuple[DataFrame, DataFrame]:
-    """Whole text per file, pages in order, and the files that hold too many pages for it.
-
-    Files beyond the page limit are refused at intake; they come back apart, with their page count.
-    """
-    counted = pages.groupBy("file_id").agg(F.count(F.lit(1)).alias("page_count"))
-    small = counted.filter(F.col("page_count") <= page_limit).select("file_id")
-    joined = pages.join(small, "file_id", "left_semi")
-    texts = joined.groupBy("file_id").agg(F.sort_array(F.collect_list(F.struct("page", "text"))).alias("p"))
-    whole = texts.select("file_id", F.array_join(F.transform("p", lambda x: F.coalesce(x["text"], F.lit(""))), "\n").alias("text"))
-    return whole, counted.filter(F.col("page_count") > page_limit)
-
-
 def address_candidates(
     pages: DataFrame,
     pattern: str = vocab.ADDRESS_PATTERN,
@@ -110,13 +97,13 @@ def detect_page_types(
     )
 
 
-def page_ranges(pages: DataFrame, keys: list[str], page: str = "page", **ranking) -> DataFrame:
+def page_ranges(pages: DataFrame, keys: list[str], page: str = "page", slice_pages: int = 100_000) -> DataFrame:
     """Page numbers of each group as a range text such as ``1-2,5``.
 
     Runs are found on distinct pages; only the runs of a group meet, not its pages.
     """
     distinct = pages.select(*keys, page).distinct()
-    placed = numbered(distinct, keys, [F.col(page)], "_no", **ranking)
+    placed = numbered(distinct, keys, [F.col(page)], "_no", F.floor(F.col(page) / slice_pages))
     runs = placed.groupBy(*keys, (F.col(page) - F.col("_no")).alias("_run")).agg(
         F.min(page).alias("_from"), F.max(page).alias("_to")
     )
@@ -291,13 +278,23 @@ def _business_name(value: Column) -> Column:
     return F.regexp_extract(text, BUSINESS_NAME_SHAPE, 1)
 
 
+def _first_of_each_code(items: Column) -> Column:
+    """Items without those whose code came before, in their order; sorted twice, so long lists stay cheap."""
+    placed = F.sort_array(F.transform(items, lambda x, i: F.struct(x["code"].alias("code"), i.alias("i"), x["name"].alias("name"))))
+    firsts = let(
+        placed, lambda p: F.filter(p, lambda x, j: (j == 0) | (F.coalesce(F.get(p, j - 1)["code"], F.lit("")) != x["code"]))
+    )
+    ordered = F.sort_array(F.transform(firsts, lambda x: F.struct(x["i"], x["code"], x["name"])))
+    return F.transform(ordered, lambda x: F.struct(x["code"].alias("code"), x["name"].alias("name")))
+
+
 def business_items(lines: Column) -> Column:
     """Coded business items: the name follows the code or opens the next line; the first of a code is kept."""
 
     def on_line(line: Column, i: Column) -> Column:
         upper = F.upper(line)
         codes = F.transform(F.regexp_extract_all(upper, F.lit(CODE_SHAPE), F.lit(0)), lambda c: F.regexp_replace(c, "[^A-Z0-9]", ""))
-        after = F.slice(F.split(upper, CODE_SHAPE), 2, 10_000)
+        after = let(F.split(upper, CODE_SHAPE), lambda parts: F.slice(parts, F.lit(2), F.size(parts)))
         below = F.get(F.split(F.coalesce(F.get(lines, i + 1), F.lit("")), CODE_SHAPE), F.lit(0))
         return F.zip_with(
             codes, after,
@@ -310,15 +307,12 @@ def business_items(lines: Column) -> Column:
         F.flatten(F.transform(lines, on_line)),
         lambda x: x["code"].rlike(r"^(?:[A-Z]\d{6}|[A-Z]{2}\d{5})$") & (F.coalesce(x["name"], F.lit("")) != ""),
     )
-    keep_first = lambda items: F.filter(
-        items, lambda x, i: F.array_position(F.transform(items, lambda y: y["code"]), x["code"]) == i + 1
-    )
-    return let(found, keep_first)
+    return let(found, _first_of_each_code)
 
 
 def precheck_records(files: DataFrame) -> DataFrame:
     """Number, dates, company and business items of pre-check certificates; ``files`` has file_id and text."""
-    with_lines = spread(files).withColumn("_lines", once(text_lines(fold_width("text"))))
+    with_lines = files.withColumn("_lines", once(text_lines(fold_width("text"))))
     lines, text = F.col("_lines"), F.col("text")
     either = lambda label, extract, loose=None: F.coalesce(
         labelled_line(lines, label, extract), labelled_text(text, label, loose or extract), F.lit("")
@@ -352,7 +346,7 @@ def identity_records(files: DataFrame) -> DataFrame:
         lines,
         lambda every: F.get(F.filter(F.transform(every, lambda x, i: name_at(x, i, every)), lambda v: v.isNotNull()), F.lit(0)),
     )
-    return spread(files).select(
+    return files.select(
         "file_id", first_valid_id("text").alias("national_id"), F.coalesce(name, F.lit("")).alias("name")
     )
 

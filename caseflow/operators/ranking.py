@@ -1,9 +1,8 @@
-"""Numbering rows in groups of any size.
+"""Numbering, first rows and lookups in groups of any size.
 
-A plain ``row_number`` window sorts a whole group in one task. ``numbered`` keeps that plan
-only while the largest group is known to be small; beyond it the rows are range-partitioned on
-(keys, order), so that one group spreads over many tasks, and each slice's first number is
-looked up in a table with one row per (slice, group).
+A plain ``row_number`` window sorts a whole group in one task. ``numbered`` takes a ``slice`` of the order instead, a value that
+never falls along it (a date, a position divided by a constant): rows are numbered within (group, slice), and each slice starts
+after the rows of the slices before it. One plan serves every size, nothing is counted beforehand.
 """
 
 from __future__ import annotations
@@ -11,54 +10,42 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from caseflow.session import checkpointed
+SALTS = 1024
 
-GROUP_ROWS_IN_ONE_TASK = 1_000_000
 
+def numbered(df: DataFrame, keys: list[str], order: list[Column], name: str = "row_no", slice: Column | None = None) -> DataFrame:
+    """Add ``name`` = 1, 2, ... within each value of ``keys``; ``order`` must be a total order.
 
-def largest_group(df: DataFrame, keys: list[str]) -> int:
-    if not keys:
-        return df.count()
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
-    return sizes.agg(F.max("rows")).first()[0] or 0
-
-
-def numbered(
-    df: DataFrame,
-    keys: list[str],
-    order: list[Column],
-    name: str = "row_no",
-    group_limit: int = GROUP_ROWS_IN_ONE_TASK,
-) -> DataFrame:
-    """Add ``name`` = 1, 2, ... within each value of ``keys``; ``order`` must be a total order."""
-    if keys and largest_group(df, keys) <= group_limit:
+    Without a ``slice`` a group must fit one task. A slice rises (or stays) along the order and holds rows of one task at most.
+    """
+    if slice is None:
         return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long"))
-    return _numbered_by_range(df, keys, order, name)
+    cut = df.withColumn("_slice", slice)
+    sizes = cut.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_rows"))
+    # One row per slice of a group.
+    earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(
+        *[F.col(k).alias(f"_key_{k}") for k in keys], F.col("_slice").alias("_key__slice"),
+        F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"),
+    )
+    same = [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in [*keys, "_slice"]]
+    own = F.row_number().over(Window.partitionBy(*keys, "_slice").orderBy(*order))
+    return cut.withColumn("_own", own).join(starts, same).withColumn(name, F.col("_own") + F.col("_before")).select(*df.columns, name)
 
 
-def _numbered_by_range(df: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:
-    slices = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    by = [F.col(k) for k in keys] + list(order)
-    placed = checkpointed(
-        df.repartitionByRange(slices, *by)
-        .sortWithinPartitions(*by)
-        .withColumn("_row_id", F.monotonically_increasing_id())
-        .withColumn("_row_slice", F.shiftright("_row_id", 33))
-    )
-    firsts = placed.groupBy("_row_slice", *keys).agg(
-        F.min("_row_id").alias("_first_id"), F.count(F.lit(1)).alias("_row_count")
-    )
-    # One row per (slice, group): a group has at most as many rows here as there are slices.
-    earlier = Window.partitionBy(*keys).orderBy("_row_slice").rowsBetween(Window.unboundedPreceding, -1)
-    starts = firsts.select(
-        "_row_slice", *keys, "_first_id", F.coalesce(F.sum("_row_count").over(earlier), F.lit(0)).alias("_rows_before")
-    )
-    return (
-        placed.join(starts, ["_row_slice", *keys])
-        .withColumn(name, F.col("_row_id") - F.col("_first_id") + F.col("_rows_before") + 1)
-        .drop("_row_slice", "_row_id", "_first_id", "_rows_before")
-        .select(*df.columns, name)
-    )
+def lookup(rows: DataFrame, dim: DataFrame, on: list[str], spread_by: list[str], usable: Column | None = None, copies: int = 1) -> DataFrame:
+    """Left join to ``dim``, which has one row per value of ``on``.
+
+    Rows without a usable key (null, or ``usable`` not true) meet no row; they are dealt over salts instead of one task.
+    ``copies`` repeats ``dim`` so that a key which very many rows share is spread over as many tasks.
+    """
+    present = F.lit(True) if usable is None else F.coalesce(usable, F.lit(False))
+    for key in on:
+        present = present & F.col(key).isNotNull()
+    dealt = F.xxhash64(*spread_by)
+    salted = rows.withColumn("_salt", F.when(present, F.pmod(dealt, F.lit(copies))).otherwise(copies + F.pmod(dealt, F.lit(SALTS))))
+    repeated = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(copies - 1).cast("long"))))
+    return salted.join(repeated, [*on, "_salt"], "left").drop("_salt")
 
 
 def first_row(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -75,8 +62,3 @@ def top_rows(df: DataFrame, keys: list[str], order: list[Column], k: int, name:
     """First k rows per group; Spark cuts each partition to k rows per group before the shuffle."""
     window = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(name, F.row_number().over(window)).filter(F.col(name) <= k)
-
-
-def fits(df: DataFrame, rows: int) -> bool:
-    """True when df has at most ``rows`` rows; reads no further than that."""
-    return df.limit(rows + 1).count() <= rows

@@ -37,14 +37,21 @@ def annotate_candidates(candidates: DataFrame, cases: DataFrame) -> DataFrame:
     ).drop("lowest_linked_id", "linked_case_number")
 
 
+def candidate_rank() -> list[Column]:
+    """Rising keys of a candidate: its date, then its receipt as text. The best candidate has the highest."""
+    return [roc_rank("received_date"), F.coalesce(F.col("receipt_no"), F.lit(""))]
+
+
 def candidate_order() -> list[Column]:
-    """Newest first, then receipt descending, as ascending keys."""
-    return [-roc_rank("received_date"), -F.coalesce(F.col("receipt_no").try_cast("long"), F.lit(0))]
+    """Newest first, then receipt descending."""
+    return [key.desc() for key in candidate_rank()]
 
 
 def choose_candidates(candidates: DataFrame, cases: DataFrame, tie_break: list[str]) -> DataFrame:
     """One row per case that has candidates: the chosen one and how, or an ambiguous mark.
 
+    ``tie_break`` names numbers, of which the lowest wins.
+
     The stored receipt wins; else the only available one on the target date; else the only available one.
     One aggregate per case with map-side combine, so a case with very many candidates stays cheap.
     """
@@ -53,8 +60,8 @@ def choose_candidates(candidates: DataFrame, cases: DataFrame, tie_break: list[s
     on_date = available & (F.col("received_iso") == F.col("target_date"))
     exact = (F.col("stored_receipt") != "") & (F.col("receipt_no") == F.col("stored_receipt"))
     row = F.struct("receipt_no", "received_date", "official_status", "authority", *tie_break)
-    order = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(candidate_order())], *tie_break)
-    first = lambda test: F.min_by(F.when(test, row), F.when(test, F.col("_order")))
+    order = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(candidate_rank())], *[(-F.col(t)).alias(t) for t in tie_break])
+    first = lambda test: F.max_by(F.when(test, row), F.when(test, F.col("_order")))
     picked = marked.withColumn("_order", once(order)).groupBy("case_id").agg(
         first(exact).alias("_exact"),
         first(on_date).alias("_dated"), F.count_if(on_date).alias("_dated_n"),
@@ -198,12 +205,12 @@ def pick_result(asked: DataFrame, results: DataFrame) -> DataFrame:
     """
     clean = F.regexp_replace(F.coalesce(F.col("receipt_no"), F.lit("")), r"[^\dA-Za-z-]", "")
     wanted = asked.select("query_id", clean.alias("_wanted"))
-    rank = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(candidate_order())], F.col("receipt_no"))
+    rank = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(candidate_rank())])
     joined = results.join(wanted, "query_id")
     usable = (F.col("_wanted") == "") | (F.col("receipt_no") == F.col("_wanted"))
     row = F.struct("receipt_no", "received_date")
     best = joined.groupBy("query_id").agg(
-        F.min_by(F.when(usable, row), F.when(usable, rank)).alias("r")
+        F.max_by(F.when(usable, row), F.when(usable, rank)).alias("r")
     )
     return wanted.join(best, "query_id", "left").select(
         "query_id", F.col("r.receipt_no").alias("receipt_no"), F.col("r.received_date").alias("received_date"),

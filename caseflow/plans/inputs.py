@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseflow.functions import vocab
-from caseflow.session import spread
 from caseflow.sources.tables import TABLES, load_table
 
 AS_OF = datetime.date(2001, 12, 31)
@@ -48,8 +47,6 @@ class Inputs:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder
-        # The tables hold zone-less timestamps; days and windows are those of UTC.
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
 
     def __getattr__(self, name: str) -> DataFrame:
         if name not in TABLES:
@@ -128,9 +125,10 @@ class Inputs:
             (F.year("l_shipdate") - 1911).cast("string"), F.lit("/"), F.date_format("l_shipdate", "MM/dd")
         )
         k = F.col("l_orderkey") * 10 + F.col("l_linenumber")
-        return spread(self.lineitem).select(
+        return self.lineitem.select(
             F.col("l_orderkey").alias("case_id"),
             F.when(F.col("l_linenumber") == 1, F.format_string("%09d", "l_orderkey"))
+            .when(F.col("l_partkey") % 3 == 0, F.concat(pick(["A-", "B", "Z-9-"], F.col("l_suppkey")), F.col("l_partkey").cast("string")))
             .otherwise(F.format_string("%09d", F.col("l_partkey"))).alias("receipt_no"),
             roc.alias("received_date"),
             pick(["審查中", "補正通知", "核准發文中", "可自領", "已郵寄"], k).alias("official_status"),

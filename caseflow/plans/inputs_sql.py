@@ -86,7 +86,8 @@ VIEWS = {
       FROM events""",
     "candidates": f"""
       SELECT l_orderkey AS case_id,
-        CASE WHEN l_linenumber = 1 THEN printf('%09d', l_orderkey) ELSE printf('%09d', l_partkey) END AS receipt_no,
+        CASE WHEN l_linenumber = 1 THEN printf('%09d', l_orderkey) WHEN l_partkey % 3 = 0 THEN (['A-', 'B', 'Z-9-'])[l_suppkey % 3 + 1] || l_partkey
+          ELSE printf('%09d', l_partkey) END AS receipt_no,
         (year(l_shipdate) - 1911)::VARCHAR || '/' || strftime(l_shipdate, '%m/%d') AS received_date,
         {pick(['審查中', '補正通知', '核准發文中', '可自領', '已郵寄'], 'l_orderkey * 10 + l_linenumber')} AS official_status,
         '臺北市政府' AS authority, l_partkey AS part, l_suppkey AS supp

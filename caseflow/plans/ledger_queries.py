@@ -240,7 +240,9 @@ def _(t):
     row_number() OVER (ORDER BY is_default DESC, active DESC, name, id) AS place FROM offices""")
 def _(t):
     order = [F.desc("is_default"), F.desc("active"), F.col("name"), F.col("id")]
-    return numbered(t.offices.select("id", "name", "is_default", "active"), [], order, "place")
+    # Flags and the beginning of the name: a rising slice of the order.
+    part = F.struct(~F.col("is_default"), ~F.col("active"), F.substring("name", 1, 14))
+    return numbered(t.offices.select("id", "name", "is_default", "active"), [], order, "place", part)
 
 
 @query("g1_reminders", f"""

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from caseflow.functions import vocab
+from caseflow.functions.columns import roc_rank
 from caseflow.operators import merge, reconcile
-from caseflow.operators.ranking import top_rows
+from caseflow.operators.ranking import numbered
 from caseflow.plans.inputs import AS_OF, pick
 from caseflow.plans.inputs_sql import in_list
 from caseflow.plans.inputs_sql import pick as pick_sql
@@ -28,7 +29,7 @@ LINKED = """
 CHOSEN = LINKED + """,
   ordered AS (
     SELECT *, linked_id IS NULL OR linked_id = case_id AS available,
-      row_number() OVER (PARTITION BY case_id ORDER BY received_iso DESC, receipt_no::BIGINT DESC, part, supp, official_status) AS rn
+      row_number() OVER (PARTITION BY case_id ORDER BY received_iso DESC, receipt_no DESC, part, supp, official_status) AS rn
     FROM marked),
   counted AS (
     SELECT case_id, min(rn) FILTER (stored <> '' AND receipt_no = stored) AS exact_rn,
@@ -210,11 +211,11 @@ def _(t):
   WITH ranked AS (
     SELECT c.case_id, c.receipt_no, c.received_date, row_number() OVER (PARTITION BY c.case_id
       ORDER BY (split_part(received_date, '/', 1)::BIGINT + 1911) * 10000 + split_part(received_date, '/', 2)::BIGINT * 100
-        + split_part(received_date, '/', 3)::BIGINT DESC, receipt_no DESC)::INT AS place FROM candidates c)
-  SELECT * FROM ranked WHERE place <= 3""")
+        + split_part(received_date, '/', 3)::BIGINT DESC, receipt_no DESC) AS place FROM candidates c)
+  SELECT * FROM ranked""")
 def _(t):
     rows = t.candidates.select("case_id", "receipt_no", "received_date")
-    return top_rows(rows, ["case_id"], reconcile.candidate_order(), 3, "place")
+    return numbered(rows, ["case_id"], reconcile.candidate_order(), "place", -roc_rank("received_date"))
 
 
 @query("k6_pick_result", """
@@ -378,7 +379,7 @@ def _(t):
   SELECT o.id, o.id = (SELECT id FROM won) AND NOT coalesce(l.seq > (SELECT seq FROM won) AND NOT l.asked, FALSE) AS is_default
   FROM offices o LEFT JOIN last l ON l.id = o.id""")
 def _(t):
-    n = t.supplier.count()
+    n = t.supplier.agg(F.count(F.lit(1))).scalar()
     requests = t.customer.select(
         (F.col("c_custkey") % n).alias("id"), (F.col("c_acctbal") > 0).alias("is_default"), F.col("c_custkey").alias("seq")
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from caseflow.operators import pages as p
-from caseflow.operators.ranking import top_rows
+from caseflow.operators.ranking import numbered
 from caseflow.plans.inputs import national_id_of
 from caseflow.plans.inputs_sql import national_id_sql_valid as id_valid_sql
 from caseflow.plans.inputs_sql import national_id_of as national_id_sql
@@ -57,11 +57,11 @@ def _(t):
 
 @query("f7_candidate_ranking", f"""
   WITH {SPANS_SQL}
-  SELECT file_id, address, score, row_number() OVER (PARTITION BY file_id ORDER BY score DESC, page, start, address)::INT AS place
-  FROM best QUALIFY place <= 5""")
+  SELECT file_id, address, score, row_number() OVER (PARTITION BY file_id ORDER BY score DESC, page, start, address) AS place
+  FROM best""")
 def _(t):
     best = p.best_candidates(p.address_candidates(t.page_text, **SETTINGS))
-    return top_rows(best, ["file_id"], p.candidate_rank_order(), 5, "place").select("file_id", "address", "score", "place")
+    return numbered(best, ["file_id"], p.candidate_rank_order(), "place", -F.col("score")).select("file_id", "address", "score", "place")
 
 
 TYPES = [
@@ -118,11 +118,10 @@ def _(t):
 
 
 @query("e5_page_ranges", f"""
-  WITH long_pages AS (SELECT file_id, page FROM page_text WHERE length(text) > 200), {RANGES_SQL.format(keys='file_id', source='long_pages')}
+  WITH {RANGES_SQL.format(keys='file_id', source='page_text')}
   SELECT file_id, page_range FROM ranges""")
 def _(t):
-    long_pages = t.page_text.filter(F.length("text") > 200)
-    return p.page_ranges(long_pages, ["file_id"])
+    return p.page_ranges(t.page_text, ["file_id"])
 
 
 @query("g3_distinct_pages", "SELECT DISTINCT user_id AS case_id, event_type AS kind FROM events UNION SELECT DISTINCT conv_id, role FROM conversations")

@@ -1,13 +1,12 @@
-"""Session settings and checkpointing."""
+"""Session settings and the shared folder."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 # Skew handling: AQE splits a hot sort-merge partition; the jobs themselves never
-# put a whole group in one task (see operators/ranking.py).
+# put a whole group in one task (see operators/ranking.py). Streaming state lives in RocksDB,
+# outside the heap.
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -15,6 +14,7 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 
@@ -29,15 +29,6 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     return builder.getOrCreate()
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """Folder every executor sees: the cluster's checkpoint folder, or the warehouse where none is named."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if folder is None:
-        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
-
 def checkpointed(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder and cut its lineage there."""
     spark = df.sparkSession
@@ -47,17 +38,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores when the scan has fewer partitions than that, as with a single small file.
-
-    Large tables have more partitions than cores and are left as they are, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
-
-
-def landed(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, for jobs that read the same rows many times."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def shared_folder(spark: SparkSession) -> str:
+    """Folder every executor sees: the cluster's checkpoint folder, or the warehouse where none is named."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder

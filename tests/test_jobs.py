@@ -42,8 +42,8 @@ def test_reminder_else_if(spark):
 def test_case_numbers_continue_and_grow(spark):
     cases = spark.createDataFrame([("2026-998",), ("2025-007",), ("x",)], "case_number string")
     intake = spark.createDataFrame([(i, D(2026, 1, 1)) for i in range(3)] + [(9, D(2027, 1, 1))], "input_pos long, received_date date")
-    for limit in (1, 100):
-        got = {r["input_pos"]: r["case_number"] for r in ledger.assign_case_numbers(intake, cases, group_limit=limit).collect()}
+    for rows in (1, 2, 100):
+        got = {r["input_pos"]: r["case_number"] for r in ledger.assign_case_numbers(intake, cases, slice_rows=rows).collect()}
         assert got == {0: "2026-999", 1: "2026-1000", 2: "2026-1001", 9: "2027-001"}
 
 
@@ -106,16 +106,20 @@ def test_children_deletes_and_events(spark):
     assert moved == {1: D(2025, 5, 5), 2: D(2026, 1, 1), 3: D(2026, 1, 1)}
 
 
-def test_first_contained_paths_agree(spark):
-    addresses = spark.createDataFrame([(1, "x 臺南市 高雄市"), (2, "nothing"), (3, ""), (4, "新竹縣新竹市")], "id long, address string")
-    bureaus = dims.bureau_dimension(spark)
-    results = [
-        sorted(
-            (r["id"], r["county"]) for r in dims.first_contained(addresses, ["id"], F.col("address"), bureaus, "county", "priority", limit).collect()
-        )
-        for limit in (1000, 1)
-    ]
-    assert results[0] == results[1] == [(1, "臺南市"), (2, None), (3, None), (4, "新竹市")]
+def test_first_contained(spark):
+    rows = [(1, "x 臺南市 高雄市"), (2, "nothing"), (3, ""), (4, "新竹縣新竹市"), (5, None), (1, "x 臺南市 高雄市")]
+    addresses = spark.createDataFrame(rows, "id long, address string")
+    found = dims.first_contained(addresses, ["id"], F.col("address"), dims.bureau_dimension(spark), "county", "priority")
+    got = sorted((r["id"], r["county"]) for r in found.collect())
+    assert got == [(1, "臺南市"), (1, "臺南市"), (2, None), (3, None), (4, "新竹市"), (5, None)]
+
+
+def test_first_contained_with_tied_priorities_and_short_names(spark):
+    names = spark.createDataFrame([(1, "a", "Y"), (1, "z", "X"), (0, "s", "q"), (2, "b", "")], "priority int, code string, county string")
+    texts = spark.createDataFrame([(1, "abXcdY"), (2, "uq"), (3, "")], "id long, address string")
+    for gram in (1, 2, 3):
+        found = dims.first_contained(texts, ["id"], F.col("address"), names, "county", "priority", gram)
+        assert {r["id"]: r["county"] for r in found.collect()} == {1: "X", 2: "q", 3: None}
 
 
 def test_branches(spark):
@@ -244,6 +248,6 @@ def test_unique_names_on_random_lists(spark):
     entries = [(i * 100 + p, n) for i, names in enumerate(lists) for p, n in enumerate(names)]
     df = spark.createDataFrame(entries, "place long, name string")
     expected = [n for names in lists for n in sequential_names(names)]
-    for limit in (1_000_000, 3):
-        got = [r["unique_name"] for r in dataset.unique_names(df, "name", "place", group_limit=limit).orderBy("place").collect()]
+    for rows in (1_000_000, 3):
+        got = [r["unique_name"] for r in dataset.unique_names(df, "name", "place", slice_rows=rows).orderBy("place").collect()]
         assert got == expected

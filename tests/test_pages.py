@@ -71,13 +71,6 @@ def test_identity_text(spark):
     assert got == {"a": ("王小明", "A123456789"), "b": ("陳大文", ""), "c": ("", "")}
 
 
-def test_file_texts_keep_page_order_and_part_long_files(spark):
-    table = page_table(spark, [("a", 2, "second"), ("a", 1, "first")] + [("long", p, "x") for p in range(1, 31)])
-    texts, refused = pages.file_texts(table)
-    assert [tuple(r) for r in texts.collect()] == [("a", "first\nsecond")]
-    assert [tuple(r) for r in refused.collect()] == [("long", 30)]
-
-
 def test_provided_pages(spark):
     files = spark.createDataFrame([("a", 2), ("b", 1)], "file_id string, n int")
     got = pages.provided_pages(files, lambda row: [(i + 1, f"{row.file_id}{i}") for i in range(row.n)]).collect()
