@@ -274,6 +274,14 @@ def approval_grid(cases: DataFrame, approvals: DataFrame) -> DataFrame:
     )
 
 
+def registration_cards(cases: DataFrame, cards: DataFrame) -> DataFrame:
+    """Registration-card state of every case; without a stored card nothing was received or sent."""
+    stored = cards.select(F.col("case_id"), "original_received", "customer_copy_sent", "updated_at")
+    return cases.select(F.col("id").alias("case_id")).join(stored, "case_id", "left").withColumns(
+        {c: F.coalesce(c, F.lit(False)) for c in ("original_received", "customer_copy_sent")}
+    )
+
+
 def postal_codes(addresses: DataFrame, zips: DataFrame, column: str = "address") -> DataFrame:
     """Postal code of each address; six digits are preferred to five, and a partial address gets none."""
     keyed = addresses.withColumn("_key", postal_key(column))

@@ -108,13 +108,17 @@ def content_options(cases: DataFrame) -> DataFrame:
     )
 
 
-def kpis(cases: DataFrame) -> DataFrame:
+def kpis(cases: DataFrame, due: DataFrame | None = None) -> DataFrame:
+    """Dashboard counts; with the rows of ``reminders`` given as ``due``, their number too."""
     status = F.col("status")
-    return cases.agg(
+    counts = cases.agg(
         F.count_if(~status.isin(vocab.CLOSED)).alias("active"),
         F.count_if(status.isin(vocab.PREPARING)).alias("preparing"),
         F.count_if(status.isin(vocab.GOVERNMENT)).alias("government"),
     )
+    if due is None:
+        return counts
+    return counts.withColumn("reminders", due.agg(F.count(F.lit(1))).scalar())
 
 
 def last_sequence(cases: DataFrame) -> DataFrame:

@@ -212,6 +212,14 @@ def accept_all_or_nothing(checked: DataFrame, max_rows: int | None = None) -> Da
     return checked.filter(good).drop("errors")
 
 
+def intake_events(numbered_cases: DataFrame) -> DataFrame:
+    """The first event of each accepted case, which carries its number in place of an id."""
+    return numbered_cases.select(
+        "case_number", F.col("received_date").alias("event_date"), F.lit("進度").alias("event_type"), "status",
+        first_filled("status_detail", F.lit("建立案件")).alias("detail"),
+    )
+
+
 def backfill_columns(df: DataFrame, defaults: dict[str, tuple[str, object]]) -> DataFrame:
     """Add missing columns and fill nulls of present ones; ``defaults`` maps name to (type, value)."""
     filled = {
@@ -236,6 +244,13 @@ def update_profiles(cases: DataFrame, updates: DataFrame) -> DataFrame:
     return joined.select(*[value(c) if c in given else F.col(c) for c in cases.columns])
 
 
+def profile_events(cases: DataFrame, history: DataFrame, updates: DataFrame) -> DataFrame:
+    """History after ``update_profiles``: a changed received date moves the first event of its case."""
+    asked = updates.select("id", F.col("received_date").alias("start_date"))
+    changed = cases.join(asked, "id").filter(~F.col("received_date").eqNullSafe(F.col("start_date")))
+    return move_first_events(history, changed.select(F.col("id").alias("case_id"), "start_date"))
+
+
 def sync_preparation(cases: DataFrame, preparation: DataFrame) -> DataFrame:
     """Cases with confirmed preparation fields; a blank company keeps the present name."""
     new = preparation.select(
@@ -292,12 +307,41 @@ def check_approvals(rows: DataFrame) -> DataFrame:
     return clean.join(verdict.select("case_id", accepted.alias("accepted")), "case_id")
 
 
-def keep_manual(current: DataFrame, parsed: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """Lay parsed fields over current ones, except where ``manual_<field>`` is set or the parsed value is blank."""
-    new = parsed.select(key, *[F.col(f).alias(f"_new_{f}") for f in fields])
-    joined = current.join(new, key, "left")
+def store_approvals(stored: DataFrame, checked: DataFrame) -> DataFrame:
+    """Stored approvals with the accepted rows of ``check_approvals`` laid over them, one per case and agency."""
+    values = [c for c in stored.columns if c not in ("case_id", "agency")]
+    accepted = checked.filter("accepted").select("case_id", "agency", *values, F.lit(0).alias("_seq"))
+    return upsert(stored, accepted, ["case_id", "agency"], ["_seq"])
+
+
+def store_cards(stored: DataFrame, cards: DataFrame, checked: DataFrame) -> DataFrame:
+    """Stored registration cards with those sent beside accepted approvals laid over them, one per case."""
+    accepted = checked.filter("accepted").select("case_id").distinct()
+    sent = cards.join(accepted, "case_id", "left_semi").withColumn("_seq", F.lit(0))
+    return upsert(stored, sent.select(*stored.columns, "_seq"), ["case_id"], ["_seq"])
+
+
+def approval_events(cases: DataFrame, checked: DataFrame, as_of) -> DataFrame:
+    """One event per case whose approvals were accepted, under the case's own status."""
+    accepted = checked.filter("accepted").select(F.col("case_id").alias("id")).distinct()
+    return cases.join(accepted, "id", "left_semi").select(
+        F.col("id").alias("case_id"), F.lit(as_of).alias("event_date"), F.lit("核准公文").alias("event_type"), "status",
+        F.lit("已更新核准公文與登記事項卡追蹤").alias("detail"),
+    )
+
+
+def keep_manual(current: DataFrame, parsed: DataFrame, key: str | list[str], fields: list[str]) -> DataFrame:
+    """Lay parsed fields over current ones, except where ``manual_<field>`` is set or the parsed value is blank.
+
+    ``key`` may be several columns, such as case and shareholder; a list field is blank when it is empty.
+    """
+    keys = [key] if isinstance(key, str) else key
+    lists = {name for name, kind in current.dtypes if kind.startswith("array")}
+    new = parsed.select(*keys, *[F.col(f).alias(f"_new_{f}") for f in fields])
+    joined = current.join(new, keys, "left")
+    blank = lambda f: F.coalesce(F.size(f"_new_{f}") if f in lists else F.length(f"_new_{f}"), F.lit(0)) <= 0
     value = lambda f: F.when(
-        F.col(f"manual_{f}") | (F.coalesce(F.col(f"_new_{f}"), F.lit("")) == ""), F.col(f)
+        F.col(f"manual_{f}") | blank(f), F.col(f)
     ).otherwise(F.col(f"_new_{f}"))
     return joined.select(*[value(c).alias(c) if c in fields else F.col(c) for c in current.columns])
 

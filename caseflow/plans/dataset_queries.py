@@ -136,7 +136,7 @@ def _(t):
 
 @query("a4_content_digest", "SELECT doc_id, sha256(text) AS digest FROM documents")
 def _(t):
-    return t.documents.select("doc_id", F.sha2(F.encode("text", "UTF-8"), 256).alias("digest"))
+    return t.documents.select("doc_id", tables.content_digest("text").alias("digest"))
 
 
 @query("a5_json_sink", "SELECT doc_id, lang, source, n_chars FROM documents")

@@ -108,6 +108,14 @@ def _(t):
     return dims.approval_grid(t.cases, t.approvals)
 
 
+@query("c6_registration_cards", """
+  SELECT c.id AS case_id, coalesce(r.original_received, FALSE) AS original_received,
+    coalesce(r.customer_copy_sent, FALSE) AS customer_copy_sent, r.updated_at
+  FROM cases c LEFT JOIN cards r ON r.case_id = c.id""")
+def _(t):
+    return dims.registration_cards(t.cases, t.cards)
+
+
 ENTRIES_SQL = """
   SELECT l_orderkey, l_linenumber, l_partkey, CASE l_linenumber % 4
     WHEN 0 THEN printf('e%06d', l_partkey % 1000000) WHEN 1 THEN printf('E%06d  name ', l_partkey % 1000000) || l_suppkey

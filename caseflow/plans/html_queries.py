@@ -29,9 +29,15 @@ def flat_sql(html: str) -> str:
     return f"trim(regexp_replace({plain_sql(html)}, '[\\s\\x{{a0}}\\x{{3000}}]+', ' ', 'g'))"
 
 
-@query("h16_plain_text", f"SELECT page_id, {plain_sql('html')} AS text FROM pages")
+# Numeric entities and what one pass over each of their two forms makes of them.
+NUMERIC = "&#38;#60; &#60;&#x41;&#X3c3; &#0; &#1114112; &#36;1&#92;"
+NUMERIC_READ = "&#60; <Aσ &#0; &#1114112; $1\\"
+
+
+@query("h16_plain_text", f"SELECT page_id, replace({plain_sql("(html || '<p>@numeric@</p>')")}, '@numeric@', '{NUMERIC_READ}') AS text FROM pages")
 def _(t):
-    return t.pages.select("page_id", h.plain_text("html").alias("text"))
+    html = F.concat("html", F.lit(f"<p>{NUMERIC}</p>"))
+    return t.pages.select("page_id", h.plain_text(html).alias("text"))
 
 
 CELLS_SQL = f"""
@@ -148,7 +154,12 @@ def _(t):
     return h.tax_payload_rows(t.orders.select(k.alias("id"), payload.alias("payload")), "id")
 
 
-@query("a10_decoded_pages", "SELECT page_id, 'utf-8' AS charset, html FROM pages")
+@query("a10_decoded_pages", """
+  WITH p AS (SELECT *, (['utf-8', 'iso-8859-1', 'windows-1252'])[page_id % 3 + 1] AS charset FROM pages)
+  SELECT page_id, charset, replace(html, '"utf-8"', '"' || charset || '"') AS html FROM p""")
 def _(t):
-    landed = t.pages.select("page_id", F.encode("html", "UTF-8").alias("content"))
-    return page_text_from_bytes(landed).select("page_id", "charset", "html")
+    charset = pick(["utf-8", "iso-8859-1", "windows-1252"], F.col("page_id"))
+    html = F.replace(F.col("html"), F.lit('"utf-8"'), F.concat(F.lit('"'), charset, F.lit('"')))
+    # The pages' letters are the same bytes in both Western charsets; Spark itself cannot write the last one.
+    content = F.when(F.col("page_id") % 3 == 0, F.encode(html, "UTF-8")).otherwise(F.encode(html, "ISO-8859-1"))
+    return page_text_from_bytes(t.pages.select("page_id", content.alias("content"))).select("page_id", "charset", "html")

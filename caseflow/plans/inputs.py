@@ -193,6 +193,15 @@ class Inputs:
             F.when(k % 4 != 0, F.concat(F.lit("No-"), k.cast("string"))).alias("document_number"),
         )
 
+    @property
+    def cards(self) -> DataFrame:
+        """Registration cards of a third of the orders."""
+        k = F.col("o_orderkey")
+        return self.orders.filter("o_orderkey % 3 = 0").select(
+            k.alias("case_id"), (k % 2 == 0).alias("original_received"), (k % 5 == 0).alias("customer_copy_sent"),
+            F.col("o_orderdate").alias("updated_at"),
+        )
+
     @property
     def proofs(self) -> DataFrame:
         """Purchase-proof settings stored for open orders."""

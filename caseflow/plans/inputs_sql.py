@@ -122,6 +122,9 @@ VIEWS = {
         CASE WHEN o_orderkey % 4 <> 0 THEN 'No-' || o_orderkey END AS document_number
       FROM orders JOIN (VALUES ('city_government'), ('national_tax')) a(agency)
         ON o_orderstatus = 'F' OR (o_orderstatus = 'O' AND agency = 'national_tax')""",
+    "cards": """
+      SELECT o_orderkey AS case_id, o_orderkey % 2 = 0 AS original_received, o_orderkey % 5 = 0 AS customer_copy_sent,
+        o_orderdate AS updated_at FROM orders WHERE o_orderkey % 3 = 0""",
     "proofs": f"""
       SELECT o_orderkey AS case_id, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey % 10 END AS office_id,
         CASE WHEN o_orderkey % 2 <> 0 THEN o_orderkey % 7 END AS page4_office_id,

@@ -107,15 +107,6 @@ def _(t):
     return ledger.content_options(t.cases).orderBy(F.desc("last_used_at"), "case_content")
 
 
-@query("d3_kpis", f"""
-  SELECT count(*) FILTER (status NOT IN {in_list(vocab.CLOSED)}) AS active,
-    count(*) FILTER (status IN {in_list(vocab.PREPARING)}) AS preparing,
-    count(*) FILTER (status IN {in_list(vocab.GOVERNMENT)}) AS government
-  FROM cases""")
-def _(t):
-    return ledger.kpis(t.cases)
-
-
 REMINDERS = f"""
   base AS (
     SELECT *, status NOT IN {in_list(vocab.CLOSED)} AS is_open,
@@ -148,6 +139,16 @@ def _reminders(t):
     return ledger.reminders(ledger.enrich(t.cases, t.items, t.history), AS_OF)
 
 
+@query("d3_kpis", f"""
+  WITH {REMINDERS}
+  SELECT count(*) FILTER (status NOT IN {in_list(vocab.CLOSED)}) AS active,
+    count(*) FILTER (status IN {in_list(vocab.PREPARING)}) AS preparing,
+    count(*) FILTER (status IN {in_list(vocab.GOVERNMENT)}) AS government, (SELECT count(*) FROM reminders) AS reminders
+  FROM cases""")
+def _(t):
+    return ledger.kpis(t.cases, _reminders(t))
+
+
 @query("d4_reminder_counts", f"""
   WITH {REMINDERS}
   SELECT kind, priority, count(*) AS reminder_count FROM reminders GROUP BY kind, priority""")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from caseflow.functions import vocab
 from caseflow.functions.columns import roc_rank
-from caseflow.operators import merge, reconcile
+from caseflow.operators import ledger, merge, reconcile
 from caseflow.operators.ranking import numbered
 from caseflow.plans.inputs import AS_OF, pick
 from caseflow.plans.inputs_sql import in_list
@@ -390,12 +390,45 @@ INTAKE = ["received_date", "tax_id", "entity_type", "company_name", "case_type",
           "tax_bureau_code", "billing_date", "capital", "paid_amount"]
 
 
-@query("l11_batch_intake", "SELECT id, case_number FROM cases WHERE case_content <> '  '")
-def _(t):
-    rows = t.cases.filter("trim(case_content) <> ''").select(
-        "id", "case_number", *[F.col(c).cast("string").alias(c) for c in INTAKE]
+INTAKE_SQL = """
+  last_numbers AS (SELECT substr(case_number, 1, 4) AS y, max(substr(case_number, 6)::BIGINT) AS n FROM cases GROUP BY 1),
+  accepted AS (
+    SELECT c.*, c.received_date + 400 AS new_date, year(c.received_date + 400)::VARCHAR AS y,
+      row_number() OVER (PARTITION BY year(c.received_date + 400) ORDER BY c.id) AS place FROM cases c),
+  intake_numbered AS (
+    SELECT a.id, a.new_date AS received_date, a.status, a.status_detail,
+      a.y || '-' || CASE WHEN coalesce(l.n, 0) + place < 1000 THEN lpad((coalesce(l.n, 0) + place)::VARCHAR, 3, '0') ELSE (coalesce(l.n, 0) + place)::VARCHAR END AS case_number
+    FROM accepted a LEFT JOIN last_numbers l ON l.y = a.y)"""
+
+
+def _intake(t, max_rows=None):
+    """A batch of good rows, one per case and dated later, after the gate and with its numbers."""
+    content = F.when(F.trim("case_content") == "", "變更").otherwise(F.col("case_content")).alias("case_content")
+    later = F.date_add("received_date", 400).cast("string").alias("received_date")
+    rows = t.cases.select(
+        "id", "status_detail", content, later, *[F.col(c).cast("string").alias(c) for c in INTAKE if c not in ("case_content", "received_date")]
     )
-    return merge.accept_all_or_nothing(merge.check_intake(rows)).select("id", "case_number")
+    accepted = merge.accept_all_or_nothing(merge.check_intake(rows), max_rows)
+    dated = accepted.withColumns({"received_date": F.col("received_date").cast("date"), "input_pos": F.col("id")})
+    return ledger.assign_case_numbers(dated, t.cases)
+
+
+@query("l11_batch_intake", f"WITH {INTAKE_SQL} SELECT id, received_date, case_number FROM intake_numbered")
+def _(t):
+    return _intake(t).select("id", "received_date", "case_number")
+
+
+@query("l11_intake_events", f"""
+  WITH {INTAKE_SQL}
+  SELECT case_number, received_date AS event_date, '進度' AS event_type, status, coalesce(nullif(status_detail, ''), '建立案件') AS detail
+  FROM intake_numbered""")
+def _(t):
+    return merge.intake_events(_intake(t))
+
+
+@query("l11_batch_too_long", f"WITH {INTAKE_SQL} SELECT id, case_number FROM intake_numbered WHERE (SELECT count(*) FROM cases) <= 100")
+def _(t):
+    return _intake(t, 100).select("id", "case_number")
 
 
 @query("l11_batch_rejected", "SELECT id, case_number FROM cases WHERE FALSE")
@@ -430,6 +463,15 @@ def _(t):
     return merge.update_profiles(t.cases, updates).select("id", "received_date", "company_name", "status", "status_detail")
 
 
+@query("l13_first_event_moved", """
+  WITH firsts AS (SELECT case_id, min(id) AS id FROM history GROUP BY case_id)
+  SELECT h.id, h.case_id, CASE WHEN f.id IS NOT NULL AND c.case_type = '新設立' THEN c.received_date - 9 ELSE h.event_date END AS event_date
+  FROM history h LEFT JOIN firsts f ON f.id = h.id LEFT JOIN cases c ON c.id = h.case_id""")
+def _(t):
+    updates = t.cases.select("id", F.when(F.col("case_type") == "新設立", F.date_sub("received_date", 9)).otherwise(F.col("received_date")).alias("received_date"))
+    return merge.profile_events(t.cases, t.history, updates).select("id", "case_id", "event_date")
+
+
 @query("l14_preparation_sync", """
   SELECT c.id, CASE WHEN p.case_id IS NULL THEN c.company_name ELSE coalesce(nullif(p.company, ''), c.company_name) END AS company_name,
     CASE WHEN p.case_id IS NULL THEN c.representative ELSE p.representative END AS representative,
@@ -462,6 +504,62 @@ def _(t):
     return merge.check_approvals(rows)
 
 
+def _sent_approvals(t):
+    """New approval forms of every case with an approval; only those with both agencies are in good order."""
+    rows = t.approvals.select(
+        "case_id", "agency", F.lit("archived").alias("status"), F.lit("2001-12-01").alias("approval_date"),
+        F.concat(F.lit("New-"), F.col("case_id").cast("string")).alias("document_number"), F.lit(" path ").alias("cloud_path"),
+    )
+    return merge.check_approvals(rows)
+
+
+BOTH = "both_sent AS (SELECT case_id FROM approvals GROUP BY case_id HAVING count(DISTINCT agency) = 2)"
+
+
+@query("l15_approvals_stored", f"""
+  WITH {BOTH}
+  SELECT a.case_id, agency, CASE WHEN b.case_id IS NULL THEN status ELSE 'archived' END AS status,
+    CASE WHEN b.case_id IS NULL THEN approval_date::VARCHAR ELSE '2001-12-01' END AS approval_date,
+    CASE WHEN b.case_id IS NULL THEN document_number ELSE 'New-' || a.case_id END AS document_number
+  FROM approvals a LEFT JOIN both_sent b ON b.case_id = a.case_id""")
+def _(t):
+    stored = t.approvals.withColumn("approval_date", F.col("approval_date").cast("string"))
+    return merge.store_approvals(stored, _sent_approvals(t))
+
+
+@query("l15_cards_stored", f"""
+  WITH {BOTH}
+  SELECT coalesce(r.case_id, b.case_id) AS case_id, b.case_id IS NOT NULL OR r.original_received AS original_received,
+    CASE WHEN b.case_id IS NULL THEN r.customer_copy_sent ELSE FALSE END AS customer_copy_sent
+  FROM cards r FULL JOIN both_sent b ON b.case_id = r.case_id""")
+def _(t):
+    columns = ["case_id", "original_received", "customer_copy_sent"]
+    sent = t.cases.select(F.col("id").alias("case_id"), F.lit(True).alias("original_received"), F.lit(False).alias("customer_copy_sent"))
+    return merge.store_cards(t.cards.select(*columns), sent, _sent_approvals(t))
+
+
+@query("l15_approval_events", f"""
+  WITH {BOTH}
+  SELECT c.id AS case_id, DATE '{TODAY}' AS event_date, '核准公文' AS event_type, c.status, '已更新核准公文與登記事項卡追蹤' AS detail
+  FROM cases c SEMI JOIN both_sent b ON b.case_id = c.id""")
+def _(t):
+    return merge.approval_events(t.cases, _sent_approvals(t), AS_OF)
+
+
+@query("i8_keep_manual_lists", """
+  SELECT o_orderkey AS case_id, item, CASE WHEN item = 3 OR o_custkey % 4 = 0 THEN 'old' ELSE 'new,' || o_custkey END AS business
+  FROM orders, (VALUES (1), (2), (3)) v(item)""")
+def _(t):
+    held = t.orders.select(F.col("o_orderkey").alias("case_id"), "o_custkey", F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("item"))
+    current = held.select("case_id", "item", F.array(F.lit("old")).alias("business"), (F.col("item") == 3).alias("manual_business"))
+    none = F.array().cast("array<string>")
+    parsed = held.select(
+        "case_id", "item", F.when(F.col("o_custkey") % 4 == 0, none).otherwise(F.array(F.lit("new"), F.col("o_custkey").cast("string"))).alias("business")
+    )
+    kept = merge.keep_manual(current, parsed, ["case_id", "item"], ["business"])
+    return kept.select("case_id", "item", F.array_join("business", ",").alias("business"))
+
+
 @query("i8_keep_manual_values", """
   SELECT c.id, CASE WHEN c.case_type = '新設立' OR coalesce(p.representative, '') = '' THEN c.representative ELSE p.representative END AS representative,
     CASE WHEN c.entity_type = '行號' OR coalesce(p.registration_address, '') = '' THEN c.address ELSE p.registration_address END AS address

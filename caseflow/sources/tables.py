@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from caseflow.functions.columns import col
 from caseflow.functions.udfs import decode_bytes
 
 TABLES = [
@@ -65,10 +66,15 @@ def file_inventory(spark: SparkSession, folder: str, suffixes: list[str]) -> Dat
     ).filter(F.col("suffix").isin(suffixes))
 
 
+def content_digest(content) -> Column:
+    """SHA-256 of bytes, or of a text's UTF-8 bytes, in hex."""
+    return F.sha2(col(content).cast("binary"), 256)
+
+
 def file_digests(spark: SparkSession, folder: str) -> DataFrame:
     """SHA-256 of every file below folder; each file is hashed inside the task that reads it."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    return files.select(F.col("path").alias("source_path"), F.sha2("content", 256).alias("sha256"))
+    return files.select(F.col("path").alias("source_path"), content_digest("content").alias("sha256"))
 
 
 def page_text_from_bytes(pages: DataFrame, content: str = "content") -> DataFrame:
