@@ -203,8 +203,14 @@ def default_office(offices: DataFrame) -> Column:
     return chosen.scalar()
 
 
-def proof_defaults(cases: DataFrame, preparation: DataFrame, proofs: DataFrame, approvals: DataFrame, offices: DataFrame, as_of) -> DataFrame:
-    """Purchase-proof settings per case: stored, else prepared, else derived from address, approval or default office."""
+def proof_defaults(
+    cases: DataFrame, preparation: DataFrame, proofs: DataFrame, approvals: DataFrame, offices: DataFrame, branches: DataFrame, as_of,
+    boundary_district: str = BOUNDARY_DISTRICT,
+) -> DataFrame:
+    """Purchase-proof settings per case: stored, else prepared, else derived from address, approval, branch list or default office.
+
+    ``proofs`` holds what was saved, ``branches`` the branch offices by district as ``resolve_branch`` takes them.
+    """
     stored = proofs.select(F.col("case_id").alias("id"), *[F.col(c).alias(f"_s_{c}") for c in proofs.columns if c != "case_id"])
     prepared = preparation_defaults(cases, preparation).select(
         "id",
@@ -219,25 +225,36 @@ def proof_defaults(cases: DataFrame, preparation: DataFrame, proofs: DataFrame,
     short_names = F.create_map(*[F.lit(x) for code, _, short, _ in vocab.BUREAUS for x in (code, short)])
     office = default_office(offices)
     nonzero = lambda c: F.when(F.col(c) != 0, F.col(c))
-    joined = (
+    kept = (
         cases.select("id", "case_number", "company_name", "tax_id", "tax_bureau_code")
         .join(prepared, "id")
-        .join(stored, "id", "left")
+        .join(stored.withColumn("_stored", F.lit(True)), "id", "left")
         .join(tax, "id", "left")
         .withColumn("_bureau", bureau_of("_address"))
+        .withColumns({"bureau_code": F.col("_bureau.bureau_code"), "county": F.col("_bureau.county")})
     )
+    joined = resolve_branch(kept, tax_address("_address"), branches, boundary_district)
     return joined.select(
         "id",
+        first_filled("_s_email").alias("email"),
+        first_filled("_s_branch_name", "branch_name").alias("branch_name"),
+        first_filled("_s_sales_document_number").alias("sales_document_number"),
+        F.coalesce("_s_selected_pages", F.when(F.col("_stored"), F.array().cast("array<int>")).otherwise(F.array(*map(F.lit, (1, 2, 3, 4))))).alias("selected_pages"),
+        F.coalesce("_s_checkboxes", F.lit("{}")).alias("checkboxes"),
+        F.coalesce("_bureau.short_name", F.lit("")).alias("suggested_bureau"),
+        F.col("branch_candidates").alias("suggested_branches"), F.col("needs_confirmation").alias("branch_needs_confirmation"),
         F.coalesce(nonzero("_s_office_id"), office).alias("office_id"),
         F.coalesce(nonzero("_s_page4_office_id"), nonzero("_s_office_id"), office).alias("page4_office_id"),
         first_filled("_s_tax_registration_number").alias("tax_registration_number"),
         first_filled("_s_responsible_person_id", "_national_id").alias("responsible_person_id"),
         first_filled("_s_business_phone", "_phone").alias("business_phone"),
         first_filled("_s_tax_bureau_name", "_bureau.short_name", short_names[F.col("tax_bureau_code")]).alias("tax_bureau_name"),
-        first_filled("_official.roc_year").alias("official_year"),
-        first_filled("_official.roc_month").alias("official_month"),
-        first_filled("_official.roc_day").alias("official_day"),
-        F.lit(str(as_of.year - 1911)).alias("application_year"),
+        first_filled("_s_official_year", "_official.roc_year").alias("official_year"),
+        first_filled("_s_official_month", "_official.roc_month").alias("official_month"),
+        first_filled("_s_official_day", "_official.roc_day").alias("official_day"),
+        first_filled("_s_application_year", F.lit(str(as_of.year - 1911))).alias("application_year"),
+        first_filled("_s_application_month", F.lit(str(as_of.month))).alias("application_month"),
+        first_filled("_s_application_day").alias("application_day"),
         F.coalesce(F.col("_tax_status").isin("received", "archived"), F.lit(False)).alias("tax_approval_received"),
     )
 

@@ -77,6 +77,13 @@ def _(t):
 
 @query("c5_proof_defaults", f"""
   WITH {PREPARED},
+  placed AS (
+    SELECT pr.id, arg_min(b.bureau_code, b.priority) AS bureau_code, arg_min(b.county, b.priority) AS county, any_value(pr.registration_address) AS address
+    FROM prepared pr JOIN bureau_county b ON contains(pr.registration_address, b.county) GROUP BY pr.id),
+  near AS (
+    SELECT p.id, o.office_name, min(o.ordinal) AS ordinal FROM placed p
+    JOIN branches o ON o.bureau_code = p.bureau_code AND o.county = p.county AND contains(p.address, o.district) GROUP BY ALL),
+  suggested AS (SELECT id, string_agg(office_name, '|' ORDER BY ordinal, office_name) AS names, count(*) AS n FROM near GROUP BY id),
   chosen AS (SELECT id FROM offices WHERE active AND is_default ORDER BY name, id LIMIT 1),
   bureaus AS (
     SELECT pr.id, arg_min(b.short_name, b.priority) AS short_name FROM prepared pr
@@ -87,17 +94,27 @@ def _(t):
     coalesce(nullif(s.responsible_person_id, ''), pr.national_id) AS responsible_person_id,
     coalesce(nullif(s.business_phone, ''), pr.contact_phone) AS business_phone,
     coalesce(nullif(s.tax_bureau_name, ''), b.short_name, k.short_name, '') AS tax_bureau_name,
-    coalesce((year(a.approval_date) - 1911)::VARCHAR, '') AS official_year,
-    coalesce(month(a.approval_date)::VARCHAR, '') AS official_month,
-    coalesce(day(a.approval_date)::VARCHAR, '') AS official_day,
-    '{AS_OF.year - 1911}' AS application_year,
+    coalesce(nullif(s.official_year, ''), (year(a.approval_date) - 1911)::VARCHAR, '') AS official_year,
+    coalesce(nullif(s.official_month, ''), month(a.approval_date)::VARCHAR, '') AS official_month,
+    coalesce(nullif(s.official_day, ''), day(a.approval_date)::VARCHAR, '') AS official_day,
+    coalesce(nullif(s.application_year, ''), '{AS_OF.year - 1911}') AS application_year,
+    coalesce(nullif(s.application_month, ''), '{AS_OF.month}') AS application_month, coalesce(s.application_day, '') AS application_day,
+    coalesce(s.email, '') AS email, coalesce(s.sales_document_number, '') AS sales_document_number,
+    coalesce(nullif(s.branch_name, ''), CASE WHEN g.n = 1 THEN g.names END, '') AS branch_name,
+    CASE WHEN s.case_id IS NULL THEN '1,2,3,4' ELSE coalesce(s.selected_pages, '') END AS selected_pages,
+    coalesce(s.checkboxes, '{{}}') AS checkboxes, coalesce(b.short_name, '') AS suggested_bureau,
+    coalesce(g.names, '') AS suggested_branches, coalesce(g.n, 0) > 1 AS branch_needs_confirmation,
     coalesce(a.status, '') IN ('received', 'archived') AS tax_approval_received
   FROM cases c JOIN prepared pr ON pr.id = c.id LEFT JOIN proofs s ON s.case_id = c.id
     LEFT JOIN approvals a ON a.case_id = c.id AND a.agency = 'national_tax'
-    LEFT JOIN bureaus b ON b.id = c.id
+    LEFT JOIN bureaus b ON b.id = c.id LEFT JOIN suggested g ON g.id = c.id
     LEFT JOIN (SELECT DISTINCT bureau_code, short_name FROM bureau_county) k ON k.bureau_code = c.tax_bureau_code""")
 def _(t):
-    return dims.proof_defaults(t.cases, t.preparation, t.proofs, t.approvals, t.offices, AS_OF)
+    # No district is at a boundary here.
+    found = dims.proof_defaults(t.cases, t.preparation, t.proofs, t.approvals, t.offices, t.branches, AS_OF, "@")
+    pages = F.array_join(F.col("selected_pages").cast("array<string>"), ",").alias("selected_pages")
+    rest = [c for c in found.columns if c not in ("selected_pages", "suggested_branches")]
+    return found.select(*rest, pages, F.array_join("suggested_branches", "|").alias("suggested_branches"))
 
 
 @query("c6_approval_grid", """

@@ -17,6 +17,11 @@ from caseflow.sources.tables import TABLES, load_table
 
 AS_OF = datetime.date(2001, 12, 31)
 
+# Stored parts of purchase-proof dates are blank for every n-th case.
+PROOF_DATES = [
+    (11, "application_year"), (7, "application_month"), (4, "application_day"), (6, "official_year"), (5, "official_month"), (3, "official_day"),
+]
+
 DISTRICTS = ["中山區", "信義區", "東區", "西屯區", "板橋區", "北區", "大安區"]
 EVENT_TYPES = {"view": "進度", "signup": "官方查詢", "click": "請款", "error": "國稅局查詢", "purchase": "收款"}
 
@@ -161,6 +166,18 @@ class Inputs:
             F.col("conv_id").alias("file_id"), (F.col("turn") + 1).alias("page"), F.col("text")
         )
 
+    @property
+    def branches(self) -> DataFrame:
+        """Branch offices by county and district: some districts have two."""
+        from caseflow.operators.dims import bureau_of
+
+        k = F.col("s_suppkey")
+        rows = self.supplier.select(
+            pick(vocab.COUNTIES, k).alias("county"), pick(DISTRICTS, k).alias("district"),
+            F.concat(F.lit("branch "), (k % 20).cast("string")).alias("office_name"), (k % 500).alias("ordinal"), F.lit("").alias("boundary"),
+        )
+        return rows.withColumn("b", bureau_of("county")).select("b.bureau_code", "b.county", "office_name", "ordinal", "district", "boundary")
+
     @property
     def preparation(self) -> DataFrame:
         """Prepared document fields for the cases that are not pending."""
@@ -216,6 +233,11 @@ class Inputs:
             blank(6, F.lit("02-1111")).alias("business_phone"),
             blank(7, F.lit("北區")).alias("tax_bureau_name"),
             blank(8, F.lit("竹北分局")).alias("branch_name"),
+            blank(3, F.concat(F.lit("mail-"), k.cast("string"))).alias("email"),
+            blank(2, F.concat(F.lit("S-"), k.cast("string"))).alias("sales_document_number"),
+            F.when(k % 5 != 0, F.array(F.lit(1), (k % 4 + 1).cast("int"))).alias("selected_pages"),
+            F.when(k % 6 != 0, F.concat(F.lit('{"page1":'), k.cast("string"), F.lit("}"))).alias("checkboxes"),
+            *[blank(n, (k % n).cast("string")).alias(f"{part}") for n, part in PROOF_DATES],
         )
 
     @property

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 from caseflow.functions import vocab
-from caseflow.plans.inputs import DISTRICTS, EVENT_TYPES
+from caseflow.plans.inputs import DISTRICTS, EVENT_TYPES, PROOF_DATES
 
 
 def words(values: list[str]) -> str:
@@ -132,7 +132,12 @@ VIEWS = {
         CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE {national_id_of('o_orderkey')} END AS responsible_person_id,
         CASE WHEN o_orderkey % 6 = 0 THEN '' ELSE '02-1111' END AS business_phone,
         CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE '北區' END AS tax_bureau_name,
-        CASE WHEN o_orderkey % 8 = 0 THEN '' ELSE '竹北分局' END AS branch_name
+        CASE WHEN o_orderkey % 8 = 0 THEN '' ELSE '竹北分局' END AS branch_name,
+        CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE 'mail-' || o_orderkey END AS email,
+        CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE 'S-' || o_orderkey END AS sales_document_number,
+        CASE WHEN o_orderkey % 5 <> 0 THEN '1,' || (o_orderkey % 4 + 1) END AS selected_pages,
+        CASE WHEN o_orderkey % 6 <> 0 THEN '{{"page1":' || o_orderkey || '}}' END AS checkboxes,
+        {", ".join(f"CASE WHEN o_orderkey % {n} = 0 THEN '' ELSE (o_orderkey % {n})::VARCHAR END AS {part}" for n, part in PROOF_DATES)}
       FROM orders WHERE o_orderstatus = 'O'""",
     "catalogue": """
       SELECT printf('E%06d', p_partkey % 1000000) AS code, upper(replace(p_name, ' ', '')) AS name,
@@ -154,6 +159,9 @@ VIEWS = {
             (code, full, short, county) for code, full, short, counties in vocab.BUREAUS for county in counties
         )
     ) + ") v(priority, bureau_code, bureau_name, short_name, county)",
+    "branches": f"""
+      SELECT b.bureau_code, b.county, {pick(DISTRICTS, 's_suppkey')} AS district, 'branch ' || (s_suppkey % 20) AS office_name, s_suppkey % 500 AS ordinal
+      FROM supplier JOIN bureau_county b ON b.county = {pick(vocab.COUNTIES, 's_suppkey')}""",
     "due": """
       SELECT c.id, CASE WHEN b.case_id IS NOT NULL THEN b.total ELSE c.service_fee + c.government_fee END AS total_due
       FROM cases c LEFT JOIN (SELECT case_id, sum(amount)::BIGINT AS total FROM items GROUP BY case_id) b ON b.case_id = c.id""",
