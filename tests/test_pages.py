@@ -120,3 +120,31 @@ def test_links_by_path_call_and_row(spark):
     assert got[3][0].endswith("?caseNo=123456789&agency=376590000A&receiveNo=123456789&subAcptNo=02")
     assert got[4][1] == 5 and "rcvNo=123456789&" in got[4][0]
     assert 5 not in got
+
+
+def test_resolve_url_folds_every_segment(spark):
+    from caseflow.operators.html import resolve_url
+
+    base = "https://a.b/c/d/e.do?x=1"
+    cases = {
+        "../../x/q.do": "https://a.b/x/q.do", "../x/q.do?u=a/../b": "https://a.b/c/x/q.do?u=a/../b", "./q.do": "https://a.b/c/d/q.do",
+        "../../../q.do": "https://a.b/q.do", "/m/./n/../q.do#p": "https://a.b/m/q.do#p", "q.do": "https://a.b/c/d/q.do",
+        "HTTPS://z.y/p": "HTTPS://z.y/p", "..": "https://a.b/c/",
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "link string")
+    rows = df.select("link", resolve_url(F.col("link"), F.lit(base)).alias("url")).collect()
+    assert {r["link"]: r["url"] for r in rows} == cases
+
+
+def test_numeric_entities_are_read_once(spark):
+    from caseflow.operators.html import decode_entities
+
+    df = spark.createDataFrame([("&#38;#60; &#60; &#0; &#x110000;",)], "t string")
+    assert df.select(decode_entities("t").alias("t")).first()["t"] == "&#60; < &#0; &#x110000;"
+
+
+def test_business_items_keep_the_first_of_each_code(spark):
+    text = "\n".join(f"{code} 裝潢{chr(0x4e00 + k)}業" for k, code in enumerate(["E801010", "F113020", "E801010", "ZZ99999", "F113020"]))
+    df = spark.createDataFrame([("a", text)], "file_id string, text string")
+    items = pages.precheck_records(df).first()["business_items"]
+    assert [i["code"] for i in items] == ["E801010", "F113020", "ZZ99999"]
