@@ -31,7 +31,7 @@ SEED = 42
 TILE_ROWS = 4096
 BLOCK = 512
 HASHES_AT_ONCE = 1 << 16
-SALTS = 8
+SALTS = 16
 
 
 def fingerprint(text: str | None) -> int:
@@ -161,11 +161,18 @@ def near_duplicates(prints: DataFrame, radius: int = RADIUS, tile_rows: int = TI
     roots = components(tiles.mapInArrow(_links(radius), "a long, b long"))
     placed = groups.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     names = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = placed.join(names, "root").select("fp", "component_id")
-    # Many rows may share a fingerprint: its one name is repeated per salt, the rows are dealt over the salts.
-    salted = named.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    dealt = prints.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
-    return dealt.join(salted, ["fp", "salt"]).select("doc_id", "fp", "component_id")
+    # Many fingerprints may share a root, and many rows a fingerprint: the one row of each name is repeated per salt, the
+    # many rows are dealt over the salts.
+    named = _dealt(placed, "fp", salts).join(_repeated(names, salts), ["root", "salt"]).select("fp", "component_id")
+    return _dealt(prints, "doc_id", salts).join(_repeated(named, salts), ["fp", "salt"]).select("doc_id", "fp", "component_id")
+
+
+def _dealt(rows: DataFrame, by: str, salts: int) -> DataFrame:
+    return rows.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
+
+
+def _repeated(rows: DataFrame, salts: int) -> DataFrame:
+    return rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
