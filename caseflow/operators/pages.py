@@ -311,19 +311,27 @@ def business_items(lines: Column) -> Column:
 
 
 def precheck_records(files: DataFrame) -> DataFrame:
-    """Number, dates, company and business items of pre-check certificates; ``files`` has file_id and text."""
-    with_lines = files.withColumn("_lines", once(text_lines(fold_width("text"))))
+    """Number, dates, company and business items of pre-check certificates; ``files`` has file_id and text.
+
+    A text is searched line by line only for the labels that it has anywhere.
+    """
+    folded = files.withColumn("_folded", once(fold_width("text")))
+    with_lines = folded.withColumn("_lines", once(text_lines(F.col("_folded"))))
     lines, text = F.col("_lines"), F.col("text")
-    either = lambda label, extract, loose=None: F.coalesce(
-        labelled_line(lines, label, extract), labelled_text(text, label, loose or extract), F.lit("")
-    )
+
+    def either(label: str, extract: Callable[[Column], Column], loose: Callable[[Column], Column] | None = None) -> Column:
+        found = F.coalesce(labelled_line(lines, label, extract), labelled_text(text, label, loose or extract), F.lit(""))
+        return F.when(F.col("_folded").rlike(label) | text.rlike(label), found).otherwise("")
+
+    none = F.array().cast("array<struct<code:string,name:string>>")
+    has_code = F.upper("_folded").rlike(CODE_SHAPE)
     return with_lines.select(
         "file_id",
         either(PRECHECK_LABEL, _number).alias("precheck_number"),
         either(APPROVAL_LABEL, _date).alias("approval_date"),
         either(EXPIRY_LABEL, _date).alias("expiry_date"),
         either(COMPANY_LABEL, _company, lambda v: _company(v, False)).alias("company_name"),
-        business_items(lines).alias("business_items"),
+        F.when(has_code, business_items(lines)).otherwise(none).alias("business_items"),
     )
 
 

@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 from caseflow.functions import vocab
 from caseflow.sources.tables import TABLES, load_table
 
+# Facts in one small file are read by one task. A caller who wants them dealt out says into how many parts.
+INPUT_PARTITIONS = "caseflow.input.partitions"
+FACTS = {"orders", "lineitem", "events", "pages", "conversations"}
+
 AS_OF = datetime.date(2001, 12, 31)
 
 # Stored parts of purchase-proof dates are blank for every n-th case.
@@ -56,7 +60,9 @@ class Inputs:
     def __getattr__(self, name: str) -> DataFrame:
         if name not in TABLES:
             raise AttributeError(name)
-        return load_table(self.spark, self.folder, name)
+        table = load_table(self.spark, self.folder, name)
+        parts = self.spark.conf.get(INPUT_PARTITIONS, None)
+        return table.repartition(int(parts)) if parts and name in FACTS else table
 
     @property
     def cases(self) -> DataFrame:
