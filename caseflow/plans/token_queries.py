@@ -328,9 +328,12 @@ def _(t):
 
 @query("j10_label_records", f"""
   WITH {SHEETS}
-  SELECT page_id, count(*)::INT AS shape_count FROM fields GROUP BY page_id""")
+  SELECT page_id, count(*)::INT AS shape_count, '{{"shapes":[' || string_agg('{{"label":"' || field || '","points":' ||
+      CASE field WHEN 'property_address' THEN '[[220,101],[480,122]]' ELSE '[[60,640],[240,661]]' END ||
+      ',"shape_type":"rectangle","flags":{{"needs_review":true}}}}', ',' ORDER BY field) || '],"imagePath":"' || page_id ||
+      '.jpg","imageHeight":1000,"imageWidth":1000}}' AS record FROM fields GROUP BY page_id""")
 def _(t):
-    return layout.label_records(layout.property_fields(_sheet_tokens(t)), _sheet_pages(t)).select("page_id", "shape_count")
+    return layout.label_records(layout.property_fields(_sheet_tokens(t)), _sheet_pages(t)).select("page_id", "shape_count", "record")
 
 
 @query("c16_field_agreement", f"WITH {SHEETS} SELECT page_id, field, kept AS matched FROM fields")
