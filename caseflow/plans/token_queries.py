@@ -105,9 +105,11 @@ def _tokens(t, rows, source, key):
         *[F.struct(text.alias("text"), *[box(v).alias(n) for n, v in zip(("x0", "y0", "x1", "y1"), b)]) for text, *b in rows]
     )
     sheets = source.select(key.cast("string").alias("page_id"), F.posexplode(cells).alias("ord", "c"))
-    return sheets.select(
+    rows = sheets.select(
         "page_id", F.col("ord").cast("long").alias("ord"), "c.text", (0.8 + F.col("ord") % 4 / 20).alias("score"), "c.x0", "c.y0", "c.x1", "c.y1"
     ).filter("text <> ''")
+    # The jobs read a token table many times: the first to run keeps it, what is lost with an executor is made again.
+    return rows.persist()
 
 
 def _card_tokens(t):
