@@ -64,7 +64,18 @@ class Grammar:
         return lengths
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
-        """Ids (unsigned 32-bit) that the symbols stand for; each pass opens one level of rules."""
+        """Ids (unsigned 32-bit) that the symbols stand for."""
+        if len(symbols) <= len(self.rules):
+            return self._by_levels(symbols)
+        # Many symbols: every rule is expanded once, each symbol takes its own stretch of the result.
+        stretches = np.concatenate([np.arange(self.first, dtype="<u4"), self._by_levels(np.arange(len(self.rules)) + self.first)])
+        starts = np.concatenate([np.arange(self.first), self.first + np.cumsum(np.r_[0, self.lengths[:-1]], dtype=np.int64)[: len(self.rules)]])
+        sizes = self.symbol_lengths(symbols)
+        ends = sizes.cumsum()
+        return stretches[np.arange(ends[-1]) + np.repeat(starts[symbols] - (ends - sizes), sizes)]
+
+    def _by_levels(self, symbols: np.ndarray) -> np.ndarray:
+        """Each pass opens one level of rules."""
         while (long := symbols >= self.first).any():
             out = np.repeat(symbols, long + 1)
             at = np.flatnonzero(long)
