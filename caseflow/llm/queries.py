@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from caseflow.llm import bm25, classifier, hilbert, packing, pieces, pii, quality, repair, simhash, tokencounts
 from caseflow.llm.registry import documents, query
-from caseflow.llm.store import new_path
+from caseflow.llm.store import landed, new_path
 from caseflow.llm.textstats import stop_forms
 from caseflow.llm.tokens import vocabulary
 
@@ -107,6 +107,7 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "row", F.size("ids").cast("long").alias("n"), F.aggregate("ids", F.lit(0).cast("long"), lambda a, k: a + k).alias("s"),
         F.length("text").cast("long").alias("c"), (F.col("text") == F.col("decoded")).alias("same"),
     )
+    per_row = landed(per_row, "piece-counts")  # narrow; both readers below would else encode every text
     whole = per_row.filter("row IS NULL").select("doc_id", F.col("n").alias("n_pieces"), F.col("s").alias("id_sum"), F.col("c").alias("n_chars"), F.col("same").alias("round_trip"))
     giant = per_row.filter("row IS NOT NULL").groupBy("row", "doc_id").agg(
         F.sum("n").alias("n_pieces"), F.sum("s").alias("id_sum"), F.sum("c").alias("n_chars"), F.bool_and("same").alias("round_trip")
