@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseflow.llm import bm25, classifier, hilbert, packing, pieces, pii, quality, repair, simhash, tokencounts
+from caseflow.llm import bm25, classifier, dualtree, hilbert, packing, pieces, pii, quality, repair, simhash, tokencounts, whitening
 from caseflow.llm.registry import documents, query
 from caseflow.llm.store import landed, new_path
 from caseflow.llm.textstats import stop_forms
@@ -134,3 +134,34 @@ FROM x QUALIFY rank <= 10
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder)
     return bm25.search(docs, docs.filter("doc_id % 50 = 0"), k=10)
+
+
+@query("op11_embedding_whitening")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id", "embedding"))
+
+
+OP12_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id,
+                  list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                 '[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS terms
+           FROM documents WHERE text IS NOT NULL),
+l AS (SELECT r, doc_id, len(terms) AS n FROM d WHERE len(terms) > 0),
+s AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS words FROM l),
+p AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(terms) AS term FROM d) GROUP BY ALL),
+f AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM p CROSS JOIN s GROUP BY term, docs),
+q AS (SELECT item_id, term, count(*) AS times
+      FROM (SELECT item_id, unnest(list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                               '[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')) AS term
+            FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL) GROUP BY ALL),
+x AS (SELECT item_id, r, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // words)))) AS BIGINT) AS score
+      FROM q JOIN f USING (term) JOIN p USING (term) JOIN l USING (r) CROSS JOIN s GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS FIRST) AS INTEGER) AS rank, doc_id, score
+FROM x WHERE score > 0 QUALIFY rank <= 10
+"""
+
+
+@query("op12_ranked_lexical_search", OP12_SQL)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    items = spark.read.parquet(f"{folder}/benchmark.parquet").select("item_id", "text")
+    return dualtree.search(documents(spark, folder).select("doc_id", "text"), items, k=10)
