@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseflow.llm import bm25, classifier, dualtree, hilbert, packing, pieces, pii, quality, repair, simhash, tokencounts, whitening
+from caseflow.llm import bm25, classifier, dualtree, hilbert, packing, pieces, pii, quality, repair, simhash, tokencounts, warc, whitening
 from caseflow.llm.registry import documents, query
 from caseflow.llm.store import landed, new_path
 from caseflow.llm.textstats import stop_forms
@@ -165,3 +165,24 @@ FROM x WHERE score > 0 QUALIFY rank <= 10
 def op12(spark: SparkSession, folder: str) -> DataFrame:
     items = spark.read.parquet(f"{folder}/benchmark.parquet").select("item_id", "text")
     return dualtree.search(documents(spark, folder).select("doc_id", "text"), items, k=10)
+
+
+OP13_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+d AS (SELECT page_id, octet_length(encode(payload)) AS payload_bytes, sha1(payload) AS h,
+             max(page_id) OVER (PARTITION BY payload) AS stored FROM p)
+SELECT page_id, payload_bytes,
+       list_reduce(list_transform(range(8), lambda g: list_reduce(list_transform(range(4), lambda k:
+           substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((CAST('0x' || substr(h, CAST(5 * g + 1 AS INTEGER), 5) AS BIGINT) >> (15 - 5 * k)) & 31), 1)),
+           lambda a, b: a || b)), lambda a, b: a || b) AS payload_digest,
+       CASE WHEN page_id = stored THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> stored THEN stored END AS refers_to
+FROM d
+"""
+
+
+@query("op13_warc_archives", OP13_SQL)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    archives = new_path(spark, "archives")
+    lines = warc.write(spark.read.parquet(f"{folder}/pages.parquet").select("page_id", "url", "html"), archives)
+    return warc.read(spark, archives, lines).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
