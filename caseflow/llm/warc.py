@@ -80,11 +80,11 @@ def _record(fields: dict[str, str | int | None], block: bytes) -> bytes:
     return "\r\n".join(["WARC/1.1", *lines, "", ""]).encode() + block + b"\r\n\r\n"
 
 
-def page_record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers: tuple[int | None] | None, date: str) -> bytes:
-    """The record of a page: a response, or a revisit of the page that ``refers`` holds."""
+def page_record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers: tuple[int | None] | None, shared: bool, date: str) -> bytes:
+    """The record of a page: a response, or a revisit of the page that ``refers`` holds; of a ``shared`` payload, revisits name the response."""
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     fields = {"WARC-Type": "response" if refers is None else "revisit"}
-    fields["WARC-Record-ID"] = record_id(digest, page_id) if refers is None else f"<urn:uuid:{uuid.uuid4()}>"
+    fields["WARC-Record-ID"] = record_id(digest, page_id) if shared and refers is None else f"<urn:uuid:{uuid.uuid4()}>"
     fields |= {"WARC-Date": date, "WARC-Target-URI": _uri(url, page_id), "WARC-Payload-Digest": f"sha1:{digest}", "X-Page-ID": page_id}
     if refers is not None:
         fields |= {"WARC-Profile": PROFILE, "WARC-Refers-To": record_id(digest, refers[0]), "X-Refers-To-Page-ID": refers[0]}
@@ -188,7 +188,7 @@ def write(
                             done.add((hexed, own))
                 archive = archive or _Archive(folder, date)
                 digest = base64.b32encode(bytes.fromhex(hexed)).decode()
-                archive.add(page_record(own, place, payload, digest, refers, date), own, "response" if refers is None else "revisit")
+                archive.add(page_record(own, place, payload, digest, refers, rows is not None, date), own, "response" if refers is None else "revisit")
                 if archive.compressor is not None and archive.size >= archive_bytes:
                     yield closed()
                     archive = None
