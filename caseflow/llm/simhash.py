@@ -50,16 +50,20 @@ def fingerprint(text: str | None) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp: long) of every row."""
+def _prints(rows: DataFrame, kind: str) -> DataFrame:
+    """(doc_id: ``kind``, fp: long) of rows of (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = pa.array([fingerprint(t.as_py()) for t in batch.column(1)], type=pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), found], names=["doc_id", "fp"])
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    return rows.mapInArrow(run, f"doc_id {kind}, fp long")
+
+
+def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, fp: long) of every row."""
+    return _prints(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), "long")
 
 
 def _bands(radius: int) -> list[tuple[int, int]]:
@@ -176,11 +180,16 @@ def _repeated(rows: DataFrame, salts: int) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` without their near-duplicates: of each component the row of the smallest id stays, once.
+    """The rows of ``docs`` without their near-duplicates: of each component one row stays, that of the smallest id.
 
-    A row with a null id stands for its text's hash.
+    Rows are told apart by id and text, so rows with one id and different texts each belong to their own text's component. Null
+    ids come last; among equal ids the smaller hash of the text decides; of rows equal in both one stays.
     """
-    keyed = docs.withColumn("_simhash_key", F.coalesce(F.col(doc_id).cast("long"), F.xxhash64(text)))
-    found = near_duplicates(fingerprints(keyed, "_simhash_key", text))
-    first = found.filter("doc_id = component_id").select(F.col("doc_id").alias("_simhash_key"))
-    return keyed.join(first, "_simhash_key", "left_semi").dropDuplicates(["_simhash_key"]).drop("_simhash_key")
+    id_ = F.col(doc_id).cast("long")
+    key = {"_simhash_null": id_.isNull(), "_simhash_id": F.coalesce(id_, F.lit(0)), "_simhash_text": F.xxhash64(text)}
+    keyed = docs.withColumns(key)
+    kind = "struct<_simhash_null: boolean, _simhash_id: bigint, _simhash_text: bigint>"
+    prints = _prints(keyed.select(F.struct(*key).alias("doc_id"), F.col(text).alias("text")), kind)
+    found = near_duplicates(prints)
+    first = found.filter("doc_id = component_id").select("doc_id.*")
+    return keyed.join(first, list(key), "left_semi").dropDuplicates(list(key)).drop(*key)

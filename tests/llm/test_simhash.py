@@ -87,6 +87,24 @@ def test_one_of_each(docs, no_docs):
     assert simhash.one_of_each(no_docs).count() == 0
 
 
+def test_one_of_each_component_where_ids_repeat_or_lack(spark, texts):
+    a, b, c = (" ".join(f"{letter}{k}" for k in range(60)) for letter in "abc")
+    rows = [(3, a), (5, a), (5, b), (9, c)]
+    kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in kept) == [(3, a), (5, b), (9, c)]
+    rows = [(None, a), (None, b), (0, b), (None, c), (None, c), (7, None), (7, a), (8, ""), (7, a)] + [(i, t) for i, t in texts if i is not None] * 2
+    kept = simhash.one_of_each(spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, fp string")).collect()
+    prints = [plain_fingerprint(t) for _, t in rows]
+    group = dict(zip(prints, classes([(k, x) for k, x in enumerate(prints)], 4)))
+    assert sorted(group[plain_fingerprint(r["text"])] for r in kept) == sorted(set(group.values()))
+    least = {}
+    for i, t in rows:
+        g = group[plain_fingerprint(t)]
+        least[g] = min(least.get(g, (True, 0)), (i is None, i or 0))
+    assert all(least[group[plain_fingerprint(r["text"])]] == (r["doc_id"] is None, r["doc_id"] or 0) for r in kept)
+    assert {r["text"]: r["doc_id"] for r in kept if r["text"] in (b, c)} == {b: 0, c: None}
+
+
 def test_components_of_a_chain_and_a_star(spark):
     chain = [(k, k + 1) for k in range(30)] + [(100, k) for k in range(101, 140)] + [(7, 7), (140, 100), (100, 140), (None, 3)]
     rows = graph.components(spark.createDataFrame(chain, "a long, b long")).collect()
