@@ -38,6 +38,18 @@ def similarity(left: Column, right: Column) -> Column:
     return ratio(left, right)
 
 
+def best_ratios(text: Column, groups: list[list[str]]) -> Column:
+    """For each group of labels the largest ratio of a text with one of them; null for a null. A batch looks at each text once."""
+
+    @F.pandas_udf("array<double>")
+    def ratios(texts: pd.Series) -> pd.Series:
+        ratio = lambda t, label: difflib.SequenceMatcher(None, t, label).ratio()
+        known = {t: [max(ratio(t, label) for label in own) for own in groups] for t in texts.dropna().unique()}
+        return texts.map(known.get)
+
+    return ratios(text)
+
+
 def nfkc(text: Column) -> Column:
     """Unicode compatibility form, which folds every width variant."""
 

@@ -1,12 +1,14 @@
 """OCR-token jobs: reading order, identity-card fields, property fields, label records.
 
-A token row has page_id, ord (reading position), text, score, x0, y0, x1, y1. Joins between tokens of a
-page always go through (page_id, band): a band is a strip of the page as high as its tallest token, so a
-label meets the tokens near it and not all tokens of its page.
+A token row has page_id, ord (reading position), text, score, x0, y0, x1, y1. Card and property rules work on the page index
+of ``sheets``. ``near_label`` and ``value_tokens`` take pages of any size: they join tokens through (page_id, band), where a band
+is a strip of the page as high as its tallest token, so a label meets the tokens near it and not all tokens of its page.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,11 +17,17 @@ from caseflow.functions.columns import (
     card_address, comparable, compact_label, field_value_ok, first_valid_id, fold_glyphs, grid_box, id_text, let,
     national_id_ok, once, pixel_box, plausible_name,
 )
-from caseflow.functions.udfs import similarity
+from caseflow.functions.udfs import best_ratios
 from caseflow.operators.forms import date_warnings, merge_sources
 from caseflow.operators.ranking import numbered
+from caseflow.operators.sheets import TOKEN, TOKS, first, labelled, near, nearest, per_label, sheets
 
-TOKEN = ["ord", "text", "score", "x0", "y0", "x1", "y1", "cx", "cy", "h"]
+# How far from a label, in token heights, its value may lie, and how distances are weighed.
+LABEL_REACH, RIGHT_SLACK, RIGHT_WEIGHT, BELOW_WEIGHT = 3.5, 1.3, 2, 0.4
+NAME_SLACK = 0.9
+ADDRESS_REACH, ADDRESS_INDENT = 2.6, 0.5
+VALUE_REACH, ROW_SLACK, ROW_GAP, LEAST_GAP, UNDER_REACH, UNDER_INDENT = 6.0, 0.9, 0.3, 6.0, 4, 2
+WIDE_GAP, WIDE_HEIGHTS = 180.0, 10
 
 
 def with_geometry(tokens: DataFrame) -> DataFrame:
@@ -62,23 +70,58 @@ def _has_label(text: Column, labels: list[str]) -> Column:
     return test
 
 
+def _label_distance(a: dict, t: dict) -> Column:
+    """Distance of a token right of a label on its line, or below it within the label's reach; else null."""
+    vertical = F.abs(t["cy"] - a["cy"])
+    right = (vertical <= F.greatest(a["h"], t["h"]) * RIGHT_SLACK) & (t["cx"] >= a["cx"])
+    below = (t["cy"] - a["cy"] > 0) & (t["cy"] - a["cy"] <= a["h"] * LABEL_REACH)
+    return F.when(right, t["cx"] - a["cx"] + vertical * RIGHT_WEIGHT).when(
+        below, t["cy"] - a["cy"] + F.abs(t["cx"] - a["cx"]) * BELOW_WEIGHT
+    )
+
+
+def _of_row(prefix: str = "") -> dict[str, Column]:
+    """The columns of a pair row as the fields of a token."""
+    return {c: F.col(prefix + c) for c in TOKEN}
+
+
 def near_label(tokens: DataFrame, labels: list[str]) -> DataFrame:
     """Tokens right of a label on its line, or within 3.5 heights below it, with their distance."""
     anchors = tokens.filter(_has_label(F.col("text"), labels))
-    pairs = near_pairs(tokens, anchors, 3.5)
-    vertical = F.abs(F.col("cy") - F.col("a_cy"))
-    right = (vertical <= F.greatest("a_h", "h") * 1.3) & (F.col("cx") >= F.col("a_cx"))
-    below = (F.col("cy") - F.col("a_cy") > 0) & (F.col("cy") - F.col("a_cy") <= F.col("a_h") * 3.5)
-    distance = F.when(right, F.col("cx") - F.col("a_cx") + vertical * 2).when(
-        below, F.col("cy") - F.col("a_cy") + F.abs(F.col("cx") - F.col("a_cx")) * 0.4
-    )
-    return pairs.withColumn("distance", distance).filter("distance IS NOT NULL")
+    pairs = near_pairs(tokens, anchors, LABEL_REACH)
+    return pairs.withColumn("distance", _label_distance(_of_row("a_"), _of_row())).filter("distance IS NOT NULL")
+
+
+# What a token's text says, as bits, so that rules ask a number and not the text again.
+NAME, BIRTH, BIRTH_HEAD, ISSUE, ISSUE_LABEL, HOME, RIVAL = (1 << k for k in range(7))
+
+
+def _card_sheets(tokens: DataFrame, **extra: Column) -> DataFrame:
+    """The page index of cards; each token carries its ``marks``."""
+    text, folded, bare = F.col("text"), F.col("_folded"), F.replace(F.col("_folded"), F.lit(" "), F.lit(""))
+    tests = {
+        NAME: _has_label(text, ["姓名"]), BIRTH: _has_label(text, ["出生日期", "出生"]), BIRTH_HEAD: F.contains(folded, F.lit("出生")),
+        ISSUE: folded.rlike(vocab.ISSUE_MARKER), ISSUE_LABEL: _has_label(text, ["發證日期", "發證"]),
+        HOME: _any_of(bare, ["住址", "地址"]), RIVAL: _any_of(bare, vocab.ADDRESS_NEIGHBOUR_LABELS),
+    }
+    marks = sum((F.when(test, bit).otherwise(0) for bit, test in tests.items()), F.lit(0))
+    marked = tokens.withColumn("_folded", once(fold_glyphs("text"))).withColumn("marks", once(marks)).drop("_folded")
+    return sheets(marked, "marks", **extra)
+
 
+def _has(t: Column, mark: int) -> Column:
+    return t["marks"].bitwiseAND(mark) != 0
 
-def _first_by_distance(pairs: DataFrame, value: Column, name: str) -> DataFrame:
-    """First non-blank value per page in order of distance."""
-    kept = pairs.withColumn("_v", once(value)).filter("_v <> ''")
-    return kept.groupBy("page_id").agg(F.min_by("_v", F.struct("distance", "a_ord", "ord")).alias(name))
+
+def _label_pairs(mark: int, without: int = 0) -> Column:
+    """(distance, a_ord, ord, text) of the tokens near each label of a page."""
+
+    def of(a: Column) -> Column:
+        pair = lambda t: F.struct(_label_distance(a, t).alias("distance"), a["ord"].alias("a_ord"), t["ord"].alias("ord"), t["text"].alias("text"))
+        around = F.filter(near(a, LABEL_REACH), lambda t: ~_has(t, without)) if without else near(a, LABEL_REACH)
+        return F.filter(F.transform(around, pair), lambda p: p["distance"].isNotNull())
+
+    return per_label(labelled(lambda t: _has(t, mark)), of)
 
 
 # Fixed value: shape of a date on a card; letters O stand for zeros.
@@ -96,91 +139,80 @@ def card_date(value: Column) -> Column:
     return let(F.translate(value, "Oo", "00"), checked)
 
 
-def is_issue(text: Column) -> Column:
-    return fold_glyphs(text).rlike(vocab.ISSUE_MARKER)
+def _page_text(separator: str, spell=lambda t: t["text"]) -> Column:
+    """Texts of a page in reading order as one string."""
+    return F.array_join(F.transform(TOKS, spell), separator)
 
 
-def page_strings(tokens: DataFrame, separator: str = " ") -> DataFrame:
-    """Texts of a page in reading order as one string; a page is one card or sheet, so this stays small."""
-    joined = tokens.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("ord", "text"))).alias("t"))
-    return joined.select("page_id", F.array_join(F.transform("t", lambda x: x["text"]), separator).alias("text"))
+def card_id() -> Column:
+    """Identity number of a sheet: spaced in the joined texts, else anywhere in their compact form."""
 
+    def of(text: Column) -> Column:
+        found = F.regexp_extract_all(id_text(text), F.lit(r"[A-Z][12]\d{8}"), F.lit(0))
+        spaced = let(first_valid_id(text), lambda v: F.when(v != "", v))
+        return F.coalesce(spaced, first(found, lambda c: national_id_ok(c)), F.lit(""))
 
-def card_ids(tokens: DataFrame) -> DataFrame:
-    """Identity number of each page: spaced in the joined texts, else anywhere in their compact form."""
-    joined = page_strings(tokens)
-    compact = F.filter(
-        F.regexp_extract_all(id_text("text"), F.lit(r"[A-Z][12]\d{8}"), F.lit(0)), lambda c: national_id_ok(c)
-    )
-    spaced = let(first_valid_id("text"), lambda v: F.when(v != "", v))
-    return joined.select("page_id", F.coalesce(spaced, F.get(compact, F.lit(0)), F.lit("")).alias("national_id"))
+    return let(_page_text(" "), of)
 
 
 CJK_ONLY = "[^㐀-鿿]"
 
 
-def card_names(tokens: DataFrame) -> DataFrame:
-    """Name of each page: the label's rest and the tokens right of it, longest plausible 4 to 2 characters;
+def card_name() -> Column:
+    """Name of a sheet: the label's rest and the tokens right of it, longest plausible 4 to 2 characters;
     else the nearest plausible token."""
-    labels = ["姓名"]
-    anchors = tokens.filter(_has_label(F.col("text"), labels))
-    pairs = near_pairs(tokens, anchors, 3.5)
-    right = pairs.filter((F.col("cx") > F.col("a_cx")) & (F.abs(F.col("cy") - F.col("a_cy")) <= F.greatest("a_h", "h") * 0.9))
-    row = right.groupBy("page_id", F.col("a_ord").alias("ord")).agg(
-        F.sort_array(F.collect_list(F.struct("cx", "ord", F.regexp_replace("text", CJK_ONLY, "").alias("t")))).alias("_row")
-    )
-    suffix = F.regexp_replace(F.regexp_replace(F.replace(F.col("text"), F.lit(" "), F.lit("")), "^.*?姓名[:：]?", ""), CJK_ONLY, "")
-    spelled = F.concat(suffix, F.coalesce(F.array_join(F.transform("_row", lambda r: r["t"]), ""), F.lit("")))
     checked = lambda v: F.when(plausible_name(v, vocab.NAME_EXCLUSIONS_TOKENS), v)
-    longest = lambda s: F.coalesce(
-        *[F.when(F.length(s) >= n, checked(F.substring(s, 1, n))) for n in (4, 3, 2)]
-    )
-    by_label = (
-        anchors.join(row, ["page_id", "ord"], "left")
-        .withColumn("_v", once(let(spelled, longest)))
-        .groupBy("page_id")
-        .agg(F.min_by("_v", F.when(F.col("_v").isNotNull(), F.col("ord"))).alias("_by_label"))
-    )
-    nearby = let(F.substring(F.regexp_replace("text", CJK_ONLY, ""), 1, 4), lambda v: F.coalesce(checked(v), F.lit("")))
-    nearest = _first_by_distance(near_label(tokens, labels), nearby, "_nearest")
-    pages = tokens.select("page_id").distinct()
-    return pages.join(by_label, "page_id", "left").join(nearest, "page_id", "left").select(
-        "page_id", F.coalesce("_by_label", "_nearest", F.lit("")).alias("name")
-    )
+    longest = lambda s: F.coalesce(*[F.when(F.length(s) >= n, checked(F.substring(s, 1, n))) for n in (4, 3, 2)])
 
+    def spelled(a: Column) -> Column:
+        right = F.filter(
+            near(a, LABEL_REACH), lambda t: (t["cx"] > a["cx"]) & (F.abs(t["cy"] - a["cy"]) <= F.greatest(a["h"], t["h"]) * NAME_SLACK)
+        )
+        row = F.sort_array(F.transform(right, lambda t: F.struct(t["cx"].alias("cx"), t["ord"].alias("ord"), t["text"].alias("text"))))
+        rest = F.regexp_replace(F.replace(a["text"], F.lit(" "), F.lit("")), "^.*?姓名[:：]?", "")
+        parts = F.concat(F.array(rest), F.transform(row, lambda t: t["text"]))
+        return let(F.array_join(F.transform(parts, lambda x: F.regexp_replace(x, CJK_ONLY, "")), ""), longest)
 
-def card_birth_dates(tokens: DataFrame) -> DataFrame:
+    by_label = first(F.transform(labelled(lambda t: _has(t, NAME)), spelled), lambda v: v.isNotNull())
+    nearby = lambda x: let(F.substring(F.regexp_replace(x, CJK_ONLY, ""), 1, 4), lambda v: F.coalesce(checked(v), F.lit("")))
+    return F.coalesce(by_label, nearest(_label_pairs(NAME), nearby), F.lit(""))
+
+
+def card_birth_date() -> Column:
     """Birth date: nearest date to the label, issue-date tokens left out; else the label's next tokens."""
-    pairs = near_label(tokens, ["出生日期", "出生"]).filter(~is_issue(F.col("text")))
-    nearest = _first_by_distance(pairs, card_date(F.col("text")), "_nearest")
-    # A label and its next four tokens in reading order, joined by position.
-    heads = tokens.filter(F.contains(fold_glyphs("text"), F.lit("出生"))).select(
-        "page_id", F.col("ord").alias("head"), F.explode(F.sequence(F.col("ord"), F.col("ord") + 4)).alias("ord")
-    )
-    window = (
-        heads.join(tokens.select("page_id", "ord", "text"), ["page_id", "ord"])
-        .filter(~is_issue(F.col("text")))
-        .groupBy("page_id", "head")
-        .agg(F.sort_array(F.collect_list(F.struct("ord", "text"))).alias("t"))
-    )
-    dated = window.withColumn("_v", once(card_date(F.array_join(F.transform("t", lambda x: x["text"]), " ")))).filter("_v <> ''")
-    fallback = dated.groupBy("page_id").agg(F.min_by("_v", "head").alias("_window"))
-    pages = tokens.select("page_id").distinct()
-    return pages.join(nearest, "page_id", "left").join(fallback, "page_id", "left").select(
-        "page_id", F.coalesce("_nearest", "_window", F.lit("")).alias("birth_date")
-    )
+    pairs = _label_pairs(BIRTH, without=ISSUE)
 
+    def window(head: Column) -> Column:
+        # A label and its next four tokens in reading order, joined by position.
+        following = F.filter(TOKS, lambda t: (t["ord"] >= head["ord"]) & (t["ord"] <= head["ord"] + 4) & ~_has(t, ISSUE))
+        return card_date(F.array_join(F.transform(following, lambda t: t["text"]), " "))
 
-def card_issue_dates(tokens: DataFrame) -> DataFrame:
+    heads = labelled(lambda t: _has(t, BIRTH_HEAD))
+    return F.coalesce(nearest(pairs, card_date), first(F.transform(heads, window), lambda v: v != ""), F.lit(""))
+
+
+def card_issue_date() -> Column:
     """Issue date: the first marked token that holds a date, else the nearest date to the label."""
-    value = card_date(fold_glyphs("text"))
-    marked = tokens.filter(is_issue(F.col("text"))).withColumn("_v", once(value)).filter("_v <> ''")
-    own = marked.groupBy("page_id").agg(F.min_by("_v", "ord").alias("_own"))
-    nearest = _first_by_distance(near_label(tokens, ["發證日期", "發證"]), value, "_nearest")
-    pages = tokens.select("page_id").distinct()
-    return pages.join(own, "page_id", "left").join(nearest, "page_id", "left").select(
-        "page_id", F.coalesce("_own", "_nearest", F.lit("")).alias("issue_date")
-    )
+    value = lambda text: card_date(fold_glyphs(text))
+    marked = F.transform(labelled(lambda t: _has(t, ISSUE)), lambda t: value(t["text"]))
+    return F.coalesce(first(marked, lambda v: v != ""), nearest(_label_pairs(ISSUE_LABEL), value), F.lit(""))
+
+
+def card_ids(tokens: DataFrame) -> DataFrame:
+    """Identity number of each page; '' where there is none, as with every card field."""
+    return _card_sheets(tokens).select("page_id", card_id().alias("national_id"))
+
+
+def card_names(tokens: DataFrame) -> DataFrame:
+    return _card_sheets(tokens).select("page_id", card_name().alias("name"))
+
+
+def card_birth_dates(tokens: DataFrame) -> DataFrame:
+    return _card_sheets(tokens).select("page_id", card_birth_date().alias("birth_date"))
+
+
+def card_issue_dates(tokens: DataFrame) -> DataFrame:
+    return _card_sheets(tokens).select("page_id", card_issue_date().alias("issue_date"))
 
 
 # Characters and labels that bound an address on a card.
@@ -213,63 +245,58 @@ def _rows_as_text(tokens: Column) -> Column:
     )
 
 
-def card_addresses(tokens: DataFrame) -> DataFrame:
-    """Address of each page from the lines around a 住址 label, leaving out lines that a rival label owns."""
-    folded = tokens.withColumn("_folded", F.replace(fold_glyphs("text"), F.lit(" "), F.lit("")))
-    is_label = F.contains("_folded", F.lit("住址")) | F.contains("_folded", F.lit("地址"))
-    labels = folded.filter(is_label)
-    pairs = near_pairs(tokens, labels.select("page_id", *TOKEN, F.col("_folded").alias("a_folded")), 3.5)
-    compact = _trim_foreign(F.replace(fold_glyphs("text"), F.lit(" "), F.lit("")))
-    picked = (
-        pairs.withColumn("compact", once(compact))
-        .filter(F.abs(F.col("cy") - F.col("a_cy")) <= F.col("a_h") * 2.6)
-        .filter(F.col("x0") >= F.col("a_x0") - F.col("a_h") * 0.5)
-        .filter(
-            (F.col("compact") != "") & ~F.col("compact").rlike(r"^\d{8,}$") & ~F.col("compact").rlike("省")
-            & F.col("compact").rlike(ADDRESS_CHARS)
-        )
-    )
-    rival_test = F.lit(False)
-    for label in vocab.ADDRESS_NEIGHBOUR_LABELS:
-        rival_test = rival_test | F.contains("_folded", F.lit(label))
-    rivals = folded.filter(rival_test).select("page_id", *TOKEN)
-    near_rivals = _rival_pairs(picked, rivals)
-    owned = near_rivals.select("page_id", "a_ord", "ord").distinct()
-    kept = picked.join(owned, ["page_id", "a_ord", "ord"], "left_anti")
-    # The few lines around one label.
-    lines = kept.groupBy("page_id", "a_ord").agg(
-        F.sort_array(F.collect_list(F.struct("y0", "ord", "y1", "h", "cx", "compact"))).alias("_t")
-    ).select("page_id", "a_ord", _rows_as_text(F.col("_t")).alias("value"))
-    suffix = _trim_foreign(F.regexp_replace("_folded", "^.*?(?:住址|地址)[:：]?", ""))
-    whole = labels.select("page_id", F.col("ord").alias("a_ord"), suffix.alias("suffix")).join(lines, ["page_id", "a_ord"], "left")
-    value = whole.withColumn("_v", once(card_address(F.concat("suffix", F.coalesce("value", F.lit(""))))))
-    good = (F.length("_v") >= 8) & F.col("_v").rlike("[縣市鄉鎮區路街巷弄號]")
-    found = value.groupBy("page_id").agg(
-        F.min_by(F.when(good, F.substring("_v", 1, 80)), F.when(good, F.col("a_ord"))).alias("address")
-    )
-    pages = tokens.select("page_id").distinct()
-    return pages.join(found, "page_id", "left").withColumn("address", F.coalesce("address", F.lit("")))
-
-
-def _rival_pairs(picked: DataFrame, rivals: DataFrame) -> DataFrame:
-    """Picked tokens that some rival label lies closer to than their own label."""
-    strip = picked.groupBy("page_id").agg(F.max(F.abs(F.col("cy") - F.col("a_cy"))).alias("_reach"))
-    strip = strip.withColumn("_reach", F.greatest("_reach", F.lit(1.0)))
-    band = lambda y: F.floor(y / F.col("_reach"))
-    near = picked.join(strip, "page_id").withColumn("_band", F.explode(F.sequence(band(F.col("cy")) - 1, band(F.col("cy")) + 1)))
-    other = rivals.join(strip, "page_id").select(
-        "page_id", band(F.col("cy")).alias("_band"), F.col("cy").alias("r_cy"), F.col("ord").alias("r_ord")
-    )
-    return near.join(other, ["page_id", "_band"]).filter(
-        (F.col("r_ord") != F.col("a_ord")) & (F.abs(F.col("cy") - F.col("r_cy")) < F.abs(F.col("cy") - F.col("a_cy")))
-    )
+def card_address_text(most: int | None = None) -> Column:
+    """Address of a sheet from the lines around a 住址 label, leaving out lines that a rival label owns.
+
+    ``most`` cuts the address at so many characters; without it nothing is cut.
+    """
+    folded = lambda text: F.replace(fold_glyphs(text), F.lit(" "), F.lit(""))
+    shown = lambda v: (v != "") & ~v.rlike(r"^\d{8,}$") & ~v.rlike("省") & v.rlike(ADDRESS_CHARS)
+
+    def with_rivals(rivals: Column) -> Column:
+        def spelled(a: Column) -> Column:
+            def owned(t: Column) -> Column:
+                closer = lambda r: (r["ord"] != a["ord"]) & (F.abs(t["cy"] - r["cy"]) < F.abs(t["cy"] - a["cy"]))
+                return F.exists(rivals, closer)
+
+            beside = F.filter(
+                near(a, LABEL_REACH),
+                lambda t: (F.abs(t["cy"] - a["cy"]) <= a["h"] * ADDRESS_REACH) & (t["x0"] >= a["x0"] - a["h"] * ADDRESS_INDENT) & ~owned(t),
+            )
+            line = lambda t: F.struct(*[t[c].alias(c) for c in ("y0", "ord", "y1", "h", "cx")], _trim_foreign(folded(t["text"])).alias("compact"))
+            lines = F.sort_array(F.filter(F.transform(beside, line), lambda t: shown(t["compact"])))
+            suffix = _trim_foreign(F.regexp_replace(folded(a["text"]), "^.*?(?:住址|地址)[:：]?", ""))
+            good = lambda v: F.when((F.length(v) >= 8) & v.rlike("[縣市鄉鎮區路街巷弄號]"), v)
+            return let(card_address(F.concat(suffix, _rows_as_text(lines))), good)
+
+        labels = labelled(lambda t: _has(t, HOME))
+        return first(F.transform(labels, spelled), lambda v: v.isNotNull())
+
+    value = let(labelled(lambda t: _has(t, RIVAL)), with_rivals)
+    return F.coalesce(value if most is None else F.substring(value, 1, most), F.lit(""))
+
+
+def _any_of(text: Column, words: list[str]) -> Column:
+    test = F.lit(False)
+    for word in words:
+        test = test | F.contains(text, F.lit(word))
+    return test
+
+
+def card_addresses(tokens: DataFrame, most: int | None = None) -> DataFrame:
+    return _card_sheets(tokens).select("page_id", card_address_text(most).alias("address"))
+
+
+def _side_hits(front: list[str] = vocab.FRONT_WORDS, back: list[str] = vocab.BACK_WORDS) -> Column:
+    """(front, back): keyword hits of a sheet's whole text for either side."""
+    count = lambda text, words: sum((F.contains(text, F.lit(w)).cast("int") for w in words), F.lit(0))
+    text = _page_text("", lambda t: F.replace(t["text"], F.lit(" "), F.lit("")))
+    return let(text, lambda v: F.struct(count(v, front).alias("front"), count(v, back).alias("back")))
 
 
 def side_scores(tokens: DataFrame, front: list[str] = vocab.FRONT_WORDS, back: list[str] = vocab.BACK_WORDS) -> DataFrame:
-    """Keyword hits of each page's whole text for either side."""
-    text = page_strings(tokens.withColumn("text", F.replace(F.col("text"), F.lit(" "), F.lit(""))), "")
-    hits = lambda words: sum((F.contains("text", F.lit(w)).cast("int") for w in words), F.lit(0))
-    return text.select("page_id", hits(front).alias("front_hits"), hits(back).alias("back_hits"))
+    hits = sheets(tokens).select("page_id", _side_hits(front, back).alias("_h"))
+    return hits.select("page_id", F.col("_h.front").alias("front_hits"), F.col("_h.back").alias("back_hits"))
 
 
 def side_of(front: Column, back: Column) -> Column:
@@ -281,11 +308,11 @@ def card_records(tokens: DataFrame, cards: DataFrame) -> DataFrame:
 
     ``cards`` has page_id, requested_side ('front', 'back' or 'auto') and barcode_id ('' without one).
     """
-    placed = with_geometry(tokens)
-    confidence = tokens.groupBy("page_id").agg(F.round(F.avg("score"), 4).alias("confidence"))
-    joined = cards.join(confidence, "page_id", "left").join(side_scores(placed), "page_id", "left")
-    for part in (card_ids(placed), card_names(placed), card_birth_dates(placed), card_issue_dates(placed), card_addresses(placed)):
-        joined = joined.join(part, "page_id", "left")
+    pages = _card_sheets(with_geometry(tokens), confidence=F.round(F.avg("score"), 4)).select(
+        "page_id", "confidence", _side_hits().alias("_h"), card_id().alias("national_id"), card_name().alias("name"),
+        card_birth_date().alias("birth_date"), card_issue_date().alias("issue_date"), card_address_text().alias("address"),
+    )
+    joined = cards.join(pages.withColumns({"front_hits": F.col("_h.front"), "back_hits": F.col("_h.back")}).drop("_h"), "page_id", "left")
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
     barcode = F.when(F.col("requested_side") == "front", "").otherwise(text("barcode_id"))
     final_id = F.when(barcode != "", barcode).otherwise(text("national_id"))
@@ -334,52 +361,96 @@ def file_cards(cards: DataFrame, as_of, requested: str = "combined") -> DataFram
 # ---- property fields -------------------------------------------------------------------------------------------
 
 
-LABEL_COPIES = 16
+def _with_hits(tokens: DataFrame, labels: dict[str, list[str]]) -> DataFrame:
+    """``tokens`` with ``hits``: (field, match_score) of every field that a token's text is a label of.
+
+    Containment is decided in the JVM; only texts that can still reach the least score go to Python for the difflib ratio.
+    """
+    bare = {f: [re.sub(r"[\s:：|]", "", label) for label in ls] for f, ls in labels.items()}
+    text, a = F.col("_bare"), F.length("_bare")
+    contained = {f: _any_of(text, ls) for f, ls in bare.items()}
+
+    def reachable(label: str) -> Column:
+        # A ratio is 2M / (a + b); M is at most either length and the text's characters that the label has at all.
+        shared = a - F.length(F.translate(text, label, ""))
+        return 2 * F.least(shared, F.lit(len(label))) >= (a + len(label)) * vocab.LABEL_MATCH_MINIMUM
+
+    asked = F.lit(False)
+    for field, own in bare.items():
+        for label in own:
+            asked = asked | (~contained[field] & reachable(label))
+    ratios = best_ratios(F.when(asked, text), list(bare.values()))
+    spelled = tokens.withColumn("_bare", once(compact_label("text"))).withColumn("_ratios", once(ratios))
+
+    def hit(field: str, k: int) -> Column:
+        score = F.when(contained[field], 1.0).otherwise(F.get("_ratios", F.lit(k)))
+        return F.when(score >= vocab.LABEL_MATCH_MINIMUM, F.struct(F.lit(field).alias("field"), score.alias("match_score")))
+
+    return spelled.withColumn("hits", F.array_compact(F.array(*[hit(field, k) for k, field in enumerate(bare)]))).drop("_bare", "_ratios")
+
+
+def _best_labels(labels: dict[str, list[str]]) -> Column:
+    """(match_score, score, back, field, l) of the best label token of each field of a sheet: by match, OCR score, position."""
+
+    def best(field: str) -> Column:
+        own = lambda t: first(t["hits"], lambda h: h["field"] == field)["match_score"]
+        ranked = lambda t: F.struct(own(t).alias("match_score"), t["score"].alias("score"), (-t["ord"]).alias("back"), F.lit(field).alias("field"), t.alias("l"))
+        return F.array_max(F.filter(F.transform(TOKS, ranked), lambda r: r["match_score"].isNotNull()))
+
+    return F.array_compact(F.array(*[best(field) for field in labels]))
+
+
+def _property_sheets(tokens: DataFrame, labels: dict[str, list[str]]) -> DataFrame:
+    return sheets(_with_hits(tokens, labels), "hits")
 
 
 def find_labels(tokens: DataFrame, labels: dict[str, list[str]] = vocab.FIELD_LABELS) -> DataFrame:
-    """Best label token per page and field by match score, then by OCR score, then by position.
+    """Best label token per page and field by match score, then by OCR score, then by position."""
+    found = _property_sheets(tokens, labels).select("page_id", F.inline(_best_labels(labels)))
+    return found.select("page_id", "field", "match_score", *[F.col(f"l.{c}").alias(c) for c in TOKEN])
 
-    Containment is decided in the JVM; only the other distinct texts go through the difflib ratio, once each.
-    """
-    fields = F.explode(
-        F.array(*[F.struct(F.lit(f).alias("field"), F.lit(label).alias("label")) for f, ls in labels.items() for label in ls])
-    )
-    texts = tokens.select("text").distinct().withColumn("_l", fields).select("text", "_l.*")
-    compact = texts.withColumn("_t", compact_label("text")).withColumn("_e", compact_label("label"))
-    # A ratio is 2M / (a + b); M is at most either length and the text's characters that the label has at all.
-    # Texts that cannot reach the minimum never go to Python.
-    a, b = F.length("_t"), F.length("_e")
-    contained = F.contains("_t", F.col("_e"))
-    shared = a - F.length(F.expr("translate(_t, _e, '')"))
-    reachable = 2 * F.least(shared, b) >= (a + b) * vocab.LABEL_MATCH_MINIMUM
-    exact = compact.filter(contained).select("text", "field", F.lit(1.0).alias("match_score"))
-    fuzzy = compact.filter(~contained & reachable).select("text", "field", once(similarity(F.col("_t"), F.col("_e"))).alias("match_score"))
-    scored = (
-        exact.unionByName(fuzzy).filter(F.col("match_score") >= vocab.LABEL_MATCH_MINIMUM)
-        .groupBy("text", "field").agg(F.max("match_score").alias("match_score"))
-    )
-    # Every page has the same printed labels: their few scores are repeated per salt, the tokens are dealt over the salts.
-    salted = scored.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(LABEL_COPIES - 1))))
-    dealt = tokens.withColumn("_salt", F.pmod(F.xxhash64("page_id", "ord"), F.lit(LABEL_COPIES)).cast("int"))
-    hits = dealt.join(salted, ["text", "_salt"]).drop("_salt")
-    best = hits.groupBy("page_id", "field").agg(
-        F.max_by(F.struct("match_score", *TOKEN), F.struct("match_score", "score", -F.col("ord"))).alias("l")
+
+def _in_row(a: dict, t: dict) -> Column:
+    return (F.abs(a["cy"] - t["cy"]) <= F.greatest(a["h"], t["h"]) * ROW_SLACK) & (
+        t["x0"] >= a["x1"] - F.greatest(F.lit(LEAST_GAP), a["h"] * ROW_GAP)
     )
-    return best.select("page_id", "field", "l.*")
+
+
+def _under(a: dict, t: dict) -> Column:
+    return (t["cy"] > a["y1"]) & (t["cy"] <= a["y1"] + a["h"] * UNDER_REACH) & (t["x0"] >= a["x0"] - a["h"] * UNDER_INDENT)
+
+
+def _value_line(a: Column) -> Column:
+    """(x0, ord, t) of the tokens that spell a label's value: right of it on its row, else the first row below it, left to
+    right up to the first wide gap."""
+    where = lambda t: F.struct(F.when(_in_row(a, t), 0).when(_under(a, t), 1).alias("side"), t.alias("t"))
+    item = lambda p: F.struct(p["t"]["x0"].alias("x0"), p["t"]["ord"].alias("ord"), p["t"].alias("t"))
+
+    def row(placed: Column) -> Column:
+        use = F.array_min(F.transform(placed, lambda p: p["side"]))
+        top = F.array_min(F.transform(F.filter(placed, lambda p: p["side"] == 1), lambda p: p["t"]["cy"]))
+
+        def chosen(u: Column) -> Column:
+            level = lambda p: (u["use"] == 0) | (F.abs(p["t"]["cy"] - u["top"]) <= F.greatest(p["t"]["h"], a["h"]))
+            return F.sort_array(F.transform(F.filter(placed, lambda p: (p["side"] == u["use"]) & level(p)), item))
+
+        return let(F.struct(use.alias("use"), top.alias("top")), chosen)
+
+    def up_to_gap(line: Column) -> Column:
+        wide = lambda i: F.get(line, i)["x0"] - F.get(line, i - 1)["t"]["x1"] > F.greatest(F.lit(WIDE_GAP), a["h"] * WIDE_HEIGHTS)
+        gaps = F.filter(F.transform(line, lambda _, i: F.when((i > 0) & wide(i), i)), lambda g: g.isNotNull())
+        return F.slice(line, F.lit(1), F.coalesce(F.get(gaps, F.lit(0)), F.size(line)))
+
+    placed = F.filter(F.transform(near(a, VALUE_REACH), where), lambda p: p["side"].isNotNull())
+    return let(let(placed, row), up_to_gap)
 
 
 def value_tokens(tokens: DataFrame, labels: DataFrame) -> DataFrame:
     """Tokens that spell the value of each label: right of it on its row, else the first row below it,
     left to right up to the first wide gap."""
     anchors = labels.select("page_id", "field", "match_score", *TOKEN)
-    pairs = near_pairs(tokens, anchors, 6.0)
-    in_row = (F.abs(F.col("a_cy") - F.col("cy")) <= F.greatest("a_h", "h") * 0.9) & (
-        F.col("x0") >= F.col("a_x1") - F.greatest(F.lit(6.0), F.col("a_h") * 0.3)
-    )
-    under = (F.col("cy") > F.col("a_y1")) & (F.col("cy") <= F.col("a_y1") + F.col("a_h") * 4) & (
-        F.col("x0") >= F.col("a_x0") - F.col("a_h") * 2
-    )
+    pairs = near_pairs(tokens, anchors, VALUE_REACH)
+    in_row, under = _in_row(_of_row("a_"), _of_row()), _under(_of_row("a_"), _of_row())
     placed = pairs.withColumn("_where", F.when(in_row, 0).when(under, 1)).filter("_where IS NOT NULL")
     line = placed.groupBy("page_id", "field").agg(
         F.min("_where").alias("_use"), F.min(F.when(F.col("_where") == 1, F.col("cy"))).alias("_first_y")
@@ -390,7 +461,7 @@ def value_tokens(tokens: DataFrame, labels: DataFrame) -> DataFrame:
     )
     # One line of text beside one label.
     row = Window.partitionBy("page_id", "field").orderBy("x0", "ord")
-    wide = F.col("x0") - F.lag("x1").over(row) > F.greatest(F.lit(180.0), F.col("a_h") * 10)
+    wide = F.col("x0") - F.lag("x1").over(row) > F.greatest(F.lit(WIDE_GAP), F.col("a_h") * WIDE_HEIGHTS)
     gaps = chosen.withColumn("_gap", F.coalesce(wide, F.lit(False)).cast("int"))
     cut = F.max("_gap").over(row.rowsBetween(Window.unboundedPreceding, 0))
     return gaps.withColumn("_cut", cut).filter("_cut = 0").select(
@@ -400,15 +471,19 @@ def value_tokens(tokens: DataFrame, labels: DataFrame) -> DataFrame:
 
 def property_fields(tokens: DataFrame, labels: dict[str, list[str]] = vocab.FIELD_LABELS, value_ok=field_value_ok) -> DataFrame:
     """Field values per page with label and value boxes, mean confidence and label match score."""
-    placed = with_geometry(tokens)
-    values = value_tokens(placed, find_labels(placed, labels)).groupBy("page_id", "field").agg(
-        F.sort_array(F.collect_list(F.struct("x0", "ord", "text"))).alias("_t"),
-        F.round(F.avg("score"), 4).alias("ocr_confidence"),
-        F.round(F.max("match_score"), 4).alias("label_match_score"),
-        F.array(F.min("x0"), F.min("y0"), F.max("x1"), F.max("y1")).alias("value_box"),
-        F.array(*[F.first(f"a_{c}") for c in ("x0", "y0", "x1", "y1")]).alias("label_box"),
+    line = lambda a: F.struct(a["field"].alias("field"), a["match_score"].alias("match_score"), a["l"].alias("l"), _value_line(a["l"]).alias("line"))
+    found = _property_sheets(with_geometry(tokens), labels).select("page_id", F.inline(F.transform(_best_labels(labels), line)))
+    every = lambda c: F.transform("line", lambda p: p["t"][c])
+    mean = F.aggregate(F.filter(every("score"), lambda v: v.isNotNull()), F.lit(0.0), lambda s, v: s + v) / F.size(
+        F.filter(every("score"), lambda v: v.isNotNull())
+    )
+    spelled = found.filter(F.size("line") > 0).select(
+        "page_id", "field",
+        F.round(mean, 4).alias("ocr_confidence"), F.round("match_score", 4).alias("label_match_score"),
+        F.array(F.array_min(every("x0")), F.array_min(every("y0")), F.array_max(every("x1")), F.array_max(every("y1"))).alias("value_box"),
+        F.array(*[F.col(f"l.{c}") for c in ("x0", "y0", "x1", "y1")]).alias("label_box"),
+        F.array_join(every("text"), "").alias("value_text"),
     )
-    spelled = values.withColumn("value_text", F.array_join(F.transform("_t", lambda t: t["text"]), "")).drop("_t")
     return spelled.filter(value_ok(F.col("field"), F.col("value_text"))).withColumn("value", compact_label("value_text"))
 
 

@@ -105,11 +105,9 @@ def _tokens(t, rows, source, key):
         *[F.struct(text.alias("text"), *[box(v).alias(n) for n, v in zip(("x0", "y0", "x1", "y1"), b)]) for text, *b in rows]
     )
     sheets = source.select(key.cast("string").alias("page_id"), F.posexplode(cells).alias("ord", "c"))
-    rows = sheets.select(
+    return sheets.select(
         "page_id", F.col("ord").cast("long").alias("ord"), "c.text", (0.8 + F.col("ord") % 4 / 20).alias("score"), "c.x0", "c.y0", "c.x1", "c.y1"
     ).filter("text <> ''")
-    # The jobs read a token table many times: the first to run keeps it, what is lost with an executor is made again.
-    return rows.persist()
 
 
 def _card_tokens(t):
@@ -208,14 +206,14 @@ CARD_RECORDS = f"""{CARDS},
       CASE WHEN barcode <> '' THEN 'barcode' WHEN national_id <> '' THEN 'ocr' ELSE '' END AS national_id_source,
       barcode <> '' AND national_id <> '' AND barcode <> national_id AS national_id_mismatch,
       CASE WHEN side <> 'back' THEN birth_date ELSE '' END AS birth_date, CASE WHEN side <> 'back' THEN issue_date ELSE '' END AS issue_date,
-      CASE WHEN side <> 'front' THEN address ELSE '' END AS address FROM r)"""
+      CASE WHEN side <> 'front' THEN address ELSE '' END AS address, CASE id % 5 WHEN 0 THEN 0.875::DOUBLE ELSE 0.8767 END AS confidence FROM r)"""
 
 
 @query("j6_card_records", f"""
   WITH {CARD_RECORDS}
-  SELECT page_id, side, name, national_id, national_id_source, national_id_mismatch, birth_date, issue_date, address FROM records""")
+  SELECT page_id, side, name, national_id, national_id_source, national_id_mismatch, birth_date, issue_date, address, confidence FROM records""")
 def _(t):
-    return _card_records(t).drop("confidence")
+    return _card_records(t)
 
 
 @query("j6_file_cards", f"""

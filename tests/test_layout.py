@@ -116,3 +116,31 @@ def test_region_rule(spark):
     table = tokens(spark, [("top", (0, 100, 10, 120)), ("bottom", (0, 900, 10, 920))])
     pages = spark.createDataFrame([("p0", "house_tax")], "page_id string, category string")
     assert [r["text"] for r in layout.keep_region(table, pages).collect()] == ["top"]
+
+
+def test_large_pages_are_searched_as_small_ones_are_scanned(spark, monkeypatch):
+    from caseflow.operators import sheets
+
+    words = ["姓名", "王小明", "出生", "民國80年5月6日", "發證日期", "115/1/9", "住址", "臺北市中正區", "測試路一段12號", "x"]
+    pages = [[(random.Random(s * 100 + i).choice(words), box) for i, (_, box) in enumerate(random_sheet(s, 120))] for s in range(6)]
+    table = tokens(spark, *pages)
+    rules = (layout.card_names, layout.card_birth_dates, layout.card_issue_dates, layout.card_addresses)
+    searched = [sorted(map(tuple, rule(table).collect())) for rule in rules]
+    monkeypatch.setattr(sheets, "FEW", 1000)
+    assert searched == [sorted(map(tuple, rule(table).collect())) for rule in rules]
+    assert all(any(value for _, value in found) for found in searched)
+
+
+def test_plan_of_the_card_rules_has_one_exchange_of_tokens(spark):
+    table = tokens(spark, random_sheet(1)).select(*SCHEMA.replace(" string", "").replace(" long", "").replace(" double", "").split(", "))
+    cards = spark.createDataFrame([("p0", "auto", "")], "page_id string, requested_side string, barcode_id string").hint("merge")
+    plan = layout.card_records(table, cards)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2  # the tokens and the cards
+    plan = layout.property_fields(table)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_address_limit_is_the_callers(spark):
+    long = [("住址", (0, 50, 40, 70)), ("臺北市中正區" + "測試路一段" * 30 + "12號", (60, 50, 900, 70))]
+    full, cut = (by_page(layout.card_addresses(tokens(spark, long), most=most), "address")[0] for most in (None, 80))
+    assert len(full) == 159 and cut == full[:80]
