@@ -64,15 +64,42 @@ def search_score(needle: Column) -> Column:
     )
 
 
-def search_catalogue(catalogue: DataFrame, queries: list[str], k: int = 20) -> DataFrame:
-    """Best k catalogue rows for each query text, in one pass over the catalogue."""
-    needle = F.regexp_replace(F.upper("query"), r"[\s　]+", "")
-    scored = (
-        catalogue.withColumn("query", F.explode(F.array(*map(F.lit, queries))))
-        .withColumn("score", search_score(needle))
-        .filter(F.col("score").isNotNull())
+def _grams(text: Column, n: Column | int) -> Column:
+    """Distinct substrings of exactly ``n`` characters."""
+    starts = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
+    return F.array_distinct(F.filter(F.transform(starts, lambda i: F.substr(text, i, F.lit(n))), lambda g: F.length(g) == n))
+
+
+def gram_index(catalogue: DataFrame, gram: int = 3) -> DataFrame:
+    """(_gram, code, name, category_name): every piece of up to ``gram`` characters of a row's three texts."""
+    texts = [F.coalesce(F.col(c), F.lit("")) for c in ("code", "name", "category_name")]
+    pieces = F.array_distinct(F.concat(*[_grams(text, n) for text in texts for n in range(1, gram + 1)]))
+    return catalogue.select(F.explode(pieces).alias("_gram"), "code", "name", "category_name")
+
+
+def search_catalogue(catalogue: DataFrame, queries: DataFrame | list[str], k: int = 20, gram: int = 3) -> DataFrame:
+    """Best ``k`` catalogue rows for each distinct ``query`` text of a table (or list) of any size.
+
+    A query meets the rows that hold its rarest piece of ``gram`` characters (a shorter query the rows that hold it) and is then
+    scored. A blank query gives the first rows by code. Rows of a common piece are dealt over salts.
+    """
+    if isinstance(queries, list):
+        queries = catalogue.sparkSession.createDataFrame([(q,) for q in queries], "query string")
+    asked = queries.select("query").distinct().withColumn("_needle", F.regexp_replace(F.upper("query"), r"[\s　]+", ""))
+    index = gram_index(catalogue, gram)
+    blank = catalogue.orderBy("code").limit(k).select(F.lit("").alias("_gram"), "code", "name", "category_name")
+    needle = F.col("_needle")
+    pieces = F.when(needle == "", F.array(F.lit(""))).otherwise(_grams(needle, F.least(F.lit(gram), F.length(needle))))
+    offered = asked.select("_needle").distinct().select("_needle", F.explode(pieces).alias("_gram"))
+    counts = index.groupBy("_gram").agg(F.count(F.lit(1)).alias("_rows"))
+    rarest = offered.join(counts, "_gram", "left").groupBy("_needle").agg(
+        F.min_by("_gram", F.struct(F.coalesce("_rows", F.lit(0)), "_gram")).alias("_gram")
     )
-    return top_rows(scored, ["query"], [F.col("score"), F.col("code")], k, "place")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(KEY_COPIES - 1)))
+    dealt = index.unionByName(blank).withColumn("_salt", F.pmod(F.xxhash64("code"), F.lit(KEY_COPIES)).cast("int"))
+    met = rarest.withColumn("_salt", salts).join(dealt, ["_gram", "_salt"]).withColumn("score", search_score(needle))
+    best = top_rows(met.filter(F.col("score").isNotNull()), ["_needle"], [F.col("score"), F.col("code")], k, "place")
+    return asked.join(best, "_needle").select("query", "code", "name", "category_name", "score", "place")
 
 
 def bureau_dimension(spark) -> DataFrame:

@@ -283,6 +283,25 @@ def _(t):
     return found.select("query", "code", "name", "score", "place")
 
 
+# Whole codes, their middles, whole names, the words of names and single letters, of every part.
+@query("f4_catalogue_batch", """
+  WITH asked AS (SELECT DISTINCT unnest([code, substr(code, 3, 4), upper(name), lower(category_name), substr(name, 1, 1), ' ' || substr(code, 2) || 'x']) AS query FROM catalogue),
+  q AS (SELECT query, regexp_replace(upper(query), '\\s+', '', 'g') AS needle FROM asked),
+  n AS (SELECT DISTINCT needle FROM q),
+  scored AS (
+    SELECT n.needle, k.code, CASE WHEN needle = '' THEN 0 WHEN k.code = needle THEN 0 WHEN starts_with(k.code, needle) THEN 1
+      WHEN starts_with(k.name, needle) THEN 2 WHEN contains(k.code, needle) THEN 3 WHEN contains(k.name, needle) THEN 4
+      WHEN contains(k.category_name, needle) THEN 5 END AS score
+    FROM catalogue k, n),
+  best AS (SELECT needle, code, score, row_number() OVER (PARTITION BY needle ORDER BY score, code) AS place FROM scored WHERE score IS NOT NULL QUALIFY place <= 20)
+  SELECT query, code, score::INT AS score, place::INT AS place FROM q JOIN best USING (needle)""")
+def _(t):
+    code, name = F.col("code"), F.col("name")
+    texts = [code, F.substring(code, 3, 4), F.upper(name), F.lower("category_name"), F.substring(name, 1, 1), F.concat(F.lit(" "), F.substr(code, F.lit(2)), F.lit("x"))]
+    queries = t.catalogue.select(F.explode(F.array(*texts)).alias("query"))
+    return dims.search_catalogue(t.catalogue, queries, 20).select("query", "code", "score", "place")
+
+
 
 @query("h7_address_forms", f"""
   WITH a AS (SELECT c_custkey AS id, '406 ' || replace({address_sql('c_custkey')}, '臺', '台') AS raw FROM customer)
