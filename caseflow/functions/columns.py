@@ -46,8 +46,15 @@ def first_filled(*values) -> Column:
     return F.coalesce(*[filled(v) for v in values], F.lit(""))
 
 
-def clean_text(value, length: int = 500) -> Column:
-    return F.substring(F.coalesce(F.trim(col(value)), F.lit("")), 1, length)
+def clean_text(value, length: int | None = None) -> Column:
+    """Trimmed text, '' for null; cut at ``length`` characters only where one is given."""
+    text = F.coalesce(F.trim(col(value)), F.lit(""))
+    return text if length is None else F.substring(text, 1, length)
+
+
+def text_cut(value, length: int | None) -> Column:
+    """Whether ``clean_text`` with this length drops anything."""
+    return F.lit(False) if length is None else F.coalesce(F.length(F.trim(col(value))) > length, F.lit(False))
 
 
 def days_between(start: Column, end: Column) -> Column:
@@ -310,9 +317,17 @@ def stored_map(value) -> Column:
     return F.coalesce(F.from_json(col(value), "map<string,string>"), F.create_map().cast("map<string,string>"))
 
 
-def clean_strings(values, items: int = 200, length: int = 300) -> Column:
-    kept = F.transform(F.slice(col(values), 1, items), lambda v: clean_text(v, length))
-    return F.filter(kept, lambda v: v != "")
+def clean_strings(values, items: int | None = None, length: int | None = None) -> Column:
+    """Cleaned texts without blank ones; only the first ``items`` and their first ``length`` characters where such are given."""
+    kept = col(values) if items is None else F.slice(col(values), 1, items)
+    return F.filter(F.transform(kept, lambda v: clean_text(v, length)), lambda v: v != "")
+
+
+def strings_cut(values, items: int | None = None, length: int | None = None) -> Column:
+    """Whether ``clean_strings`` with these limits drops anything but blanks."""
+    more = F.lit(False) if items is None else F.exists(F.slice(col(values), items + 1, 2**31 - 1), lambda v: clean_text(v) != "")
+    kept = col(values) if items is None else F.slice(col(values), 1, items)
+    return F.coalesce(more | F.exists(kept, lambda v: text_cut(v, length)), F.lit(False))
 
 
 def grid_box(box: Column, width, height) -> Column:

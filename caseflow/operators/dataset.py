@@ -155,10 +155,14 @@ def _with_numbers(rows: DataFrame, name: str, copy: Column, moved: Column) -> Da
     return rows.withColumn("unique_name", F.when(copy == 0, F.col(name)).otherwise(numbered_name)).drop(*extra)
 
 
-def agreement_report(compared: DataFrame, category: str = "category") -> DataFrame:
-    """Matched and baseline fields with their guarded ratio, by category and over all ('all')."""
+def agreement_report(compared: DataFrame, category: str = "category", expected: str | None = None) -> DataFrame:
+    """Matched and baseline fields with their guarded ratio, by category and over all ('all').
+
+    ``expected`` names a boolean column that says which rows the baseline has; without it all rows are the baseline's.
+    """
+    own = F.lit(True) if expected is None else F.coalesce(F.col(expected), F.lit(False))
     rolled = compared.rollup(category).agg(
-        F.count(F.lit(1)).alias("baseline_fields"), F.count_if("matched").alias("matched_fields"),
+        F.count_if(own).alias("baseline_fields"), F.count_if(own & F.col("matched")).alias("matched_fields"),
         F.grouping_id().alias("_level"),
     )
     ratio = F.round(F.col("matched_fields") / F.greatest(F.col("baseline_fields"), F.lit(1)), 4)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caseflow.functions import vocab
-from caseflow.functions.columns import app_status, col, filled, first_filled, let, once
+from caseflow.functions.columns import app_status, clean_text, col, filled, first_filled, let, once, text_cut
 from caseflow.functions.udfs import match_spans
 from caseflow.operators.ranking import first_row
 
@@ -239,15 +239,20 @@ def link_candidates(pages: DataFrame, pattern: str = LINK_PATTERN, row_tag: str
     return first_row(kept.select("page_id", "k.*"), ["page_id", "link"], [-F.col("score"), F.col("place")])
 
 
-def tax_payload_rows(payloads: DataFrame, key: str) -> DataFrame:
-    """Typed rows of a landed tax response: positional arrays; "N" or nothing means no rows."""
-    rows = F.from_json("payload", "array<array<string>>")
-    item = lambda i, n: F.substring(F.coalesce(F.trim(F.get("r", F.lit(i))), F.lit("")), 1, n)
-    return (
-        payloads.select(key, F.posexplode(rows).alias("row_no", "r"))
-        .select(
-            key, "row_no", item(0, 8).alias("tax_id"), item(1, 200).alias("business_name"), item(2, 30).alias("received_date"),
-            item(3, 100).alias("receipt_no"), item(4, 200).alias("case_type"), item(5, 100).alias("official_status"),
-        )
-        .filter("receipt_no <> '' OR received_date <> '' OR official_status <> ''")
-    )
+# The places of a tax response row, and how long its stored columns are.
+TAX_COLUMNS = {"tax_id": 8, "business_name": 200, "received_date": 30, "receipt_no": 100, "case_type": 200, "official_status": 100}
+
+
+def tax_payload_rows(payloads: DataFrame, key: str, limits: dict[str, int] | None = None) -> DataFrame:
+    """Typed rows of a landed tax response: positional arrays; "N" or nothing means no rows.
+
+    Texts are whole unless ``limits`` (characters by column, such as ``TAX_COLUMNS``) cut them; ``truncated`` tells where they did.
+    """
+    limits = limits or {}
+    rows = payloads.select(key, F.posexplode(F.from_json("payload", "array<array<string>>")).alias("row_no", "r"))
+    item = lambda i: F.get("r", F.lit(i))
+    cut = F.lit(False)
+    for i, name in enumerate(TAX_COLUMNS):
+        cut = cut | text_cut(item(i), limits.get(name))
+    texts = [clean_text(item(i), limits.get(name)).alias(name) for i, name in enumerate(TAX_COLUMNS)]
+    return rows.select(key, "row_no", *texts, cut.alias("truncated")).filter("receipt_no <> '' OR received_date <> '' OR official_status <> ''")

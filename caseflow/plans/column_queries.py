@@ -135,6 +135,38 @@ def _(t):
     )
 
 
+def _long_list(t):
+    """Up to 60 shareholders for a customer, with every field; some lack a key, some are longer than the entry form allows."""
+    k = F.col("c_custkey")
+    said = lambda prefix, i, more="": F.concat(F.lit(f" {prefix}"), k.cast("string"), F.lit("-"), i.cast("string"), F.lit(f"{more} "))
+
+    def person(i):
+        return F.struct(
+            F.when(i % 3 != 0, said("key", i)).alias("key"), said("name", i).alias("name"), F.lit("a123456789").alias("nationalId"),
+            F.format_string("0%d/01/%02d", 80 + i % 20, i % 28 + 1).alias("birthDate"), said("road ", i, ", floor 2").alias("address"),
+            F.when(i % 40 == 39, F.lit("12345678901")).otherwise(F.format_string("%05d", i)).alias("postalCode"), F.format_number(i * 1000, 0).alias("capital"),
+        )
+
+    people = F.transform(F.sequence(F.lit(0), (k % 60).cast("int")), person)
+    return t.customer.select(k.alias("id"), F.to_json(people).alias("text"))
+
+
+@query("h12_shareholders", """
+  WITH p AS (SELECT c_custkey AS id, unnest(range(0, c_custkey % 60 + 1)) AS i FROM customer),
+  f AS (SELECT id, i, 'name' || id || '-' || i AS name FROM p)
+  SELECT id, i::INT AS place, CASE WHEN i % 3 <> 0 THEN 'key' || id || '-' || i ELSE substr(sha256(i || '|' || name || '|A123456789'), 1, 32) END AS key, name,
+    'A123456789' AS national_id, printf('0%d/01/%02d', 80 + i % 20, i % 28 + 1) AS birth_date, 'road ' || id || '-' || i || ', floor 2' AS address,
+    CASE WHEN i % 40 = 39 THEN '12345678901' ELSE printf('%05d', i) END AS postal_code, format('{:,}', i * 1000) AS capital, id % 60 >= 39 AS truncated
+  FROM f""")
+def _(t):
+    read = _long_list(t).select("id", forms.stored_shareholders("text").alias("s"), forms.shareholders_cut("text").alias("truncated"))
+    rows = read.select("id", "truncated", F.posexplode("s").alias("place", "p"))
+    return rows.select(
+        "id", "place", "p.key", "p.name", F.col("p.nationalId").alias("national_id"), F.col("p.birthDate").alias("birth_date"), "p.address",
+        F.col("p.postalCode").alias("postal_code"), "p.capital", "truncated",
+    )
+
+
 @query("h13_tolerant_json", """
   SELECT event_id AS id, CASE WHEN event_type = 'error' THEN '' ELSE regexp_extract(props, '([0-9]+)', 1) END AS k,
     CASE WHEN event_type = 'error' THEN 0 ELSE 2 END AS list_size FROM events""")

@@ -110,11 +110,12 @@ def _(t):
 
 @query("d8_label_agreement", """
   WITH j AS (SELECT d.lang AS category, l.quality = 1 AND l.toxic = 0 AS expected, d.n_chars > 300 AS predicted FROM documents d JOIN labels l ON l.doc_id = d.doc_id)
-  SELECT coalesce(category, 'all') AS category, count(*) AS baseline_fields, count(*) FILTER (predicted) AS matched_fields,
-    round(count(*) FILTER (predicted)::DOUBLE / greatest(count(*), 1), 4) AS field_agreement FROM j WHERE expected GROUP BY ROLLUP (category)""")
+  SELECT coalesce(category, 'all') AS category, count(*) FILTER (expected) AS baseline_fields, count(*) FILTER (expected AND predicted) AS matched_fields,
+    round(count(*) FILTER (expected AND predicted)::DOUBLE / greatest(count(*) FILTER (expected), 1), 4) AS field_agreement FROM j GROUP BY ROLLUP (category)""")
 def _(t):
-    joined = t.documents.select("doc_id", "lang", "n_chars").join(t.labels, "doc_id").filter("quality = 1 AND toxic = 0")
-    return dataset.agreement_report(joined.select(F.col("lang").alias("category"), (F.col("n_chars") > 300).alias("matched")))
+    joined = t.documents.select("doc_id", "lang", "n_chars").join(t.labels, "doc_id")
+    rows = joined.select(F.col("lang").alias("category"), (F.col("n_chars") > 300).alias("matched"), F.expr("quality = 1 AND toxic = 0").alias("expected"))
+    return dataset.agreement_report(rows, expected="expected")
 
 
 PROPS = T.StructType([T.StructField("k", T.LongType())])

@@ -139,9 +139,9 @@ def _(t):
 @query("a9_tax_payload", """
   WITH p AS (SELECT o_orderkey AS id, o_orderkey % 4 AS form, printf('%08d', o_custkey % 100000000) AS tax_id,
     printf('%010d', o_orderkey) AS receipt, 'type "x"' AS case_type FROM orders)
-  SELECT id, 0 AS row_no, tax_id, 'name' AS business_name, '87/01/05' AS received_date, receipt AS receipt_no, case_type, '審核中' AS official_status
+  SELECT id, 0 AS row_no, tax_id, 'name' AS business_name, '87/01/05' AS received_date, receipt AS receipt_no, case_type, '審核中' AS official_status, FALSE AS truncated
   FROM p WHERE form IN (0, 3)
-  UNION ALL SELECT id, 2, tax_id, '', '', '', '', '已發文' FROM p WHERE form = 3""")
+  UNION ALL SELECT id, 2, tax_id, '', '', '', '', '已發文', FALSE FROM p WHERE form = 3""")
 def _(t):
     k = F.col("o_orderkey")
     row = lambda *v: F.array(*[x if not isinstance(x, str) else F.lit(x) for x in v])

@@ -116,6 +116,8 @@ def test_json_and_text_cleaning(spark):
     assert values(spark, c.stored_array, '["a","b"]', "{bad", '{"a":1}', None) == [["a", "b"], [], [], []]
     assert values(spark, c.stored_map, '{"a":1}', "[1]", "", None) == [{"a": "1"}, {}, {}, {}]
     assert values(spark, lambda v: c.clean_text(v, 3), "  abcdef ", None) == ["abc", ""]
+    assert values(spark, c.clean_text, "  " + "x" * 900, None) == ["x" * 900, ""]
+    assert values(spark, lambda v: c.text_cut(v, 3), "  abcd ", " abc ", None) == [True, False, False]
 
 
 def test_chinese_dates(spark):
@@ -145,3 +147,12 @@ def test_progress_url(spark):
     got = [r[0] for r in df.select(c.progress_url("r", "u", "e", "a", "s")).collect()]
     assert got[0] == "" and got[1].endswith("?rcvNo=1+2&regUnitCode=17&showPreRegNo=0")
     assert got[2] == vocab.BUSINESS_LIST_URL and got[3].endswith("?caseNo=9&agency=A1&receiveNo=9&subAcptNo=01")
+
+
+def test_string_lists_are_cut_only_where_the_caller_says(spark):
+    rows = spark.createDataFrame([(["a" * 400, " ", "b"] * 100,), (None,)], "v array<string>")
+    whole = rows.select(c.clean_strings("v").alias("w"), c.clean_strings("v", 200, 300).alias("k"), c.strings_cut("v", 200, 300).alias("cut"), c.strings_cut("v").alias("not")).collect()
+    assert len(whole[0]["w"]) == 200 and len(whole[0]["w"][0]) == 400 and len(whole[0]["k"]) == 133 and len(whole[0]["k"][0]) == 300
+    assert whole[0]["cut"] and not whole[0]["not"] and not whole[1]["cut"]
+    short = spark.createDataFrame([(["a", " ", "b", "", " "],)], "v array<string>")
+    assert not short.select(c.strings_cut("v", 3, 5)).first()[0] and short.select(c.strings_cut("v", 2, 5)).first()[0]
