@@ -31,6 +31,52 @@ def once(value: Column) -> Column:
     return F.explode(F.array(value))
 
 
+def running_sums(numbers: Column, step: int = 64) -> Column:
+    """Running sums of an array of whole numbers, by groups of ``step``, so that the work stays far below the square of its size."""
+    total = lambda part: F.aggregate(part, F.lit(0).cast("long"), lambda a, b: a + b)
+
+    def with_groups(sums: Column) -> Column:
+        before = F.transform(sums, lambda _, g: total(F.slice(sums, F.lit(1), g)))
+        own = lambda bases: F.transform(numbers, lambda _, i: F.get(bases, (i / step).cast("int")) + total(F.slice(numbers, i - i % step + 1, i % step + 1)))
+        return let(before, own)
+
+    firsts = F.filter(numbers, lambda _, i: i % step == 0)  # one element for each group
+    return let(F.transform(firsts, lambda _, g: total(F.slice(numbers, g * step + 1, F.lit(step)))), with_groups)
+
+
+def match_places(text: Column, pattern: str) -> Column:
+    """All matches of a pattern, leftmost and non-overlapping: array of (text, start, stop), 0-based, in characters.
+
+    The places are summed up from the gaps between the matches. A pattern that matches the empty text is not for this.
+    """
+
+    def placed(found: Column) -> Column:
+        steps = F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)), found, lambda gap, m: F.length(gap) + F.length(m))
+        item = lambda stops: F.transform(
+            found, lambda m, i: F.struct(m.alias("text"), (F.get(stops, i) - F.length(m)).cast("int").alias("start"), F.get(stops, i).cast("int").alias("stop"))
+        )
+        return let(steps, lambda lengths: let(running_sums(lengths), item))
+
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)
+
+
+BLOCK_CHARS = 2048
+
+
+def text_blocks(text: Column) -> Column:
+    """The text in blocks, for ``block_window``: a substring far into a long text is found by walking it from its start."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK_CHARS}}}"), F.lit(0))
+
+
+def block_window(blocks: Column, begin: Column, end: Column) -> Column:
+    """Characters ``begin`` (0-based) to ``end`` of a text given by its blocks; the ends may lie outside."""
+    first = lambda b: F.floor(b / BLOCK_CHARS).cast("int")
+    cut = lambda b: F.substr(
+        F.array_join(F.slice(blocks, first(b) + 1, first(end) - first(b) + 1), ""), (b - first(b) * BLOCK_CHARS + 1).cast("int"), (end - b).cast("int")
+    )
+    return let(F.greatest(begin, F.lit(0)), cut)
+
+
 def if_filled(value: Column) -> Column:
     """The value, or null when it is blank; for values that are costly to compute."""
     return let(value, lambda v: F.when(v != "", v))
@@ -325,7 +371,7 @@ def clean_strings(values, items: int | None = None, length: int | None = None) -
 
 def strings_cut(values, items: int | None = None, length: int | None = None) -> Column:
     """Whether ``clean_strings`` with these limits drops anything but blanks."""
-    more = F.lit(False) if items is None else F.exists(F.slice(col(values), items + 1, 2**31 - 1), lambda v: clean_text(v) != "")
+    more = F.lit(False) if items is None else F.exists(F.filter(col(values), lambda _, i: i >= items), lambda v: clean_text(v) != "")
     kept = col(values) if items is None else F.slice(col(values), 1, items)
     return F.coalesce(more | F.exists(kept, lambda v: text_cut(v, length)), F.lit(False))
 

@@ -1,33 +1,14 @@
-"""Python where Spark has no built-in: match positions, difflib ratio, NFKC. Arrow batches in and out."""
+"""Python where Spark has no built-in: difflib ratio, NFKC, rare charsets. Arrow batches in and out."""
 
 from __future__ import annotations
 
 import difflib
-import re
 import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SPANS = "array<struct<text:string,start:int,stop:int>>"
-
-
-def match_spans(text: Column, pattern: str, flags: int = 0) -> Column:
-    """All matches of a pattern with their start and end offsets (0-based, in characters)."""
-
-    @F.pandas_udf(SPANS)
-    def spans(values: pd.Series) -> pd.Series:
-        compiled = re.compile(pattern, flags)
-        return values.map(
-            lambda v: [] if v is None else [
-                {"text": m.group(0), "start": m.start(), "stop": m.end()} for m in compiled.finditer(v)
-            ]
-        )
-
-    return spans(text)
-
-
 def similarity(left: Column, right: Column) -> Column:
     """Share of matching blocks in two texts, 0 to 1."""
 

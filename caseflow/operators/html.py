@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caseflow.functions import vocab
-from caseflow.functions.columns import app_status, clean_text, col, filled, first_filled, let, once, text_cut
-from caseflow.functions.udfs import match_spans
+from caseflow.functions.columns import (
+    app_status, block_window, clean_text, col, filled, first_filled, let, match_places, once, text_blocks, text_cut,
+)
 from caseflow.operators.ranking import first_row
 
 LINK_CONTEXT_CHARS = 900
@@ -198,8 +199,8 @@ def link_candidates(pages: DataFrame, pattern: str = LINK_PATTERN, row_tag: str
     tag = r"(?is)^<(?:a|button)(?![A-Za-z0-9_])([^>]*)>"
     url, entity = F.col("url"), F.col("entity_type")
     has_anchor = F.col("html").rlike(r"(?i)<(?:a|button)(?![A-Za-z0-9_])")
-    # Pages without an anchor are not sent to Python.
-    spanned = pages.withColumn("_spans", match_spans(F.when(has_anchor, F.col("html")), ANCHOR))
+    anchored = F.when(has_anchor, F.col("html"))
+    spanned = pages.withColumn("_spans", once(match_places(anchored, ANCHOR))).withColumn("_blocks", once(text_blocks(anchored)))
 
     def link_of(inside: Column) -> Column:
         raw = let(
@@ -209,8 +210,7 @@ def link_candidates(pages: DataFrame, pattern: str = LINK_PATTERN, row_tag: str
         return detail_link(raw, url, entity, pattern)
 
     def context_of(m: Column) -> Column:
-        begin = F.greatest(m["start"] - LINK_CONTEXT_CHARS, F.lit(0))
-        return flat_text(F.substr(F.col("html"), begin + 1, m["stop"] + LINK_CONTEXT_CHARS - begin))
+        return flat_text(block_window(F.col("_blocks"), m["start"] - LINK_CONTEXT_CHARS, m["stop"] + LINK_CONTEXT_CHARS))
 
     found = lambda link, score, place: F.struct(link.alias("link"), score.alias("score"), place.alias("place"))
     holds = lambda text, c: (F.col(c) != "") & F.contains(text, F.col(c))

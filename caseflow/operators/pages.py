@@ -9,15 +9,19 @@ from pyspark.sql import functions as F
 
 from caseflow.functions import vocab
 from caseflow.functions.columns import (
-    col, digits, document_address, first_valid_id, fold_width, if_filled, let, once, plausible_name, precheck_ok, roc_date,
+    block_window, col, digits, document_address, first_valid_id, fold_width, if_filled, let, match_places, once, plausible_name,
+    precheck_ok, roc_date, text_blocks,
 )
-from caseflow.functions.udfs import match_spans
 from caseflow.operators.ranking import first_row, numbered
 
 SPACES = r"[\s　]+"
 # The intake refuses longer files; ``ocr_routing`` tells them, no text is cut.
 PAGE_LIMIT = 25
 
+# Points of an address candidate, and the scores from which it is trusted.
+BASE_POINTS, MOST_LENGTH_POINTS, TARGET_POINTS, NEGATIVE_POINTS, NUMBERED_POINTS, PERSON_POINTS = 35, 20, 35, 42, 12, 35
+HIGH_SCORE, MIDDLE_SCORE = 85, 55
+
 
 def address_candidates(
     pages: DataFrame,
@@ -31,28 +35,31 @@ def address_candidates(
 ) -> DataFrame:
     """Every address-like match of every page with its evidence window, score and confidence.
 
-    Spark drops the pages without a match first; Python only finds the offsets on the rest.
+    Matches and windows are cut from the page before it is taken apart, so no match row carries the page's text.
     """
+    around = vocab.ADDRESS_CONTEXT_CHARS
+
+    def cut(page: Column) -> Column:
+        item = lambda blocks: F.transform(
+            match_places(page, pattern),
+            lambda m: F.struct(m["text"].alias("text"), m["start"].alias("start"), block_window(blocks, m["start"] - around, m["stop"] + around).alias("window")),
+        )
+        return let(text_blocks(page), item)
+
     text = F.replace(F.coalesce(F.col("text"), F.lit("")), F.lit("\r"), F.lit("\n"))
-    hits = (
-        pages.withColumn("_text", text)
-        .filter(F.col("_text").rlike(pattern))
-        .withColumn("_m", F.explode(match_spans(F.col("_text"), pattern)))
-    )
-    begin = F.greatest(F.col("_m.start") - vocab.ADDRESS_CONTEXT_CHARS, F.lit(0))
-    window = F.substr(F.col("_text"), begin + 1, F.col("_m.stop") + vocab.ADDRESS_CONTEXT_CHARS - begin)
+    hits = pages.filter(text.rlike(pattern)).select("file_id", "page", F.explode(let(text, cut)).alias("_m"))
     found = hits.select(
-        "file_id", "page", F.col("_m.start").alias("start"), normalise(F.col("_m.text")).alias("address"),
-        F.trim(F.regexp_replace(window, SPACES, " ")).alias("evidence"),
+        "file_id", "page", F.col("_m.start").alias("start"), once(normalise(F.col("_m.text"))).alias("address"),
+        F.trim(F.regexp_replace("_m.window", SPACES, " ")).alias("evidence"),
     )
     found = found.filter((F.length("address") >= min_length) & ~F.col("address").rlike(r"[A-Z][12]\d{8}"))
     count_of = lambda words: sum((F.contains("evidence", F.lit(w)).cast("int") for w in words), F.lit(0))
     score = (
-        35 + F.least(F.lit(20), F.length("address")) + count_of(targets) * 35 - count_of(negatives) * 42
-        + F.when(F.col("address").rlike(numbered_part), 12).otherwise(0)
-        - F.when(F.col("evidence").rlike(person_terms), 35).otherwise(0)
+        BASE_POINTS + F.least(F.lit(MOST_LENGTH_POINTS), F.length("address")) + count_of(targets) * TARGET_POINTS - count_of(negatives) * NEGATIVE_POINTS
+        + F.when(F.col("address").rlike(numbered_part), NUMBERED_POINTS).otherwise(0)
+        - F.when(F.col("evidence").rlike(person_terms), PERSON_POINTS).otherwise(0)
     )
-    confidence = F.when(F.col("score") >= 85, "高").when(F.col("score") >= 55, "中").otherwise("低")
+    confidence = F.when(F.col("score") >= HIGH_SCORE, "高").when(F.col("score") >= MIDDLE_SCORE, "中").otherwise("低")
     return found.withColumn("score", score).withColumn("confidence", confidence)
 
 

@@ -156,3 +156,36 @@ def test_string_lists_are_cut_only_where_the_caller_says(spark):
     assert whole[0]["cut"] and not whole[0]["not"] and not whole[1]["cut"]
     short = spark.createDataFrame([(["a", " ", "b", "", " "],)], "v array<string>")
     assert not short.select(c.strings_cut("v", 3, 5)).first()[0] and short.select(c.strings_cut("v", 2, 5)).first()[0]
+
+
+def test_match_places_and_windows_equal_a_walk_through_the_text(spark):
+    import random
+    import re
+
+    chance = random.Random(6)
+    texts = ["", None, "ab12", "12ab", "no digits", "1 22 333", "😀12é345" * 3] + ["".join(chance.choices("a1 é😀", k=chance.randint(0, 9000))) for _ in range(12)]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    text = F.col("t")
+    window = lambda m: c.block_window(c.text_blocks(text), m["start"] - 28, m["stop"] + 28)
+    found = rows.select("k", F.transform(c.match_places(text, "[0-9]+"), lambda m: F.struct(m.alias("m"), window(m).alias("w"))).alias("v")).collect()
+    for row in found:
+        t = texts[row["k"]]
+        expected = [(m.group(), m.start(), m.end(), t[max(0, m.start() - 28) : m.end() + 28]) for m in re.finditer("[0-9]+", t or "")]
+        assert [(*x["m"], x["w"]) for x in row["v"] or []] == expected
+
+
+def test_a_long_page_with_many_matches_is_cut_in_linear_time(spark):
+    import time
+
+    from caseflow.operators import pages
+
+    def seconds(n):
+        body = "臺北市中正區測試路一段12號3樓 聯絡地址 " * n
+        table = spark.createDataFrame([("f", 1, body)], "file_id string, page int, text string")
+        started = time.time()
+        rows = pages.address_candidates(table).count()
+        return time.time() - started, rows, len(body)
+
+    seconds(10)
+    (short, few, _), (long, many, size) = seconds(5_000), seconds(45_000)
+    assert few >= 5_000 and many >= 45_000 and size > 900_000 and long < 30 * short + 20
