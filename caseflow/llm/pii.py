@@ -20,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caseflow.functions.columns import let, once
+from caseflow.functions.columns import block_window, let, once, text_blocks
 
 KINDS = ["email", "ip", "card", "phone", "secret"]
 EMAIL, IP, CARD, PHONE, SECRET = range(5)
@@ -57,27 +57,30 @@ CONTEXT = {
 AGAINST = "(?:version|section|isbn|invoice|order no|chapter|figure)\\W*$"
 
 
-def _running(lengths: Column) -> Column:
-    """Running sums of an array, in two steps so that the work stays far below the square of its size."""
+def _running(numbers: Column, join=lambda a, b: a + b) -> Column:
+    """Running sums (or what ``join`` makes) of an array from zero, in two steps so that the work stays far below the square of its size.
+
+    ``numbers`` is named once per element: bind it with ``let`` where it is more than a variable.
+    """
     step = 64
 
     def with_groups(sums):
         def base(g):
-            return F.aggregate(F.slice(sums, F.lit(1), g), F.lit(0), lambda a, b: a + b)
+            return F.aggregate(F.slice(sums, F.lit(1), g), F.lit(0), join)
 
         return let(
             F.transform(sums, lambda _, g: base(g)),
             lambda bases: F.transform(
-                lengths,
-                lambda _, i: F.get(bases, (i / step).cast("int"))
-                + F.aggregate(F.slice(lengths, (i - i % step) + 1, i % step + 1), F.lit(0), lambda a, b: a + b),
+                numbers,
+                lambda _, i: join(
+                    F.get(bases, (i / step).cast("int")),
+                    F.aggregate(F.slice(numbers, (i - i % step) + 1, i % step + 1), F.lit(0), join),
+                ),
             ),
         )
 
-    groups = F.filter(lengths, lambda _, i: i % step == 0)  # one place per group
-    return let(
-        F.transform(groups, lambda _, g: F.aggregate(F.slice(lengths, g * step + 1, F.lit(step)), F.lit(0), lambda a, b: a + b)), with_groups
-    )
+    groups = F.filter(numbers, lambda _, i: i % step == 0)  # one place per group
+    return let(F.transform(groups, lambda _, g: F.aggregate(F.slice(numbers, g * step + 1, F.lit(step)), F.lit(0), join)), with_groups)
 
 
 def matches(text: Column, pattern: str, kind: int, is_open: bool = False) -> Column:
@@ -181,6 +184,25 @@ def _votes(c: Column, base: Column, before: Column, after: Column) -> dict[str,
     }
 
 
+def _overlaps(spans: Column, c: Column) -> Column:
+    """Whether ``c`` overlaps one of ``spans``, which lie apart from each other in the order of the text.
+
+    The last of them that begins before ``c`` ends is found by binary search; it alone can reach into ``c``.
+    """
+
+    def halve(s, _):
+        def at(mid):
+            before = F.get(spans, mid)["start"] < c["end"]
+            return F.struct(F.when(before, mid + 1).otherwise(s["lo"]).alias("lo"), F.when(before, s["hi"]).otherwise(mid).alias("hi"))
+
+        return F.when(s["lo"] < s["hi"], let(F.shiftright(s["lo"] + s["hi"], 1), at)).otherwise(s)
+
+    steps = F.sequence(F.lit(1), F.ceil(F.log2(F.size(spans) + 1)).cast("int"))
+    begun = F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.size(spans).alias("hi")), halve, lambda s: s["lo"])
+    reaches = let(begun, lambda n: F.coalesce(F.get(spans, n - 1)["end"] > c["start"], F.lit(False)))
+    return F.when(F.size(spans) == 0, False).otherwise(reaches)
+
+
 def candidates(text: Column, further: bool = True) -> Column:
     """Array of (start, end, k, base, known, votes, size, digits) of a text that is not null; ``votes`` in the order of ``LABELERS``.
 
@@ -193,17 +215,16 @@ def candidates(text: Column, further: bool = True) -> Column:
         return let(marked, finished)
 
     def finished(marked):
-        return let(F.filter(marked, lambda c: c["base"]), lambda sure: F.concat(described(sure), described(rest(marked, sure))))
+        sure = F.filter(marked, lambda c: c["base"])
+        by_kind = F.array(*[F.filter(marked, lambda c, kind=kind: c["base"] & (c["k"] == kind)) for kind in (EMAIL, IP, CARD, PHONE)])
+        rest = lambda kinds: F.filter(marked, lambda c: ~c["base"] & ~F.exists(kinds, lambda own: _overlaps(own, c)))
+        every = F.concat(sure, let(by_kind, rest))
+        return let(F.when(F.size(marked) > 0, text_blocks(text)), lambda blocks: described(every, blocks))
 
-    def rest(marked, sure):
-        return F.filter(
-            marked, lambda c: ~c["base"] & ~F.exists(sure, lambda b: (c["start"] < b["end"]) & (b["start"] < c["end"]))
-        )
-
-    def described(cs):
+    def described(cs, blocks):
         def one(c):
-            before = F.lower(F.substr(text, F.greatest(c["start"] - AROUND, F.lit(0)) + 1, F.least(c["start"], F.lit(AROUND))))
-            after = F.substr(text, c["end"] + 1, F.lit(1))
+            before = F.lower(block_window(blocks, c["start"] - AROUND, c["start"]))
+            after = block_window(blocks, c["end"], c["end"] + 1)
             votes = let(before, lambda b: F.array(*[v.cast("int") for v in _votes(c, c["base"], b, after).values()]))
             size, digits = F.length(c["s"]), F.length(_digits(c["s"]))
             return F.struct(
@@ -321,11 +342,16 @@ def redacted(text: Column, spans: Column) -> Column:
     """``text`` with each span, or the part of it that no earlier one covers, replaced by its kind in brackets."""
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
 
-    def step(done, c):
-        kept = F.substr(text, done["at"] + 1, F.greatest(c["start"] - done["at"], F.lit(0)))
-        new = F.struct(F.concat(done["out"], kept, F.get(names, c["k"])).alias("out"), c["end"].alias("at"))
-        return F.when(c["end"] > done["at"], new).otherwise(done)
+    def spelled(p):
+        # ``at``: how far earlier spans have covered the text; a span that does not reach beyond it adds nothing.
+        def part(c, i):
+            at = F.when(i == 0, 0).otherwise(F.get(p["ends"], i - 1))
+            kept = block_window(p["blocks"], at, F.greatest(c["start"], at))
+            return F.when(c["end"] > at, F.concat(kept, F.get(names, c["k"]))).otherwise("")
+
+        tail = block_window(p["blocks"], F.element_at(p["ends"], -1), F.length(text))
+        return F.concat(F.array_join(F.transform(spans, part), ""), tail)
 
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    end = lambda done: F.concat(done["out"], F.substr(text, done["at"] + 1, F.length(text)))
-    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, start, step, end))
+    ends = let(F.transform(spans, lambda c: c["end"]), lambda own: _running(own, lambda a, b: F.greatest(a, b)))
+    changed = let(F.struct(ends.alias("ends"), text_blocks(text).alias("blocks")), spelled)
+    return F.when(F.size(spans) == 0, text).otherwise(changed)

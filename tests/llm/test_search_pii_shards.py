@@ -1,5 +1,6 @@
 import hashlib
 import math
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -179,3 +180,26 @@ def test_pipeline_is_registered_and_takes_awkward_rows(spark, docs, no_docs, tmp
         spark.createDataFrame([(k, 1, 0) for k in range(30)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/{name}/labels.parquet")
         rows = corpus_pipeline.run(spark, f"{folder}/{name}").collect()
         assert bool(rows) == (name == "some")
+
+
+def test_a_megabyte_of_spans_takes_seconds(spark):
+    import time
+
+    chance = random.Random(8)
+    kinds = ["mail me at user{0}@host{0}.example.com", "1.2.{1}.{1}", "999.{0}.3.4.5", "call 555-010-{2:04d}", "key=Ab{0:09d}xYz{0:09d}qW"]
+    parts = [chance.choice(kinds).format(n, n % 256, n % 10000) for n in range(50_000)]
+    long = spark.createDataFrame([(1, " ".join(parts))], "doc_id int, text string")
+    short = spark.createDataFrame([(1, " ".join(parts[:200]))], "doc_id int, text string")
+    weights = pii.train(pii.histogram(short))
+    started = time.time()
+    rows = pii.with_spans(long, weights).select("text", "spans", pii.redacted(F.col("text"), F.col("spans")).alias("red")).collect()
+    assert time.time() - started < 60
+    text, spans = rows[0]["text"], [(s["start"], s["k"], s["end"]) for s in rows[0]["spans"]]
+    assert len(text) > 1_000_000 and len(spans) > 20_000
+    assert [s for s, own in zip(spans, rows[0]["spans"]) if own["base"]] == base_spans(text)
+    out, at = [], 0
+    for start, kind, end in spans:
+        if end > at:
+            out += [text[at : max(start, at)], f"[{pii.KINDS[kind].upper()}]"]
+            at = end
+    assert rows[0]["red"] == "".join([*out, text[at:]])
