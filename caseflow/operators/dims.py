@@ -115,21 +115,26 @@ def bureau_dimension(spark) -> DataFrame:
 def first_contained(df: DataFrame, keys: list[str], text: Column, dim: DataFrame, name: str, priority: str, gram: int = 2) -> DataFrame:
     """Add the dimension row whose ``name`` occurs in ``text``; the lowest priority wins, then the lowest name, not the position.
 
-    A name is met by its first ``gram`` characters: each distinct text offers its pieces of that length (and shorter ones, for
-    names that are shorter), and only names that begin with one of them are searched for. Blank names never occur.
+    Each distinct text offers its pieces of ``gram`` characters and fewer. A name is met by the piece of it (of ``gram`` characters,
+    or the whole of a shorter name) that the fewest texts offer, and then searched for; a name with a piece that no text offers
+    meets none. Texts that offer a name's piece are dealt over salts, and rows of one text over as many.
+    Blank names never occur.
     """
     texts = df.select(text.alias("_text")).distinct()
-    pieces = F.array_distinct(F.concat(*[_pieces(F.col("_text"), n) for n in range(1, gram + 1)]))
+    pieces = F.array_distinct(F.concat(*[_grams(F.col("_text"), n) for n in range(1, gram + 1)]))
     offered = texts.select("_text", F.explode(pieces).alias("_piece"))
-    named = dim.withColumn("_piece", F.substring(name, 1, gram)).filter(F.col(name) != "")
-    found = offered.join(named, "_piece").filter(F.contains(F.col("_text"), F.col(name))).drop("_piece")
+    held = offered.groupBy("_piece").agg(F.count(F.lit(1)).alias("_texts"))
+    named = dim.filter(F.col(name) != "").withColumn("_name", F.col(name))
+    own = named.select("_name").distinct().select("_name", F.explode(_grams(F.col("_name"), F.least(F.lit(gram), F.length("_name")))).alias("_piece"))
+    rarest = own.join(held, "_piece", "left").groupBy("_name").agg(
+        F.min_by("_piece", F.struct(F.coalesce("_texts", F.lit(0)), "_piece")).alias("_piece")
+    )
+    salts = F.explode(F.sequence(F.lit(0), F.lit(KEY_COPIES - 1)))
+    met = named.join(rarest, "_name").drop("_name").withColumn("_salt", salts)
+    dealt = offered.withColumn("_salt", F.pmod(F.xxhash64("_text"), F.lit(KEY_COPIES)).cast("int"))
+    found = dealt.join(met, ["_piece", "_salt"]).filter(F.contains(F.col("_text"), F.col(name))).drop("_piece", "_salt")
     best = first_row(found, ["_text"], [F.col(priority), F.col(name)])
-    return lookup(df.withColumn("_text", text), best, ["_text"], keys).select(*df.columns, *dim.columns)
-
-
-def _pieces(text: Column, n: int) -> Column:
-    """Substrings of length ``n``; the last ones are shorter."""
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), lambda i: F.substr(text, i, F.lit(n)))
+    return lookup(df.withColumn("_text", text), best, ["_text"], keys, copies=KEY_COPIES).select(*df.columns, *dim.columns)
 
 
 def bureau_of(address) -> Column:
