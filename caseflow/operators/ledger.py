@@ -65,6 +65,26 @@ def in_year(cases: DataFrame, year: int) -> DataFrame:
     return cases.filter((day >= datetime.date(year, 1, 1)) & (day <= datetime.date(year, 12, 31)))
 
 
+def write_by_year(cases: DataFrame, path: str) -> None:
+    """Write cases in a folder per year received, each file holding a run of days; a busy year spreads over several tasks.
+
+    Cases without a received date lie in a folder of their own, which no year reads.
+    """
+    dated = cases.withColumn("received_year", F.year("received_date"))
+    dated.repartitionByRange("received_year", "received_date", "id").sortWithinPartitions("received_year", "received_date").write.partitionBy("received_year").parquet(path)
+
+
+def stored_in_year(stored: DataFrame, year: int) -> DataFrame:
+    """Cases of one year from what ``write_by_year`` wrote: only that year's folder is listed and read."""
+    return stored.filter(F.col("received_year") == year).drop("received_year")
+
+
+def stored_in_years(stored: DataFrame, years: DataFrame, year: str) -> DataFrame:
+    """Cases of the years that a table lists; Spark prunes the folders when the list is known, at run time."""
+    listed = years.select(F.col(year).cast("int").alias("received_year")).distinct()
+    return stored.join(listed, "received_year", "left_semi").drop("received_year")
+
+
 def ledger_order() -> list[Column]:
     return [F.col("received_date").desc(), F.col("id").desc()]
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from caseflow.functions import vocab
@@ -11,6 +13,7 @@ from caseflow.operators.ranking import numbered
 from caseflow.plans.inputs import AS_OF
 from caseflow.plans.inputs_sql import in_list
 from caseflow.plans.registry import query
+from caseflow.session import shared_folder
 
 TODAY = f"DATE '{AS_OF.isoformat()}'"
 
@@ -35,6 +38,26 @@ def _(t):
     return ledger.in_year(t.cases, 1997).select("id", "received_date")
 
 
+def _stored_by_year(t):
+    path = f"{shared_folder(t.spark)}/cases-by-year-{uuid.uuid4().hex}"
+    ledger.write_by_year(t.cases.select("id", "received_date", "status"), path)
+    return t.spark.read.parquet(path)
+
+
+@query("b2_stored_cases_in_year", "SELECT id, received_date, status FROM cases WHERE year(received_date) = 1997")
+def _(t):
+    return ledger.stored_in_year(_stored_by_year(t), 1997)
+
+
+@query("b2_stored_cases_in_years", """
+  SELECT id, received_date, status FROM cases
+  WHERE year(received_date) IN (SELECT year(l_shipdate) FROM lineitem GROUP BY 1 HAVING count(*) > (SELECT count(*) FROM lineitem) / 7)""")
+def _(t):
+    shipped = t.lineitem.groupBy(F.year("l_shipdate").alias("year")).agg(F.count(F.lit(1)).alias("n"))
+    busy = shipped.filter(F.col("n") > t.lineitem.agg(F.count(F.lit(1)) / 7).scalar())
+    return ledger.stored_in_years(_stored_by_year(t), busy, "year")
+
+
 @query("b3_receivables", """
   SELECT c.id, d.total_due, greatest(d.total_due - c.paid_amount, 0)::BIGINT AS outstanding
   FROM cases c JOIN due d ON d.id = c.id""")

@@ -114,6 +114,40 @@ def test_first_contained(spark):
     assert got == [(1, "臺南市"), (1, "臺南市"), (2, None), (3, None), (4, "新竹市"), (5, None)]
 
 
+def _plan(df):
+    return df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+
+
+def test_year_layout_prunes_by_value_and_by_a_joined_list(spark, tmp_path):
+    path = str(tmp_path / "cases")
+    rows = [(k, D(1992 + k % 7, 1 + k % 12, 1 + k % 28)) for k in range(700)] + [(1000, None), (1000, None)]
+    ledger.write_by_year(spark.createDataFrame(rows, "id long, received_date date"), path)
+    stored = spark.read.parquet(path)
+    assert stored.count() == len(rows)
+    one = ledger.stored_in_year(stored, 1994)
+    assert sorted(r["id"] for r in one.collect()) == [k for k, d in rows if d and d.year == 1994]
+    assert "PartitionFilters: [isnotnull(received_year" in _plan(one)
+    assert all("received_year=1994" in r[0] for r in one.select(F.input_file_name()).distinct().collect())
+    years = spark.createDataFrame([(1993, "x"), (1997, "x"), (1997, "x"), (1999, "y")], "year int, kind string")
+    some = ledger.stored_in_years(stored, years.filter("kind = 'x'"), "year")
+    assert sorted(r["id"] for r in some.collect()) == [k for k, d in rows if d and d.year in (1993, 1997)]
+    assert ledger.stored_in_years(stored, years.filter("kind = 'z'"), "year").count() == 0
+    listed = str(tmp_path / "years")
+    years.write.parquet(listed)
+    assert "dynamicpruning" in _plan(ledger.stored_in_years(stored, spark.read.parquet(listed).filter("kind = 'x'"), "year"))
+
+
+def test_first_contained_meets_names_by_their_rarest_piece(spark):
+    """Names and texts that share their first characters, repeated texts, blank and null ones, and names longer than any text."""
+    texts = [f"aa{k % 50}z" for k in range(300)] + ["", None, "aa", "q", "aa7z aa8z", "zzaa49"]
+    names = [(f"aa{k}z", 100 - k) for k in range(60)] + [("", 0), ("aa49", 500), ("q", 3), ("aa8z aa9z aa10z", 1), (None, 0), ("aa7z", 93)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    dim = spark.createDataFrame(names, "name string, priority int")
+    got = {r["id"]: r["name"] for r in dims.first_contained(df, ["id"], F.col("t"), dim, "name", "priority").collect()}
+    wanted = {k: min(((p, n) for n, p in names if n and t and n in t), default=(0, None))[1] for k, t in enumerate(texts)}
+    assert got == wanted
+
+
 def test_first_contained_with_tied_priorities_and_short_names(spark):
     names = spark.createDataFrame([(1, "a", "Y"), (1, "z", "X"), (0, "s", "q"), (2, "b", "")], "priority int, code string, county string")
     texts = spark.createDataFrame([(1, "abXcdY"), (2, "uq"), (3, "")], "id long, address string")
