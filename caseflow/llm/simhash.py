@@ -3,8 +3,8 @@
 Distinct fingerprints are dealt into tiles that share one of ``radius`` + 1 bands of bits: two fingerprints that differ in
 at most ``radius`` bits agree on one band at least, so no link is lost. A tile's rows are sorted by population count and
 compared block by block with exclusive-or and bit counts; a pair of blocks whose counts differ by more than the radius is
-skipped. A tile beyond ``TILE_ROWS`` is split into blocks, and each pair of blocks becomes a tile of its own. A tile puts out
-one edge per linked row at most, not its pairs.
+skipped. A tile beyond ``TILE_ROWS`` is divided by bands of its rows' other bits, and what is still too large into parts by
+population count, of which those within the radius meet pair by pair. A tile puts out one edge per linked row at most, not its pairs.
 
 Defined results: null and empty texts and those without words have fingerprint zero and link like any other; equal texts
 share a fingerprint; rows with a null id get a component like any row, named by the smallest id in it (null when it has
@@ -19,7 +19,7 @@ from itertools import islice
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseflow.llm.graph import components
@@ -66,30 +66,62 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     return _prints(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), "long")
 
 
-def _bands(radius: int) -> list[tuple[int, int]]:
-    """(first bit, bits) of ``radius`` + 1 bands that cover the 64 bits."""
-    edges = [64 * k // (radius + 1) for k in range(radius + 2)]
+def _bands(bits: int, radius: int) -> list[tuple[int, int]]:
+    """(first bit, bits) of ``radius`` + 1 bands that cover ``bits`` bits."""
+    edges = [bits * k // (radius + 1) for k in range(radius + 2)]
     return [(low, high - low) for low, high in zip(edges, edges[1:])]
 
 
+def _cut(value: Column, low: int, bits: int) -> Column:
+    return F.shiftrightunsigned(value, low).bitwiseAND((1 << bits) - 1)
+
+
+def _without(low: int, bits: int) -> Column:
+    """The bits of ``fp`` outside a band, moved together."""
+    below = F.col("fp").bitwiseAND((1 << low) - 1)
+    return below if low + bits == 64 else F.shiftleft(F.shiftrightunsigned("fp", low + bits), low).bitwiseOR(below)
+
+
+TILE = ["band", "value", "sub", "sub_value"]
+
+
 def _tiles(groups: DataFrame, radius: int, tile_rows: int) -> DataFrame:
-    """(band, value, low, high, fp): the rows of each tile, or of each pair of blocks of a large one."""
+    """(band, value, sub, sub_value, low, high, fp): the rows of each tile, or of each pair of parts of a crowded one.
+
+    Rows of a band value that more than ``tile_rows`` share agree on one band of their other bits as well, so these
+    make finer tiles in its place. A finer tile that is still crowded is cut into parts by ascending population count; a
+    part meets only those whose counts come within the radius of its rows'.
+    """
     bands = F.array(
         *[
-            F.struct(F.lit(k).alias("band"), F.shiftrightunsigned("fp", low).bitwiseAND((1 << bits) - 1).alias("value"))
-            for k, (low, bits) in enumerate(_bands(radius))
+            F.struct(F.lit(k).alias("band"), _cut(F.col("fp"), low, bits).alias("value"), _without(low, bits).alias("others"))
+            for k, (low, bits) in enumerate(_bands(64, radius))
         ]
     )
     rows = groups.select("fp", F.inline(bands))
     large = rows.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > tile_rows)
-    parts = F.coalesce(F.ceil(F.col("n") / tile_rows), F.lit(1)).cast("int")
-    own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
-    split = rows.join(large, ["band", "value"], "left").withColumn("parts", parts).withColumn("own", own)
+    whole = F.array(F.struct(F.lit(-1).alias("sub"), F.lit(0).cast("long").alias("sub_value")))
+    subs = _bands(64 - 64 // (radius + 1), radius)
+    finer = F.array(*[F.struct(F.lit(k).alias("sub"), _cut(F.col("others"), low, bits).alias("sub_value")) for k, (low, bits) in enumerate(subs)])
+    sorted_out = rows.join(large, ["band", "value"], "left").select("fp", "band", "value", F.inline(F.when(F.col("n").isNull(), whole).otherwise(finer)))
+    tiles = sorted_out.withColumn("ones", F.bit_count("fp"))
+
+    # At most 65 population counts in a tile: the places of their rows, and those of the rows they can be linked to.
+    cells = tiles.filter("sub >= 0").groupBy(*TILE, "ones").agg(F.count(F.lit(1)).alias("n"))
+    tile = Window.partitionBy(*TILE)
+    placed = cells.withColumn("end", F.sum("n").over(tile.orderBy("ones"))).withColumn("total", F.sum("n").over(tile)).filter(F.col("total") > tile_rows)
+    near = tile.orderBy("ones").rangeBetween(-radius, radius)
+    start = F.col("end") - F.col("n")
+    reach = placed.select(*TILE, "ones", "n", start.alias("start"), F.min(start).over(near).alias("least"), F.max("end").over(near).alias("most"))
+
+    part = lambda place: F.coalesce(F.floor(place / tile_rows), F.lit(0)).cast("int")
+    split = tiles.join(reach, [*TILE, "ones"], "left")
+    split = split.withColumn("own", part(F.col("start") + F.pmod(F.xxhash64("fp"), F.col("n"))))
     pairs = F.transform(
-        F.sequence(F.lit(0), F.col("parts") - 1),
+        F.sequence(part(F.col("least")), part(F.col("most") - 1)),
         lambda k: F.struct(F.least("own", k).alias("low"), F.greatest("own", k).alias("high")),
     )
-    return split.select("band", "value", F.inline(pairs), "fp")
+    return split.select(*TILE, F.inline(pairs), "fp")
 
 
 def _unite(roots: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
@@ -140,12 +172,13 @@ def _links(radius: int):
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate([none, *x])) for x in (a, b)], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, fps = np.empty((0, 4), dtype=np.int64), np.empty(0, dtype=np.int64)
+        width = len(TILE) + 2
+        keys, fps = np.empty((0, width), dtype=np.int64), np.empty(0, dtype=np.int64)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            columns = [batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(5)]
-            keys, fps = np.concatenate([keys, np.stack(columns[:4], axis=1)]), np.concatenate([fps, columns[4]])
+            columns = [batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(width + 1)]
+            keys, fps = np.concatenate([keys, np.stack(columns[:width], axis=1)]), np.concatenate([fps, columns[width]])
             done = len(keys) - int((keys == keys[-1]).all(axis=1)[::-1].cumprod().sum())
             if done:
                 yield edges(keys[:done], fps[:done])
@@ -160,7 +193,7 @@ def near_duplicates(prints: DataFrame, radius: int = RADIUS, tile_rows: int = TI
     """(doc_id, fp, component_id) of every row of ``prints`` (doc_id, fp)."""
     prints = landed(prints.select("doc_id", "fp"), "fingerprints")
     groups = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    key = ["band", "value", "low", "high"]
+    key = [*TILE, "low", "high"]
     tiles = _tiles(groups, radius, tile_rows).repartition(*key).sortWithinPartitions(*key)
     roots = components(tiles.mapInArrow(_links(radius), "a long, b long"))
     placed = groups.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))

@@ -64,6 +64,37 @@ def test_components_equal_brute_force_whatever_the_tile_size(spark):
         assert sorted((str(r["doc_id"]), r["fp"], str(r["component_id"])) for r in rows) == expected
 
 
+def test_a_crowded_band_value_makes_few_rows_and_no_parts_with_distant_counts(spark):
+    """100,000 fingerprints with one band in common, of which many share a second one."""
+    chance = np.random.default_rng(5)
+    fps = chance.integers(0, 1 << 52, 100_000).astype(np.uint64) << np.uint64(12)
+    fps[:40_000] = (fps[:40_000] >> np.uint64(36) << np.uint64(36)) | np.uint64(0x5A5A5) << np.uint64(12)
+    fps = np.unique(fps)
+    groups = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
+    tiles = simhash._tiles(groups, 4, 4096).toPandas()
+    assert len(tiles) < 30 * len(fps)  # by hash, all 25 parts of the band value would meet: 25 rows each in that band alone
+    tiles["ones"] = np.bitwise_count(tiles["fp"].to_numpy().view(np.uint64))
+    cut = tiles[(tiles["low"] > 0) | (tiles["high"] > 0)]
+    assert len(cut)
+    sizes = tiles.groupby([*simhash.TILE, "low", "high"]).size()
+    assert sizes.max() < 3 * 4096
+    pairs = cut[cut["low"] < cut["high"]][[*simhash.TILE, "low", "high"]].drop_duplicates()
+    ones = {t: np.sort(g["ones"].to_numpy()) for t, g in tiles[tiles["sub"] >= 0].drop_duplicates([*simhash.TILE, "fp"]).groupby(simhash.TILE)}
+    for *tile, low, high in pairs.itertuples(index=False):
+        counts = ones[tuple(tile)]  # in ascending order, part k has the places from 4096 k on
+        assert counts[4096 * high] - counts[4096 * low + 4095] <= 4
+
+
+def test_tiles_lose_no_link_where_band_values_are_crowded(spark):
+    chance = random.Random(11)
+    centres = [chance.getrandbits(13) << 51 for _ in range(3)]
+    prints = [(k, centres[k % 3] | sum(1 << b for b in chance.sample(range(51), chance.randint(0, 6)))) for k in range(300)]
+    df = spark.createDataFrame([(i, signed(x)) for i, x in prints], "doc_id long, fp long")
+    expected = sorted((i, c) for (i, _), c in zip(prints, classes(prints, 4)))
+    for tile in (2, 20, 100):
+        assert sorted((r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(df, tile_rows=tile).collect()) == expected
+
+
 def test_a_large_cluster_in_blocks():
     chance = np.random.default_rng(2)
     fps = np.unique((chance.integers(0, 1 << 9, 400) << 20).astype(np.uint64))
