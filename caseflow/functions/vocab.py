@@ -138,6 +138,22 @@ OFFICE_REQUIRED = [
     ("address", "地址"), ("phone", "電話"), ("media_code", "媒體代號"), ("license_number", "證書字號"),
 ]
 
+# The boxes ticked on a purchase proof that has no settings yet.
+PROOF_CHECKBOXES = {
+    "page1": {
+        "registration": {"establishment": True, "change": False, "other": False},
+        "reason": {"new": True, "change": False, "lost": False, "damaged": False, "other": False},
+        "attachments": {"responsibleIdOriginal": False, "agentPickup": True},
+        "relation": {"responsible": False, "agent": False, "employee": False, "otherOffice": True},
+        "invoiceTypes": {"twoCopy": True, "threeCopy": True, "twoCopyRegister": False, "threeCopyRegister": False, "special": False},
+    },
+    "page2": {
+        "services": {"purchase": True, "receiveCertificate": True},
+        "qualification": {"accountant": False, "bookkeeper": True, "taxAgent": False},
+        "actions": {"purchase": True, "receiveCertificate": True},
+    },
+}
+
 # Public progress pages.
 BUSINESS_LIST_URL = "https://serv.gcis.nat.gov.tw/caseSearch/list/QueryBusmCaseList/queryBusmCaseList.do"
 BUSINESS_DETAIL_URL = "https://serv.gcis.nat.gov.tw/caseSearch/detail/QueryBusmCaseDetail/queryBusmCaseDetail.do"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,8 @@ from caseflow.operators.ranking import first_row, lookup, top_rows
 # Rows that share one office, bureau or code are spread over so many tasks.
 KEY_COPIES = 16
 
+DEFAULT_CHECKBOXES = json.dumps(vocab.PROOF_CHECKBOXES, separators=(",", ":"))
+
 
 def build_catalogue(raw: DataFrame) -> DataFrame:
     """Trimmed catalogue rows; blank ones go, and the first row of a code (by input_pos) is kept."""
@@ -272,7 +276,7 @@ def proof_defaults(
         first_filled("_s_branch_name", "branch_name").alias("branch_name"),
         first_filled("_s_sales_document_number").alias("sales_document_number"),
         F.coalesce("_s_selected_pages", F.when(F.col("_stored"), F.array().cast("array<int>")).otherwise(F.array(*map(F.lit, (1, 2, 3, 4))))).alias("selected_pages"),
-        F.coalesce("_s_checkboxes", F.lit("{}")).alias("checkboxes"),
+        F.coalesce("_s_checkboxes", F.when(F.col("_stored"), "{}").otherwise(DEFAULT_CHECKBOXES)).alias("checkboxes"),
         F.coalesce("_bureau.short_name", F.lit("")).alias("suggested_bureau"),
         F.col("branch_candidates").alias("suggested_branches"), F.col("needs_confirmation").alias("branch_needs_confirmation"),
         F.coalesce(nonzero("_s_office_id"), office).alias("office_id"),

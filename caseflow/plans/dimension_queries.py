@@ -102,7 +102,7 @@ def _(t):
     coalesce(s.email, '') AS email, coalesce(s.sales_document_number, '') AS sales_document_number,
     coalesce(nullif(s.branch_name, ''), CASE WHEN g.n = 1 THEN g.names END, '') AS branch_name,
     CASE WHEN s.case_id IS NULL THEN '1,2,3,4' ELSE coalesce(s.selected_pages, '') END AS selected_pages,
-    coalesce(s.checkboxes, '{{}}') AS checkboxes, coalesce(b.short_name, '') AS suggested_bureau,
+    CASE WHEN s.case_id IS NULL THEN '{dims.DEFAULT_CHECKBOXES}' ELSE coalesce(s.checkboxes, '{{}}') END AS checkboxes, coalesce(b.short_name, '') AS suggested_bureau,
     coalesce(g.names, '') AS suggested_branches, coalesce(g.n, 0) > 1 AS branch_needs_confirmation,
     coalesce(a.status, '') IN ('received', 'archived') AS tax_approval_received
   FROM cases c JOIN prepared pr ON pr.id = c.id LEFT JOIN proofs s ON s.case_id = c.id
